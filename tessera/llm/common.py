@@ -49,3 +49,16 @@ def held_out(column: str = "doc_id") -> Column:
 def tasks(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, target: str, most: tuple[int, int], columns: list[str | Column]) -> DataFrame:
+    """A bounded sample to learn from: the given columns and y of rows of docs whose label, 0 or 1, is known and that aren't held out; of each class the most[class] identifiers with the least hash.
+
+    Only this choice reads doc_id and labels. Labels that are neither 0 nor 1 are ignored; of
+    several for one document the largest counts. The sample is written to the shared folder.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("__id"), F.col(target).cast("int").alias("y")).where("y in (0, 1)")
+    known = known.groupBy("__id").agg(F.max("y").alias("y"))
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in enumerate(most)]
+    chosen = written(drawn[0].unionByName(drawn[1]), "chosen")  # sum(most) rows at most, so it may be broadcast
+    return written(docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__id")).select(*columns, "y"), "sample")
