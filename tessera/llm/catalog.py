@@ -6,16 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import sstable
+from tessera.llm import chat, mixing, quantisation, sstable, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op1_chat(spark, _table(spark, sf_dir, "conversations"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op2_warc(spark, _table(spark, sf_dir, "pages"))
+
+
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3_mix(_table(spark, sf_dir, "documents"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantisation.op8_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.op10_sstable(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_sstable": op10_sstable}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
+    "op2_warc": op2_warc,
+    "op3_mix": op3_mix,
+    "op8_neighbours": op8_neighbours,
+    "op10_sstable": op10_sstable,
+}
 ORACLES: dict[str, str] = {}
