@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing, quantisation, sstable, warc
+from tessera.llm import chat, mixing, quality, quantisation, sstable, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3_mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op4_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantisation.op8_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op9_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.op10_sstable(spark, _table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
     "op3_mix": op3_mix,
+    "op4_toxicity": op4_toxicity,
     "op8_neighbours": op8_neighbours,
+    "op9_quality": op9_quality,
     "op10_sstable": op10_sstable,
 }
 ORACLES: dict[str, str] = {}
