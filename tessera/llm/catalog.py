@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing, quality, quantisation, sstable, toxicity, warc
+from tessera.llm import chat, decontamination, mixing, quality, quantisation, sstable, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.op7_decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantisation.op8_neighbours(_table(spark, sf_dir, "embeddings"))
 
@@ -46,8 +50,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_mix": op3_mix,
     "op4_toxicity": op4_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_sstable": op10_sstable,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_decontamination": decontamination.ORACLE}
