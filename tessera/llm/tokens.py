@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -20,13 +21,21 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PLAIN = r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞]*"
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that spells each byte in a byte-level vocabulary: itself if it is printable, else the next beyond 255."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
 class Encoder:
     """ids and byte lengths of texts under one tokenizer file.
 
-    kept: pieces whose ids a worker remembers before it starts anew (about 250 bytes each).
+    kept: pieces of a generation. A worker remembers the ids of the pieces that it met since
+    the generation before the last began (about 250 bytes each), so frequent ones stay.
     """
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -35,7 +44,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.find, self.plain = regex.compile(PATTERN).findall, regex.compile(PLAIN).fullmatch
+        self.one, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.kept = kept
         self.size = self.tokenizer.get_vocab_size()
 
@@ -48,16 +59,17 @@ class Encoder:
             return b""
         if not self.plain(text):
             return self.whole(text)
-        memory = self.memory
         pieces = self.find(text)
-        new = [p for p in set(pieces) if p not in memory]
-        if len(memory) + len(new) > self.kept:
-            memory.clear()
-            new = list(set(pieces))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memory[piece] = np.array(coded.ids, dtype="<u4").tobytes()
+        if len(self.memory) > self.kept:
+            self.older, self.memory = self.memory, {}
+        memory, older = self.memory, self.older
+        for piece in set(pieces).difference(memory):
+            found = older.get(piece)
+            if found is None:
+                spelt = piece if piece.isascii() else piece.encode().decode("latin-1")
+                ids = [t.id for t in self.one(spelt.translate(self.letters))]
+                found = pack(f"<{len(ids)}I", *ids)
+            memory[piece] = found
         return b"".join(map(memory.__getitem__, pieces))
 
     def ids(self, text: str | None) -> np.ndarray:
