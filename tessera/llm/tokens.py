@@ -9,6 +9,7 @@ or spaces, go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 from struct import pack
@@ -49,6 +50,10 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.kept = kept
         self.size = self.tokenizer.get_vocab_size()
+        form = json.loads(self.tokenizer.to_str())
+        split = form.get("pre_tokenizer") or {}
+        #: whether the file is a byte-level BPE as described above; texts under others go to the library whole
+        self.by_bytes = not form.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -57,7 +62,7 @@ class Encoder:
         """The ids of one text as little-endian unsigned 32-bit integers; null or empty: none."""
         if not text:
             return b""
-        if not self.plain(text):
+        if not self.by_bytes or not self.plain(text):
             return self.whole(text)
         pieces = self.find(text)
         if len(self.memory) > self.kept:
@@ -75,6 +80,20 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.packed(text), dtype="<u4")
 
+    def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """First character and the one after the last of each token; tokens that are parts of one character span it all."""
+        if not text:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if not self.by_bytes:
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+            return found[:, 0], found[:, 1]
+        ends = self.byte_lengths[self.ids(text)].cumsum()
+        starts = np.concatenate([[0], ends[:-1]])
+        if text.isascii():
+            return starts, ends
+        character = ((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80).cumsum() - 1
+        return character[starts], character[ends - 1] + 1
+
     @property
     def byte_lengths(self) -> np.ndarray:
         """Bytes that each id stands for; a token is spelled with one letter a byte."""
