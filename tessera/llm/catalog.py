@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import attribution, chat, decontamination, mixing, quality, quantisation, sstable, toxicity, warc
+from tessera.llm import attribution, chat, decontamination, jaccard, mixing, quality, quantisation, sstable, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.op6_attribution(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_mix": op3_mix,
     "op4_toxicity": op4_toxicity,
+    "op5_jaccard": op5_jaccard,
     "op6_attribution": op6_attribution,
     "op7_decontamination": op7_decontamination,
     "op8_neighbours": op8_neighbours,

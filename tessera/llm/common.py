@@ -62,3 +62,12 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, most: tuple[int, i
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in enumerate(most)]
     chosen = written(drawn[0].unionByName(drawn[1]), "chosen")  # sum(most) rows at most, so it may be broadcast
     return written(docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__id")).select(*columns, "y"), "sample")
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes the files of a table made by written()."""
+    spark = table.sparkSession
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if path.startswith(shared_dir(spark)) or path.split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/")):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
