@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that hold QUERIES (name -> function of session and folder) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("features", "rules", "samples", "scores", "series")
+MODULES: tuple[str, ...] = ("features", "neighbourhood", "rules", "samples", "scores", "series")
 
 
 def _gather(kind: str) -> dict:
