@@ -128,8 +128,8 @@ f AS (SELECT *, CASE WHEN len > 0.1 THEN 0.1 / len ELSE 1.0 END AS first FROM s)
 r AS (SELECT *, unnest(range(6)) AS i FROM f),
 t AS (SELECT *, sign(a) * floor(abs(a * first * pow(0.9, i))) AS qa, b * first * pow(0.9, i) AS pa, c * first * pow(0.9, i) AS da FROM r),
 g AS (SELECT *, sqrt(pow(qa / 50.0, 2) + pow(pa / 1e5, 2) + pow(da / 0.1, 2)) <= 0.1 + 1e-9 AS fits FROM t),
-w AS (SELECT l_orderkey, k, min(i) FILTER (fits) AS i FROM g GROUP BY ALL)
-SELECT g.l_orderkey, g.k, round(q + CASE WHEN w.i IS NULL THEN 0 ELSE qa END, 5) AS l_quantity, round(p + CASE WHEN w.i IS NULL THEN 0 ELSE pa END, 5) AS l_extendedprice, round(d + CASE WHEN w.i IS NULL THEN 0 ELSE da END, 5) AS l_discount
-FROM g JOIN w ON g.l_orderkey = w.l_orderkey AND g.k = w.k AND g.i = coalesce(w.i, 0)""",
+w AS (SELECT *, min(CASE WHEN fits THEN i END) OVER (PARTITION BY l_orderkey, k, q, p, d) AS best FROM g)
+SELECT l_orderkey, k, round(q + CASE WHEN best IS NULL THEN 0 ELSE qa END, 5) AS l_quantity, round(p + CASE WHEN best IS NULL THEN 0 ELSE pa END, 5) AS l_extendedprice, round(d + CASE WHEN best IS NULL THEN 0 ELSE da END, 5) AS l_discount
+FROM w WHERE i = coalesce(best, 0)""",
     "constraint_attack_filter": f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND (l_discount > 0.05) = (l_quantity > 25) AND {_VIOLATION} <= 1e-9",
 }

@@ -27,13 +27,13 @@ def _plain(x):
     if isinstance(x, bool) or x is None:
         return str(x)
     if isinstance(x, (int, float)):
-        return "nan" if math.isnan(x) else repr(round(float(x), 6) + 0.0)
+        return "nan" if math.isnan(x) else repr(round(float(x), 8) + 0.0)
     if isinstance(x, (list, tuple)):
         return str([_plain(v) for v in x])
     if isinstance(x, datetime.datetime):
         return x.isoformat()
     if type(x).__name__ == "Decimal":
-        return repr(round(float(x), 6))
+        return repr(round(float(x), 8))
     return str(x)
 
 
