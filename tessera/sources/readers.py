@@ -178,7 +178,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """A pipe table as rows of an array of trimmed cells, header and rule dropped."""
     lines = spark.read.text(path).where(F.trim("value").startswith("|")).withColumn("line", F.monotonically_increasing_id())
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = lines.where(~F.col("value").rlike(r"^[\s|:-]+$")).select("line", cells.alias("cells"))
     return rows.where(F.col("line") > rows.agg(F.min("line")).first()[0]).drop("line")
 
