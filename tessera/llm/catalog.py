@@ -65,4 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_sstable": op10_sstable,
 }
-ORACLES: dict[str, str] = {"op7_decontamination": decontamination.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_chat": chat.ORACLE,
+    "op5_jaccard": jaccard.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
+}

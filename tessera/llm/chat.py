@@ -101,6 +101,13 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _slices(batches: Iterable[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Batches in parts, since nested lists of a whole one take much memory."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows].reset_index(drop=True)
+
+
 def _split(path: str) -> list[str]:
     return [path[i : i + 32] for i in range(0, len(path), 32)]
 
@@ -128,7 +135,7 @@ def prefix_trees(conversations: DataFrame, tokenizer: str | None = None) -> tupl
 
     def formatted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(path_of)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [[[coder.packed(header(t["role"])), coder.packed(escape(t["text"])), coder.packed(END)] for t in turns] for turns in batch["turns"]]
             lengths = [[sum(map(len, parts)) // 4 for parts in one] for one in ids]
             yield pd.DataFrame({"path": batch["path"], "lengths": lengths, "ids": ids, "turns": batch["turns"]})
@@ -173,7 +180,7 @@ def prefix_trees(conversations: DataFrame, tokenizer: str | None = None) -> tupl
 
     def emit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, walk = None, Forest()
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for p, path, lengths, ids, turns in zip(batch["p"], batch["path"], batch["lengths"], batch["ids"], batch["turns"], strict=True):
                 if p != current:
@@ -211,7 +218,7 @@ def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def op1_chat(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """Formats all conversations and conversation -7 and returns, read back from the trees: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens (in the tree, with its ancestors)."""
+    """Formats all conversations and conversation -7 and returns, read back from the trees: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     odd = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(more)
@@ -231,5 +238,20 @@ def op1_chat(spark: SparkSession, conversations: DataFrame) -> DataFrame:
             })
 
     found = read_back(nodes, paths).mapInPandas(digests, "path string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    lengths = paths.select("path", F.aggregate("attends", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start).alias("n_tokens"))
-    return members.join(found.join(lengths, "path"), "path").drop("path")
+    return members.join(found, "path").drop("path")
+
+
+#: The same digests from the table itself.
+ORACLE = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<turn>### : </turn>') + 1 + length(role) + len(regexp_extract_all(role, '[\\:<#]')) + length(text) + len(regexp_extract_all(text, '\\|</?turn|###')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

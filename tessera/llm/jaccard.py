@@ -340,3 +340,27 @@ def without_copies(docs: DataFrame) -> DataFrame:
     left = docs.join(written(found, "copies"), F.col("doc_id") == F.col("__id"), "left_anti")
     kept = left.where("doc_id is not null").dropDuplicates(["doc_id"])
     return kept.unionByName(left.where("doc_id is null"))
+
+
+#: The same components by joining all shingles; a component of many documents makes this slow on large tables.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM words WHERE len(w) > 0
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM places
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM words
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT r.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(other) AS component_id
+FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.doc_id GROUP BY 1
+"""
