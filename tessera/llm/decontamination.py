@@ -36,7 +36,10 @@ def item_sketches(items: DataFrame, n: int, share: float) -> tuple[DataFrame, Da
     item is a number for each distinct text of an item_id. Items without a run of n words are in neither.
     """
     key = F.xxhash64("item_id", "text")
-    whole = items.select("item_id", key.alias("item"), shingle_texts(words_sql(), n).alias("shingles")).where(F.size("shingles") > 0).dropDuplicates(["item_id", "item"])
+    # words are a column of their own: as an expression within a lambda they would be made again for each shingle.
+    # For the same reason explode_outer below: for explode the optimizer adds a filter on the array, and moves words into it.
+    worded = items.select("item_id", key.alias("item"), words_sql().alias("words"))
+    whole = worded.select("item_id", "item", shingle_texts(F.col("words"), n).alias("shingles")).where(F.size("shingles") > 0).dropDuplicates(["item_id", "item"])
     whole = written(whole.withColumn("size", F.size("shingles")), "items")
     lack = lambda size: F.floor(size * F.lit(1 - share) + F.lit(1e-6)).cast("int")
     largest = F.pow(F.lit(2.0), F.floor(F.log2("size")) + 1) - 1
@@ -61,7 +64,8 @@ def containments(docs: DataFrame, items: DataFrame, *, n: int = 5, share: float
     """
     sketches, whole = item_sketches(items, n, share)
     own = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
-    hashed = own.select("doc_id", "print", F.explode(shingle_hashes(words_sql(), n)).alias("hash"))
+    worded = own.select("doc_id", "print", words_sql().alias("words"))
+    hashed = worded.select("doc_id", "print", F.explode_outer(shingle_hashes(F.col("words"), n)).alias("hash"))
     # Spark broadcasts the sketches if the size of the table written is below its limit
     met = hashed.join(sketches, "hash").groupBy("doc_id", "print", "item_id", "item").agg(F.countDistinct("hash").alias("met"), F.first("needed").alias("needed"))
     pairs = written(met.where("met >= needed").select("doc_id", "print", "item_id", "item"), "candidates")
@@ -69,7 +73,7 @@ def containments(docs: DataFrame, items: DataFrame, *, n: int = 5, share: float
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.print") == F.col("p.print"))
     keys = pairs.select("doc_id", "print").distinct().alias("p")
     found = d.join(keys, same, "left_semi").select("d.*").dropDuplicates(["doc_id", "print"])
-    shingled = found.select("doc_id", "print", shingle_texts(words_sql(), n).alias("own")).alias("d")
+    shingled = found.select("doc_id", "print", words_sql().alias("words")).select("doc_id", "print", shingle_texts(F.col("words"), n).alias("own")).alias("d")
     verified = shingled.join(p, same).join(whole.alias("w"), F.col("p.item_id").eqNullSafe(F.col("w.item_id")) & (F.col("p.item") == F.col("w.item")))
     shared = F.size(F.array_intersect("own", "shingles"))
     rows = verified.select("d.doc_id", "d.print", "w.item_id", F.col("size").cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
