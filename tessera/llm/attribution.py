@@ -78,7 +78,8 @@ def section_tokens(docs: DataFrame, *, fields: list[str] | None = None, between:
         parts = F.when((F.size(pieces) > 1) & (F.element_at(pieces, -1) == ""), F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
     cut = docs.select("doc_id", parts.alias("parts")).select("doc_id", F.array_join("parts", "").alias("whole"), F.transform("parts", F.length).alias("chars"))
     counted = cut.withColumn("found", counts_sql(F.col("whole"), F.col("chars"), tokenizer or tokenizer_path(), rule))
-    rows = counted.select("doc_id", F.posexplode(F.arrays_zip(F.col("chars"), F.col("found.tokens").alias("tokens"), F.col("found.crossing").alias("crossing"))).alias("section", "x"))
+    # every text has a section; for posexplode the optimizer would add a filter on the array and so count twice
+    rows = counted.select("doc_id", F.posexplode_outer(F.arrays_zip(F.col("chars"), F.col("found.tokens").alias("tokens"), F.col("found.crossing").alias("crossing"))).alias("section", "x"))
     section = F.element_at(F.array(*map(F.lit, fields)), F.col("section") + 1) if fields else F.col("section")
     return rows.select("doc_id", section.alias("section"), F.col("x.chars").cast("long").alias("n_chars"), F.col("x.tokens").alias("n_tokens"), F.col("x.crossing").cast("long").alias("n_crossing"))
 
