@@ -75,7 +75,7 @@ class Codebooks:
         return (self.books @ query.astype(np.float32)).astype(np.float32)
 
 
-def fit(x: np.ndarray, m: int = 8, k: int = 256, rounds: int = 6, refits: int = 1, seed: int = 0) -> Codebooks:
+def fit(x: np.ndarray, m: int = 16, k: int = 256, rounds: int = 6, refits: int = 1, seed: int = 0) -> Codebooks:
     """Codebooks from rows x: residual k-means, then least squares on their codes, `refits` times."""
     x = np.asarray(x, dtype=np.float32)
     rng, k = np.random.default_rng(seed), max(1, min(k, len(x)))
@@ -109,7 +109,7 @@ def common_length(vectors: DataFrame, column: str) -> int:
     return found.n if found else 0
 
 
-def build(vectors: DataFrame, *, id_column: str = "vec_id", column: str = "embedding", sample: int = 16384, m: int = 8, k: int = 256, beam: int = 4, block_rows: int = 8192, seed: int = 0) -> tuple[DataFrame, Codebooks | None]:
+def build(vectors: DataFrame, *, id_column: str = "vec_id", column: str = "embedding", sample: int = 16384, m: int = 16, k: int = 256, beam: int = 4, block_rows: int = 8192, seed: int = 0) -> tuple[DataFrame, Codebooks | None]:
     """The index of all usable rows, written to the shared folder: block, vec_id, vec (array of double), codes (binary), norm (squared norm of the approximation).
 
     Codebooks are fitted on at most `sample` rows, the ones with the least hash. Rows whose
@@ -139,7 +139,7 @@ def build(vectors: DataFrame, *, id_column: str = "vec_id", column: str = "embed
     return written(coded, "codes"), books
 
 
-def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, *, k: int = 20, rerank: int = 256) -> DataFrame:
+def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, *, k: int = 20, rerank: int = 512) -> DataFrame:
     """The k rows of the index with the largest inner product for each row (query_id, vec) of queries: query_id, rank from 1, vec_id, score.
 
     Rows with the query's own identifier are no candidates. In each block the `rerank` rows
