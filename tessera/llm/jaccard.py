@@ -3,9 +3,12 @@
 The hashes of a text's shingles fall into groups. Two sets with a Jaccard similarity
 of at least `similarity` differ in a bounded number of hashes, so when there are more
 groups than that, some group holds the same hashes in both. That makes cells: the sets
-that agree on the content of a group meet in it, and every similar pair meets.
+that agree on the content of a group meet in it, and every similar pair meets. Groups of
+one hash, which a passage common to many texts often fills alone, are left out: there are
+enough groups that sets agree in one of two hashes or more.
 
-Within a cell the counts of hashes in 32 coarse groups are points in an R-tree. Two
+Within a cell the counts of hashes in equal ranges, about as many ranges as hashes, are
+points in an R-tree. Two
 sets share at most the sum of the smaller of their counts, and a set shares with none
 below a node more than the sum of the minima of its counts and the node's upper corner;
 so the tree yields the pairs that could be similar. Those are verified on the whole sets.
@@ -29,12 +32,12 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import drop, tasks, written
 
-#: Coordinates of a point.
-COORDINATES = 32
+#: Most coordinates of a point, and the least content of a group that makes a cell.
+COORDINATES, STRONG = 4096, 2
 #: Sets in a leaf of a tree, and the most of a cell that one task searches at once.
 LEAF, BLOCK = 32, 4096
 #: Rounds in which each class tests one further class, before all that are left are tested.
-ROUNDS = 3
+ROUNDS = 2
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -87,7 +90,7 @@ def _groups(level: int, percent: int) -> int:
 
 
 def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the cells of a set. Groups are ranges of the hash; the first ones that hold more groups with content than the set can lack suffice, and with fewer in all, every group counts, with content or without."""
+    """Keys of the cells of a set. Groups are ranges of the hash. Of the first groups, as far as it takes to have more groups of STRONG hashes than the set can lack, the strong ones make cells; with fewer in all, every group does, even an empty one."""
     size, out = len(hashes), []
     lack, own = _lack(size, percent), size.bit_length() - 1
     if not lack:
@@ -99,15 +102,22 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
         group = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         border = np.searchsorted(group, np.arange(m + 1, dtype=np.uint64))
         content = sums[border[1:]] - sums[border[:-1]]
-        kept = np.flatnonzero(border[1:] > border[:-1])
+        kept = np.flatnonzero(border[1:] - border[:-1] >= STRONG)
         kept = kept[: lack + 1] if len(kept) > lack else np.arange(m)
         out.append(mixed(content[kept] + mixed((np.uint64(level) << np.uint64(32)) + kept.astype(np.uint64))))
     return np.concatenate(out).view(np.int64)
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
-    """Numbers of hashes in equal ranges."""
-    return np.bincount((hashes >> np.uint64(59)).astype(np.int64), minlength=COORDINATES)
+    """Numbers of hashes in equal ranges, as many as the power of two below the size, 8 to COORDINATES."""
+    bits = min(max(len(hashes).bit_length() - 1, 3), COORDINATES.bit_length() - 1)
+    return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def together(points: list[np.ndarray]) -> np.ndarray:
+    """Points with as many coordinates as the shortest: neighbouring ranges are added up."""
+    n = min(map(len, points))
+    return np.stack([p if len(p) == n else p.reshape(n, -1).sum(1) for p in points])
 
 
 class CountTree:
@@ -152,13 +162,13 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 s = shingle_set(text, n)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, point(s).astype(np.int32), signatures(s, percent)))
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, np.minimum(point(s), 0xFFFFFFFF).astype("<u4" if len(s) > 0xFFFF else "<u2").tobytes(), signatures(s, percent)))
             found = pd.DataFrame(rows, columns=["size", "digest", "point", "cells"])
             yield found.assign(doc_id=batch["doc_id"].to_numpy(), missing=batch["missing"].to_numpy())
 
     number = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNull().alias("missing"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInPandas(measure, "doc_id long, missing boolean, size long, digest binary, point array<int>, cells array<long>")
+    found = rows.mapInPandas(measure, "doc_id long, missing boolean, size long, digest binary, point binary, cells array<long>")
     return found.withColumn("doc_id", F.expr("if(missing, null, doc_id)")).drop("missing")
 
 
@@ -170,24 +180,25 @@ def _cells(classes: DataFrame) -> DataFrame:
     return met.groupBy("cell", "n", "node").agg(F.sum(F.col("n") - 1).alias("weight")).select(F.xxhash64("cell", "n").alias("cell"), "n", "node", "weight")
 
 
-def _search(cells: DataFrame, labels: DataFrame, percent: int, most: int | None) -> DataFrame:
+def _search(cells: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs (node, other) of classes in a cell and in different components that the trees yield; per node and cell the `most` others of the greatest degree (None: all).
 
-    cells: cell, n, node, degree, point. A cell of more than BLOCK classes is dealt into blocks, and each pair of blocks is a task's.
+    cells: cell, n, node; classes: node, degree, size, point. A cell of more than BLOCK classes is dealt into blocks, and each pair of blocks is a task's.
     """
     own = cells.join(labels, "node")
-    mixed_cells = own.groupBy("cell").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cell")
-    own = own.join(mixed_cells, "cell", "left_semi")
+    several = own.groupBy("cell").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cell")
+    own = own.join(several, "cell", "left_semi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
     dealt = own.withColumn("block", block).withColumn("against", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(F.xxhash64("cell", F.least("block", "against"), F.greatest("block", "against")).alias("task"), "cell", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"), "block", "node", "degree", "label", "point")
+    dealt = dealt.select(F.xxhash64("cell", F.least("block", "against"), F.greatest("block", "against")).alias("task"), "cell", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"), "block", "node", "label")
+    dealt = dealt.join(classes.select("node", "degree", "size", "point"), "node")
 
     def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         rows = rows.sort_values(["degree", "node"], ascending=[False, True], kind="stable")
         names, label, side = rows["node"].to_numpy(), rows["label"].to_numpy(), rows["block"].to_numpy()
         cross = rows["i"].iloc[0] != rows["j"].iloc[0]
-        points = np.stack(rows["point"].to_list()).astype(np.int64)
+        points = together([np.frombuffer(p, dtype="<u4" if k > 0xFFFF else "<u2").astype(np.int64) for p, k in zip(rows["point"], rows["size"], strict=True)])
         tree, found = CountTree(points), []
         for k in range(len(names)):
             near = tree.near(points[k], percent)
@@ -301,15 +312,15 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFr
     kept = sets.where("size > 0").join(named, (sets["digest"] == named["digest"]) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", named["digest"], "first", "size", "point", "cells")
     met = written(_cells(kept.select("node", "cells").dropDuplicates(["node"])), "cells")
     degrees = met.groupBy("node").agg(F.sum("weight").alias("degree"))
-    points = kept.select("node", "digest", "first", "point").dropDuplicates(["node"]).join(degrees, "node")
+    points = kept.select("node", "digest", "first", "size", "point").dropDuplicates(["node"]).join(degrees, "node")
     classes = written(points, "classes")
     drop(sets)
-    cells = written(met.select("cell", "n", "node").join(classes.select("node", "degree", "point"), "node"), "points")
+    cells = met.select("cell", "n", "node")
     labels = written(classes.select("node", F.col("node").alias("label")), "labels")
     tested = None
     for k in range(1, ROUNDS + 2):
         most = k if k <= ROUNDS else None
-        pairs = _search(cells, labels, percent, most)
+        pairs = _search(cells, classes, labels, percent, most)
         if most:
             pairs = pairs.distinct()
             fresh = pairs.join(tested, ["node", "other"], "left_anti") if tested is not None else pairs

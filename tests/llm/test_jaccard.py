@@ -83,8 +83,8 @@ def test_signatures_meet():
 
 def test_tree_loses_no_similar_set():
     rng = np.random.default_rng(0)
-    points = rng.integers(0, 9, (3000, jaccard.COORDINATES)) * rng.integers(1, 6, (3000, 1))
-    points[1500:] = np.maximum(points[:1500] + rng.integers(-1, 2, (1500, jaccard.COORDINATES)), 0)
+    points = rng.integers(0, 9, (3000, 32)) * rng.integers(1, 6, (3000, 1))
+    points[1500:] = np.maximum(points[:1500] + rng.integers(-1, 2, (1500, 32)), 0)
     tree = jaccard.CountTree(points)
     for k in range(0, 3000, 97):
         a, b = points[k].sum(), points.sum(1)
@@ -92,6 +92,15 @@ def test_tree_loses_no_similar_set():
         assert tree.near(points[k], 85).tolist() == want.tolist()
 
 
+def test_points_of_two_lengths_bound_the_overlap():
+    rng = np.random.default_rng(1)
+    x = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2))
+    y = np.unique(np.concatenate([x[:250], rng.integers(0, 1 << 63, 5, dtype=np.uint64)]))
+    a, b = jaccard.together([jaccard.point(x), jaccard.point(y)])
+    assert len(a) == len(b) == 128 and a.sum() == len(x) and b.sum() == len(y)
+    assert np.minimum(a, b).sum() >= len(np.intersect1d(x, y))
+
+
 def test_connected(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)]
