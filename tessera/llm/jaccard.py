@@ -181,7 +181,7 @@ def _cells(classes: DataFrame) -> DataFrame:
 
 
 def _search(cells: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs (node, other) of classes in a cell and in different components that the trees yield; per node and cell the `most` others of the greatest degree (None: all).
+    """Pairs (cell, node, other) of classes in a cell and in different components that the trees yield, written; per node and cell the `most` others of the greatest degree (None: all).
 
     cells: cell, n, node; classes: node, degree, size, point. A cell of more than BLOCK classes is dealt into blocks, and each pair of blocks is a task's.
     """
@@ -194,36 +194,45 @@ def _search(cells: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
     dealt = dealt.select(F.xxhash64("cell", F.least("block", "against"), F.greatest("block", "against")).alias("task"), "cell", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"), "block", "node", "label")
     dealt = dealt.join(classes.select("node", "degree", "size", "point"), "node")
 
-    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rows = rows.sort_values(["degree", "node"], ascending=[False, True], kind="stable")
-        names, label, side = rows["node"].to_numpy(), rows["label"].to_numpy(), rows["block"].to_numpy()
-        cross = rows["i"].iloc[0] != rows["j"].iloc[0]
-        points = together([np.frombuffer(p, dtype="<u4" if k > 0xFFFF else "<u2").astype(np.int64) for p, k in zip(rows["point"], rows["size"], strict=True)])
-        tree, found = CountTree(points), []
+    def pairs(degree: np.ndarray, names: np.ndarray, label: np.ndarray, side: np.ndarray, points: list, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((names, -degree))
+        names, label, side = names[order], label[order], side[order]
+        tree, found = CountTree(together([points[k] for k in order])), []
         for k in range(len(names)):
-            near = tree.near(points[k], percent)
+            near = tree.near(tree.points[k], percent)
             near = near[label[near] != label[k]]
             if cross:
                 near = near[side[near] != side[k]]
             near = near[:most] if most else near[near > k]
             found.append((names[near], np.full(len(near), names[k])))
-        yield pd.DataFrame({"node": np.concatenate([b for _, b in found]), "other": np.concatenate([a for a, _ in found])})
+        return np.concatenate([b for _, b in found]), np.concatenate([a for a, _ in found])
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, held = ["cell", "i", "j"], None
+        held = None
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch])
-            ends = np.flatnonzero((rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(axis=1)) + 1
-            cut = ends[-1] if len(ends) else 0
-            if cut:
-                for _, part in rows.iloc[:cut].groupby(keys, sort=False):
-                    yield from pairs(part)
-            held = rows.iloc[cut:]
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            held, out = yield_all(rows, last=False)
+            yield out
         if held is not None and len(held):
-            yield from pairs(held)
+            yield yield_all(held, last=True)[1]
+
+    def yield_all(rows: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The rows of the last task, unless it is complete, and the pairs of the others."""
+        cell, i, j = (rows[c].to_numpy() for c in ("cell", "i", "j"))
+        ends = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        cuts = [0, *ends.tolist(), *([len(rows)] if last else [])]
+        degree, names, label, side = (rows[c].to_numpy() for c in ("degree", "node", "label", "block"))
+        raw, sizes, parts = rows["point"].to_list(), rows["size"].to_numpy(), []
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                own = [np.frombuffer(raw[k], dtype="<u4" if sizes[k] > 0xFFFF else "<u2").astype(np.int64) for k in range(a, b)]
+                x, y = pairs(degree[a:b], names[a:b], label[a:b], side[a:b], own, i[a] != j[a])
+                parts.append((np.full(len(x), cell[a]), x, y))
+        out = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, dtype=np.int64)] * 3
+        return rows.iloc[cuts[-1] :], pd.DataFrame(dict(zip(("cell", "node", "other"), out)))
 
     spread = dealt.repartition(tasks(cells.sparkSession), "task").sortWithinPartitions("cell", "i", "j").drop("task")
-    return spread.mapInPandas(scan, "node long, other long").where("node <> other")
+    return written(spread.mapInPandas(scan, "cell long, node long, other long").where("node <> other"), "met")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -320,7 +329,10 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFr
     tested = None
     for k in range(1, ROUNDS + 2):
         most = k if k <= ROUNDS else None
-        pairs = _search(cells, classes, labels, percent, most)
+        found = _search(cells, classes, labels, percent, most)
+        # a cell that yields nothing now never will
+        cells = written(cells.join(found.select("cell").distinct(), "cell", "left_semi"), "cells")
+        pairs = found.select("node", "other")
         if most:
             pairs = pairs.distinct()
             fresh = pairs.join(tested, ["node", "other"], "left_anti") if tested is not None else pairs
