@@ -11,15 +11,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 from struct import pack
 
 import numpy as np
 
-#: Fixed: the split pattern of the byte-level pre-tokenizer.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Tab, line feed, carriage return, printable ASCII, Latin letters, general punctuation without its spaces.
-PLAIN = r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞]*"
+#: Tab, line feed, carriage return, printable ASCII, Latin letters, general punctuation without its spaces: any other character.
+OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞]")
+#: Letters, digits and spaces among those.
+L, N, S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe", r" \t\n\r"
+#: The split pattern of the byte-level pre-tokenizer for such texts.
+PIECE = re.compile(rf" ?[{L}]+|'(?:[stmd]|re|ve|ll)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+")
 
 
 def byte_letters() -> dict[int, int]:
@@ -38,13 +41,11 @@ class Encoder:
 
     def __init__(self, path: str, kept: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.find, self.plain = regex.compile(PATTERN).findall, regex.compile(PLAIN).fullmatch
         self.one, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -62,9 +63,9 @@ class Encoder:
         """The ids of one text as little-endian unsigned 32-bit integers; null or empty: none."""
         if not text:
             return b""
-        if not self.by_bytes or not self.plain(text):
+        if not self.by_bytes or OTHER.search(text):
             return self.whole(text)
-        pieces = self.find(text)
+        pieces = PIECE.findall(text)
         if len(self.memory) > self.kept:
             self.older, self.memory = self.memory, {}
         memory, older = self.memory, self.older

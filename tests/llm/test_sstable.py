@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
 
-from tessera.llm import sstable
+from tessera.llm import sstable, tokens
 from tessera.llm.common import new_path
 from tessera.llm.tokens import Encoder
 
@@ -62,3 +63,17 @@ def test_table(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = [tuple(r) for r in sstable.op10_sstable(spark, docs).collect()]
     assert sorted(found, key=lambda r: r[1]) == _truth([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_classes_of_plain_characters():
+    import regex
+
+    for c in map(chr, range(0x2100)):
+        if not tokens.OTHER.search(c):
+            assert bool(regex.match(r"\p{L}", c)) == bool(tokens.re.match(f"[{tokens.L}]", c)), c
+            assert bool(regex.match(r"\p{N}", c)) == bool(tokens.re.match(f"[{tokens.N}]", c)), c
+            assert bool(regex.match(r"\s", c)) == bool(tokens.re.match(f"[{tokens.S}]", c)), c
+    coder, r = Encoder(sstable.tokenizer_path()), random.Random(9)
+    for _ in range(3000):
+        text = "".join(r.choice(" \t\n\r''aZé×÷²½19.…—!sdtmlvre_ªǀɏ¡") for _ in range(r.randrange(1, 14)))
+        assert coder.ids(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
