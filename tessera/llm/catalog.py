@@ -30,7 +30,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op6_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,8 @@ def _lack(size: int, percent: int) -> int:
 def _groups(level: int, percent: int) -> int:
     """Groups of the sets with 2 ** level hashes or more, up to twice as many: more than they can lack."""
     top = _lack((2 << level) - 1, percent)
-    return max(top + 1, -(-top * 9 // 8))
+    # the lower the similarity, the smaller the groups: it takes more of them to have enough strong ones
+    return max(top + 1, -(-top * (9 if percent >= 85 else 11) // 8))
 
 
 def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
@@ -357,9 +358,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFr
     return whole.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
     """One document of each component stays: the one that names it. Of rows that repeat an identifier one stays; rows without identifier or words all stay."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    found = near_duplicates(docs, n=n, percent=percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     left = docs.join(written(found, "copies"), F.col("doc_id") == F.col("__id"), "left_anti")
     kept = left.where("doc_id is not null").dropDuplicates(["doc_id"])
     return kept.unionByName(left.where("doc_id is null"))
