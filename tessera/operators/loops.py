@@ -21,7 +21,7 @@ def knn_scorer(vector: str = "embedding", label: str = "label", k: int = 5, id_c
     """The share of a query's k nearest accepted rows that have its label: a scorer without a model."""
 
     def score(accepted: DataFrame, queries: DataFrame) -> DataFrame:
-        near = neighbours.knn(accepted, queries, k, id_column=id_column, vector=vector, carry=(label,))
+        near = neighbours.knn(accepted, queries, k, id_column=id_column, vector=vector, carry=(label,), square=True)
         own = queries.select(F.col(id_column).cast("long").alias("query"), F.col(label).alias("own"))
         found = neighbours.agreement(near, own, label)
         return own.join(found, "query", "left").select(F.col("query").alias(id_column), (1 - F.coalesce("disagreement", F.lit(1.0))).alias("score"))

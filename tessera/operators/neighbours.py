@@ -17,22 +17,44 @@ from pyspark.sql.window import Window
 
 #: Queries that a block of candidates meets at a time.
 BLOCK = 512
+#: Most numbers of a product of queries and candidates.
+PRODUCT = 1 << 22
 
 
-def knn(candidates: DataFrame, queries: DataFrame, k: int, *, id_column: str, vector: str, metric: str = "euclidean", carry: tuple[str, ...] = (), exclude_self: bool = True, parts: int | None = None) -> DataFrame:
+def knn(candidates: DataFrame, queries: DataFrame, k: int, *, id_column: str, vector: str, metric: str = "euclidean", carry: tuple[str, ...] = (), exclude_self: bool = True, parts: int | None = None, square: bool = False) -> DataFrame:
     """query, rank (from 1), neighbour, distance and the carried columns of the neighbour: the k nearest, ties to the smaller identifier.
 
     metric: euclidean or cosine (1 - cosine). Distances are in double precision.
+    square: queries are about as many as candidates, so both are dealt into blocks and a task has a pair of blocks.
     """
     spark = candidates.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = candidates.select(F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int").alias("part"), F.lit(0).alias("kind"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.struct(*(F.col(c) for c in carry), F.lit(0).alias("_")).alias("more"))
-    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(1).alias("kind"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast(own.schema["more"].dataType).alias("more"))
+    blocks = max(1, round(n**0.5)) if square else 1
+    parts = max(1, n // blocks)
+    own_part = F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int")
+    if blocks > 1:
+        own_part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int") * blocks + b))
+    asked_part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda c: c * blocks + F.pmod(F.xxhash64(id_column, F.lit(1)), F.lit(blocks)).cast("int")))
+    own = candidates.select(own_part.alias("part"), F.lit(0).alias("kind"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.struct(*(F.col(c) for c in carry), F.lit(0).alias("_")).alias("more"))
+    sent = queries.select(asked_part.alias("part"), F.lit(1).alias("kind"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast(own.schema["more"].dataType).alias("more"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema["more"].dataType.fields)
 
     def nearest(names: np.ndarray, x: np.ndarray, asked: pd.DataFrame) -> Iterator[tuple]:
         q = np.stack(asked["v"].to_list())
+        every, whole, xx, qq = names, x, (x * x).sum(1), (q * q).sum(1)
+        # squares by one product choose what could be among the k nearest; distances come from differences below
+        rough = metric == "euclidean" and len(x) > 4 * k and np.isfinite(xx).all() and np.isfinite(qq).all()
+        step = max(1, PRODUCT // max(1, len(x)))
         for i, name in enumerate(asked["id"]):
+            at = np.arange(len(every))
+            if rough:
+                if i % step == 0:
+                    squares = xx - 2 * (q[i : i + step] @ whole.T) + qq[i : i + step, None]
+                own = squares[i % step]
+                if exclude_self:
+                    own[every == name] = np.inf
+                at = np.flatnonzero(own <= np.partition(own, k - 1)[k - 1] + 1e-11 * (xx.max() + qq[i]))
+            names, x = every[at], whole[at]
             if metric == "cosine":
                 d = 1 - (x * q[i]).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q[i] * q[i]).sum()))
             else:
@@ -42,7 +64,7 @@ def knn(candidates: DataFrame, queries: DataFrame, k: int, *, id_column: str, ve
             some = np.flatnonzero(d <= d[some].max()) if len(some) else some
             for j in some[np.lexsort((names[some], d[some]))][:k]:
                 if np.isfinite(d[j]):
-                    yield name, j, d[j]
+                    yield name, at[j], d[j]
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, rows, ready = None, [], None

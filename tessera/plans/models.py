@@ -117,7 +117,8 @@ def mass_projection(spark, sf_dir):
 
 
 def greedy_growth(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 160").withColumnRenamed("vec_id", "row_id")
+    """From every fourth row on, 60 of all other rows."""
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "row_id")
     return loops.greedy_growth(rows.where("row_id % 4 = 0"), rows, loops.knn_scorer(), 60, how="frac", amount=0.5)
 
 

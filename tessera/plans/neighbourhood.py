@@ -1,4 +1,4 @@
-"""Queries of neighbour scores on embeddings; queries are the rows whose identifier is divisible by 25."""
+"""Queries of neighbour scores on embeddings; queries are the rows whose identifier is divisible by 25, but for label spreading, which takes all rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.keys import uniform
 from tessera.operators import neighbours as nb
+from tessera.operators.loops import cut
 from tessera.sources.tables import table
 
 E = {"id_column": "vec_id", "vector": "embedding"}
@@ -67,8 +68,9 @@ def knn_shapley(spark, sf_dir):
 
 
 def label_spreading(spark, sf_dir):
-    rows = _e(spark, sf_dir).where("vec_id < 200")
-    near = nb.knn(rows, rows, 5, carry=("label",), **E)
+    """Every fourth row of the table is a seed."""
+    rows = _e(spark, sf_dir)
+    near = cut(nb.knn(rows, rows, 5, carry=("label",), square=True, **E))
     seeds = rows.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query"), "label")
     found = nb.spread_labels(near, seeds, rounds=3)
     return found.groupBy("query").agg(F.round(F.sum("weight"), 6).alias("weight"))
