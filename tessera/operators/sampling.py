@@ -99,10 +99,16 @@ def chunks(df: DataFrame, by: str, most: int, least: int, id_column: str, seed:
 def balanced_rows(df: DataFrame, estimators: int, size: int, id_column: str, seed: int = 0) -> DataFrame:
     """(estimator, row): each estimator's rows are `size` consecutive places of one shuffled cycle over all rows, so each row serves equally often, give or take one.
 
-    The place of a row comes from one global order; rows are ranked in one task, so df is a sample of rows, not a corpus.
+    Places come from a range sort of the keys: ranks within a range, and the sizes of the ranges before it.
     """
-    placed = df.select(id_column, (F.row_number().over(Window.orderBy(key(seed, "balanced", id_column), id_column)) - 1).alias("place"))
-    n = placed.count()
+    keyed = df.select(id_column, key(seed, "balanced", id_column).alias("__key")).repartitionByRange("__key", id_column).withColumn("__p", F.spark_partition_id()).persist()
+    sizes = sorted((r["__p"], r["count"]) for r in keyed.groupBy("__p").count().collect())
+    before, n = {}, 0
+    for p, rows in sizes:
+        before[p] = n
+        n += rows
+    base = F.coalesce(*([F.when(F.col("__p") == p, F.lit(b)) for p, b in before.items()] or [F.lit(0)]))
+    placed = keyed.select(id_column, (base + F.row_number().over(Window.partitionBy("__p").orderBy("__key", id_column)) - 1).alias("place"))
     turns = math.ceil(estimators * size / max(1, n))
     cycle = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).withColumn("slot", F.col("turn") * n + F.col("place"))
     return cycle.where(F.col("slot") < estimators * size).select(F.floor(F.col("slot") / size).cast("int").alias("estimator"), id_column)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tessera.operators import neighbours
+from tessera.functions.keys import key
+from tessera.operators import neighbours, sampling
 from tessera.plans import catalog
 
 
@@ -68,3 +69,13 @@ def test_neighbours_of_all_rows(spark, small, square):
     for r in neighbours.knn(e, e, 7, id_column="vec_id", vector="embedding", square=square).collect():
         found.setdefault(r.query, []).append((r.rank, r.neighbour, r.distance))
     assert {i: [(j, d) for _, j, d in sorted(found[i])] for i in found} == {i: [(j, pytest.approx(d, abs=1e-9)) for d, j in _near(rows, rows, i, 7)] for i in rows}
+
+
+def test_balanced_rows_ranks_in_ranges(spark):
+    df = spark.range(0, 5000, 1, 8).withColumnRenamed("id", "vec_id")
+    dealt = sampling.balanced_rows(df, 6, 2500, "vec_id", 3)
+    assert "SinglePartition" not in dealt._jdf.queryExecution().executedPlan().toString()
+    order = [r.vec_id for r in df.orderBy(key(3, "balanced", "vec_id"), "vec_id").collect()]
+    want = [(slot // 2500, order[slot % 5000]) for slot in range(15000)]
+    assert sorted(tuple(r) for r in dealt.collect()) == sorted(want)
+    assert sampling.balanced_rows(df.limit(0), 6, 2500, "vec_id").count() == 0
