@@ -21,10 +21,10 @@ BLOCK = 512
 PRODUCT = 1 << 22
 
 
-def knn(candidates: DataFrame, queries: DataFrame, k: int, *, id_column: str, vector: str, metric: str = "euclidean", carry: tuple[str, ...] = (), exclude_self: bool = True, parts: int | None = None, square: bool = False) -> DataFrame:
+def knn(candidates: DataFrame, queries: DataFrame, k: int | None, *, id_column: str, vector: str, metric: str = "euclidean", carry: tuple[str, ...] = (), exclude_self: bool = True, parts: int | None = None, square: bool = False) -> DataFrame:
     """query, rank (from 1), neighbour, distance and the carried columns of the neighbour: the k nearest, ties to the smaller identifier.
 
-    metric: euclidean or cosine (1 - cosine). Distances are in double precision.
+    metric: euclidean or cosine (1 - cosine). Distances are in double precision. k: None ranks all candidates.
     square: queries are about as many as candidates, so both are dealt into blocks and a task has a pair of blocks.
     """
     spark = candidates.sparkSession
@@ -43,7 +43,7 @@ def knn(candidates: DataFrame, queries: DataFrame, k: int, *, id_column: str, ve
         q = np.stack(asked["v"].to_list())
         every, whole, xx, qq = names, x, (x * x).sum(1), (q * q).sum(1)
         # squares by one product choose what could be among the k nearest; distances come from differences below
-        rough = metric == "euclidean" and len(x) > 4 * k and np.isfinite(xx).all() and np.isfinite(qq).all()
+        rough = k is not None and metric == "euclidean" and len(x) > 4 * k and np.isfinite(xx).all() and np.isfinite(qq).all()
         step = max(1, PRODUCT // max(1, len(x)))
         for i, name in enumerate(asked["id"]):
             at = np.arange(len(every))
@@ -60,7 +60,7 @@ def knn(candidates: DataFrame, queries: DataFrame, k: int, *, id_column: str, ve
             else:
                 d = np.sqrt(((x - q[i]) ** 2).sum(1))
             d = np.where(names == name, np.inf, d) if exclude_self else d
-            some = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
+            some = np.argpartition(d, k - 1)[:k] if k is not None and len(d) > k else np.arange(len(d))
             some = np.flatnonzero(d <= d[some].max()) if len(some) else some
             for j in some[np.lexsort((names[some], d[some]))][:k]:
                 if np.isfinite(d[j]):
@@ -91,7 +91,8 @@ def knn(candidates: DataFrame, queries: DataFrame, k: int, *, id_column: str, ve
     both = own.unionByName(sent).repartition(n, "part").sortWithinPartitions("part", "kind")
     near = both.mapInPandas(scan, f"query long, neighbour long, distance double, {kinds}").drop("_")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = near.withColumn("rank", rank)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def hub_scores(near: DataFrame) -> DataFrame:

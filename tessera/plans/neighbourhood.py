@@ -63,7 +63,7 @@ def nearest_other_class(spark, sf_dir):
 
 def knn_shapley(spark, sf_dir):
     pool = _e(spark, sf_dir).where("vec_id % 5 = 1")
-    near = nb.knn(pool, _q(spark, sf_dir), 1_000_000, carry=("label",), **E)
+    near = nb.knn(pool, _q(spark, sf_dir), None, carry=("label",), **E)
     return nb.shapley(near, _own(spark, sf_dir), 4).select("neighbour", F.round("value", 6).alias("value"))
 
 

@@ -79,3 +79,15 @@ def test_balanced_rows_ranks_in_ranges(spark):
     want = [(slot // 2500, order[slot % 5000]) for slot in range(15000)]
     assert sorted(tuple(r) for r in dealt.collect()) == sorted(want)
     assert sampling.balanced_rows(df.limit(0), 6, 2500, "vec_id").count() == 0
+
+
+def test_shapley_ranks_all(spark, small, monkeypatch):
+    path, rows = small
+    e = spark.read.parquet(f"{path}/embeddings.parquet")
+    near = neighbours.knn(e, e.where("vec_id % 25 = 0"), None, id_column="vec_id", vector="embedding")
+    found = {(r.query, r["rank"]): r.neighbour for r in near.collect()}
+    assert found == {(i, k): j for i in rows if i % 25 == 0 for k, (_, j) in enumerate(_near(rows, rows, i, None), 1)}
+    asked, knn = [], neighbours.knn
+    monkeypatch.setattr(neighbours, "knn", lambda c, q, k, **more: asked.append(k) or knn(c, q, k, **more))
+    catalog.queries()["knn_shapley"](spark, path)
+    assert asked == [None]
