@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 
@@ -30,7 +31,9 @@ def knn_scorer(vector: str = "embedding", label: str = "label", k: int = 5, id_c
 
 
 def schedule(left: int, step: int, how: str, amount: float) -> int:
-    """Rows to accept in a step: all (oneshot), amount rows (m), a share of what is left (frac), or that share shrinking by half each step (shrink)."""
+    """Rows to accept in a step by what is left alone: all (oneshot), amount rows (m), a share of what is left (frac), or that share shrinking by half each step (shrink). Growth takes step_size, where frac and shrink are other formulas."""
+    if how not in ("oneshot", "m", "frac", "shrink"):
+        raise ValueError(f"unknown schedule {how!r}")
     if how == "oneshot":
         return left
     if how == "m":
@@ -39,17 +42,26 @@ def schedule(left: int, step: int, how: str, amount: float) -> int:
     return min(left, max(1, int(left * share)))
 
 
+def step_size(how: str, amount: float, *, rows: int, accepted: int, left: int) -> int:
+    """Rows to accept in a step, at least one and at most what is left to accept: all (oneshot), amount rows (m), amount percent of the pool's rows (pct), or amount as a share of the accepted set (frac), of what is left (shrink), or of the smaller of the two (both). Shares are rounded up."""
+    sizes = {"oneshot": left, "m": int(amount), "pct": math.ceil(amount / 100 * rows), "frac": math.ceil(amount * accepted), "shrink": math.ceil(amount * left), "both": math.ceil(amount * min(accepted, left))}
+    if how not in sizes:
+        raise ValueError(f"unknown schedule {how!r}")
+    return max(0, min(left, max(1, sizes[how])))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage in the session's checkpoint folder."""
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
 
 
 def greedy_growth(seeds: DataFrame, pool: DataFrame, scorer: Scorer, total: int, *, how: str = "frac", amount: float = 0.5, id_column: str = "row_id", rounds: int = 50) -> DataFrame:
-    """From the seeds on: score the rest of the pool with what is accepted, accept the best by schedule (ties to the smaller identifier), until `total` rows of the pool are in. Returns id_column, step."""
+    """From the seeds on: score the rest of the pool with what is accepted, accept the best by step_size (ties to the smaller identifier), until `total` rows of the pool are in. Returns id_column, step."""
     accepted, taken, parts = seeds, 0, []
     rest = pool.join(seeds.select(id_column), id_column, "left_anti")
+    rows, given = rest.count(), seeds.count()
     for step in range(rounds):
-        m = schedule(total - taken, step, how, amount)
+        m = step_size(how, amount, rows=rows, accepted=given + taken, left=total - taken)
         if m <= 0:
             break
         best = cut(scorer(accepted, rest).orderBy(F.desc("score"), id_column).limit(m).select(id_column))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
 from tessera.functions.keys import key
-from tessera.operators import neighbours, sampling
+from tessera.operators import loops, neighbours, sampling
 from tessera.plans import catalog
 
 
@@ -50,7 +52,7 @@ def test_greedy_growth(spark, small):
     path, rows = small
     accepted, rest, want = [i for i in rows if i % 4 == 0], [i for i in rows if i % 4], {}
     for step in range(50):
-        m = min(60 - len(want), max(1, int((60 - len(want)) * 0.5)))
+        m = min(60 - len(want), max(1, math.ceil(len(accepted) * 0.5)))
         if m <= 0:
             break
         score = {i: sum(rows[j][1] == rows[i][1] for _, j in _near(rows, accepted, i, 5)) / 5 for i in rest}
@@ -91,3 +93,13 @@ def test_shapley_ranks_all(spark, small, monkeypatch):
     monkeypatch.setattr(neighbours, "knn", lambda c, q, k, **more: asked.append(k) or knn(c, q, k, **more))
     catalog.queries()["knn_shapley"](spark, path)
     assert asked == [None]
+
+
+def test_schedules():
+    size = lambda how, amount, left=40: loops.step_size(how, amount, rows=90, accepted=25, left=left)
+    assert [size("oneshot", 0), size("m", 7), size("pct", 5), size("frac", 0.3), size("shrink", 0.3), size("both", 0.3)] == [40, 7, 5, 8, 12, 8]
+    assert [size("frac", 9), size("shrink", 0.001), size("both", 0.3, 10), size("m", 7, 0)] == [40, 1, 3, 0]
+    with pytest.raises(ValueError):
+        size("half", 0.5)
+    with pytest.raises(ValueError):
+        loops.schedule(100, 0, "pct", 5)
