@@ -1,22 +1,26 @@
-"""Shared plumbing: the folder that all executors see, and tables written there to cut lineage."""
+"""Shared plumbing: the folder that all executors see, tables written there to cut lineage, and a bounded filter of rows."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters between words: space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words of 64 bits in the filter of sifted(): its broadcast has so many rows at most, whatever the tables' sizes.
+SLOTS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. A local session without it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -34,6 +38,47 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written()."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if path.startswith(shared_dir(spark)) or path.split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/")):
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, lengthened until no column of `taken` has it, upper and lower case being the same."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str) -> DataFrame:
+    """rows with a column `name`: true for every row whose key, a long, is among the wanted ones, and by chance for a few others.
+
+    A bit for each wanted key in a table of at most SLOTS words, which is broadcast (some 30 MB at
+    most). Beyond some 30 million wanted keys most bits are set: then most rows are marked, and
+    what follows costs what it would cost without this.
+    """
+    hashed = lambda k: F.xxhash64(k, F.lit(7))
+    slot, bits, code = (fresh(c, [*rows.columns, name]) for c in ("__slot", "__bits", "__code"))
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(`{code}`, 40) & 63 as int))")
+    words = wanted.select(hashed(wanted_key).alias(code)).select(F.pmod(F.col(code), F.lit(SLOTS)).cast("int").alias(slot), bit.alias(bits)).groupBy(slot).agg(F.bit_or(bits).alias(bits))
+    coded = rows.withColumn(code, hashed(key))
+    coded = coded.withColumn(slot, F.pmod(F.col(code), F.lit(SLOTS)).cast("int"))
+    found = coded.join(F.broadcast(words), slot, "left").withColumn(name, F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False)))
+    return found.select(*(f"`{c}`" for c in rows.columns), name)
+
+
+def sifted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows whose key is among the wanted ones, and a few others (see marked); what a join drops need not be shuffled for it."""
+    hit = fresh("__hit", rows.columns)
+    return marked(rows, key, wanted, wanted_key, hit).where(F.col(hit)).drop(hit)
+
+
 def words_sql(column: str | Column = "text") -> Column:
     """Words of a text as an array: maximal runs of characters outside space and tab to carriage return; A-Z lower-cased. Null or no word: an empty array."""
     text = F.col(column) if isinstance(column, str) else column
@@ -51,23 +96,21 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, most: tuple[int, int], columns: list[str | Column]) -> DataFrame:
-    """A bounded sample to learn from: the given columns and y of rows of docs whose label, 0 or 1, is known and that aren't held out; of each class the most[class] identifiers with the least hash.
+def labelled(docs: DataFrame, labels: DataFrame, target: str, most: tuple[int, int], columns: dict[str, str | Column]) -> DataFrame:
+    """A bounded sample to learn from: the given columns by name, and y, of rows of docs whose label, 0 or 1, is known and that aren't held out; of each class the most[class] identifiers of docs with the least hash.
 
     Only this choice reads doc_id and labels. Labels that are neither 0 nor 1 are ignored; of
-    several for one document the largest counts. The sample is written to the shared folder.
+    several for one document the largest counts. Of rows that repeat an identifier one in the
+    order of text stands for it. The sample is written to the shared folder.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("__id"), F.col(target).cast("int").alias("y")).where("y in (0, 1)")
-    known = known.groupBy("__id").agg(F.max("y").alias("y"))
-    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in enumerate(most)]
+    known = labels.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col(target).cast("int").alias("y")).where("y in (0, 1)")
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
+    here = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id")).distinct()
+    known = written(known.join(here, "id", "left_semi"), "known")
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in enumerate(most)]
     chosen = written(drawn[0].unionByName(drawn[1]), "chosen")  # sum(most) rows at most, so it may be broadcast
-    return written(docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__id")).select(*columns, "y"), "sample")
-
-
-def drop(table: DataFrame) -> None:
-    """Deletes the files of a table made by written()."""
-    spark = table.sparkSession
-    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        if path.startswith(shared_dir(spark)) or path.split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/")):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    picked = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    out = written(picked.select(*(F.col(c).alias(name) if isinstance(c, str) else c.alias(name) for name, c in columns.items()), "y"), "sample")
+    drop(known, chosen)
+    return out

@@ -159,7 +159,7 @@ class Ensemble:
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", *, most: tuple[int, int] = (6000, 14000), penalty: float = 2e-3, **trees: float) -> Ensemble:
     """An ensemble from at most most[0] rows of label 0 and most[1] of label 1 that aren't held out. Without rows of both labels it gives the share of label 1 to any text, 0.5 without rows."""
-    sample = labelled(docs, labels, target, most, ["text"])
+    sample = labelled(docs, labels, target, most, {"text": "text"})
     measured, names = statistics(sample)
     rows = measured.select("y", *names).toPandas()  # sum(most) rows of numbers
     y = rows["y"].to_numpy(dtype=float)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tessera.llm.common import held_out, labelled
+from tessera.llm.common import fresh, held_out, labelled
 
 LENGTHS = (3, 4, 5, 6)
 BITS = 18
@@ -118,7 +118,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.nd
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", *, most: tuple[int, int] = (8000, 4000), features: int = 4096, smoothing: float = 1.0, penalty: float = 1e-4, steps: int = 150) -> Model:
     """A model from at most most[0] rows of label 0 and most[1] of label 1 that aren't held out. Without rows of both labels it gives the share of label 1 to any text, 0.5 without rows."""
-    sample = labelled(docs, labels, target, most, ["text"]).coalesce(8)
+    sample = labelled(docs, labels, target, most, {"text": "text"}).coalesce(8)
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, rows = np.zeros((2, 1 << BITS), dtype=np.int64), np.zeros(2, dtype=np.int64)
@@ -183,5 +183,6 @@ def op4_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are predicted 0."""
-    return docs.withColumn("__score", score_sql(train(docs, labels), docs)).where("__score < 0.5").drop("__score")
+    """The rows of docs that are predicted 0, with all their columns, whatever their names."""
+    score = fresh("__score", docs.columns)
+    return docs.withColumn(score, score_sql(train(docs, labels), docs)).where(F.col(score) < 0.5).drop(score)
