@@ -1,51 +1,57 @@
-"""Exact similarity join on word shingles with count vectors (operator 5).
-
-The hashes of a text's shingles fall into groups. Two sets with a Jaccard similarity
-of at least `similarity` differ in a bounded number of hashes, so when there are more
-groups than that, some group holds the same hashes in both. That makes cells: the sets
-that agree on the content of a group meet in it, and every similar pair meets. Groups of
-one hash, which a passage common to many texts often fills alone, are left out: there are
-enough groups that sets agree in one of two hashes or more.
-
-Within a cell the counts of hashes in equal ranges, about as many ranges as hashes, are
-points in an R-tree. Two
-sets share at most the sum of the smaller of their counts, and a set shares with none
-below a node more than the sum of the minima of its counts and the node's upper corner;
-so the tree yields the pairs that could be similar. Those are verified on the whole sets.
-
-Sets that are equal are one class. Classes that verified pairs connect are components.
-A pair is only verified while its classes are in different components: every class
-first meets the most connected class of its cells, and what is left then meets the rest
-of its cells, until each pair that the trees yield is tested or within one component.
+"""Exact similarity join on word shingles with count-vector R-trees (operator 5).
+
+The counts of a set's hashes in equal ranges are a point. Two sets share at most the sum
+of the smaller of their counts, and a set shares with none below a node of an R-tree of
+points more than the sum of the minima of its counts and the node's upper corner. So a
+tree yields the pairs that could be similar, and those are verified on the words.
+
+One tree can't be searched by many tasks without each task meeting most of it: the bound
+only separates sets that differ much, and any two leaves of sets of like size could hold a
+similar pair. Trees are therefore built in cells, in which every similar pair meets. The
+hashes of a set fall into groups, more than the hashes in which it can differ from a similar
+set; so of any `lack + 1` groups one holds the same hashes in both. A key names the content
+of a group. Of the keys of a set the `lack + 1` rarest ones in the whole table are enough,
+as long as all sets agree on an order of keys: a set that has so many keys of its own has no
+similar one, and a passage common to many texts brings nothing together unless a text is
+made of little else. Sets with a key in common are a cell.
+
+Sets that are equal are one class. Classes that verified pairs connect are components, and
+a pair is only verified while its classes are in different ones. First every class of a cell
+meets the cell's most connected class; after a few such rounds trees find what is left:
+within a cell, the classes outside its largest component search those of all others.
+
+Hashes have 64 bits (words in lanes of eight bytes, each through a finished mixer); sizes of
+sets rely on them, links are decided on the words themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import drop, tasks, written
+from tessera.llm.common import drop, fresh, marked, sifted, tasks, written
 
-#: Most coordinates of a point, and the least content of a group that makes a cell.
-COORDINATES, STRONG = 4096, 2
-#: Sets in a leaf of a tree, and the most of a cell that one task searches at once.
-LEAF, BLOCK = 32, 4096
-#: Rounds in which each class tests one further class, before all that are left are tested.
-ROUNDS = 2
+#: Most coordinates of a point.
+COORDINATES = 4096
+#: Groups of the largest sets of a level for each hash in which those can differ.
+SPARE = 1.15
+#: Sets in a leaf of a tree, and the most of a cell on either side of a task.
+LEAF, BLOCK = 32, 2048
+#: Rounds in which classes meet one class of their cells before trees find what is left. They save work and change no result.
+STARS = 3
+#: Bytes of text hashed at a time, and the sets that a task remembers to give keys of equal ones once.
+CHUNK, SEEN = 1 << 20, 200_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LETTERS = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LETTERS[ord("A") : ord("Z") + 1] = _LETTERS[ord("a") : ord("z") + 1]
-_LETTERS[_SPACE] = 0
-_POWERS = np.concatenate([[np.uint64(1)], np.full((1 << 16) - 1, 0x9E3779B97F4A7C15, dtype=np.uint64)]).cumprod(dtype=np.uint64)
-_HIGH = np.concatenate([[np.uint64(1)], np.full((1 << 14) - 1, 0xC2B2AE3D27D4EB4F, dtype=np.uint64)]).cumprod(dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,58 +61,113 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, n: int = 4) -> np.ndarray:
-    """The sorted distinct hashes of a text's runs of n words, A-Z lower-cased; with fewer words, of the whole run; none without words."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def lowered(text: str | None) -> bytes:
+    """A text in UTF-8 with A-Z lower-cased; null is empty."""
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words of UTF-8 bytes start, and their hashes: lanes of eight bytes, each mixed with its place in the word, their sum mixed with the word's length."""
     gap = _SPACE[data]
     first = ~gap
     first[1:] &= gap[:-1]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    data, gap = data[starts[0] :], gap[starts[0] :]
-    starts = starts - starts[0]
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    values = _LETTERS[data] * _POWERS[place & 0xFFFF]
-    if place.max() > 0xFFFF:
-        values *= _HIGH[place >> 16]
-    words = mixed(np.add.reduceat(values, starts))
-    size = min(n, len(words))
-    total = np.full(len(words) - size + 1, size, dtype=np.uint64)
-    for k in range(size):
-        total = mixed(total + words[k : len(words) - size + 1 + k])
-    return np.unique(total)
+        return starts, np.zeros(0, dtype=np.uint64)
+    letters = np.flatnonzero(~gap)
+    lengths = np.bincount(first.cumsum()[letters] - 1, minlength=len(starts))
+    lanes = (lengths + 7) >> 3
+    base = np.concatenate([[0], lanes.cumsum()])
+    room = np.zeros(base[-1] * 8, dtype=np.uint8)
+    room[letters + np.repeat(base[:-1] * 8 - starts, lengths)] = data[letters]
+    place = np.arange(base[-1], dtype=np.uint64) - np.repeat(base[:-1], lanes).astype(np.uint64)
+    mixes = mixed(room.view("<u8") ^ mixed(place + np.uint64(0x9E3779B97F4A7C15)))
+    return starts, mixed(np.add.reduceat(mixes, base[:-1]) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def shingle_sets(texts: Iterable[str | None], n: int = 4) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of n words, A-Z lower-cased; with fewer words, of the whole run; none without words."""
+    parts, held = [], 0
+    for text in texts:
+        parts.append(lowered(text))
+        held += len(parts[-1])
+        if held > CHUNK:
+            yield from _chunk(parts, n)
+            parts, held = [], 0
+    yield from _chunk(parts, n)
+
+
+def _chunk(parts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    starts, words = _words(np.frombuffer(b" ".join(parts), dtype=np.uint8))
+    offsets = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)])
+    at = np.searchsorted(starts, offsets)
+
+    def runs(part: np.ndarray, size: int) -> np.ndarray:
+        total = np.full(len(part) - size + 1, size, dtype=np.uint64)
+        for k in range(size):
+            total = mixed(total + part[k : len(part) - size + 1 + k])
+        return total
+
+    whole = runs(words, n) if len(words) >= n else words
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        if b - a >= n:
+            yield np.unique(whole[a : b - n + 1])
+        else:
+            yield runs(words[a:b], b - a) if b > a else np.zeros(0, dtype=np.uint64)
 
 
-def _lack(size: int, percent: int) -> int:
-    """Most hashes in which a set of this size and a similar one differ."""
-    return size * (100 - percent) // percent
+def shingle_set(text: str | None, n: int = 4) -> np.ndarray:
+    return next(shingle_sets([text], n))
 
 
-def _groups(level: int, percent: int) -> int:
-    """Groups of the sets with 2 ** level hashes or more, up to twice as many: more than they can lack."""
-    top = _lack((2 << level) - 1, percent)
-    # the lower the similarity, the smaller the groups: it takes more of them to have enough strong ones
-    return max(top + 1, -(-top * (9 if percent >= 85 else 11) // 8))
+def shingles(text: str | None, n: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    words = lowered(text).split()  # at space and tab to carriage return
+    return set(zip(*(words[k:] for k in range(n)))) if len(words) >= n else {tuple(words)} if words else set()
 
 
-def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the cells of a set. Groups are ranges of the hash. Of the first groups, as far as it takes to have more groups of STRONG hashes than the set can lack, the strong ones make cells; with fewer in all, every group does, even an empty one."""
-    size, out = len(hashes), []
-    lack, own = _lack(size, percent), size.bit_length() - 1
-    if not lack:
-        return np.zeros(0, dtype=np.int64)  # similar sets are equal ones
-    levels = [own, own + 1] if size * 100 // percent >= 2 << own else [own]
+def _lack(size: int, level: int, percent: int) -> int:
+    """Most hashes in which a set of this size differs from a similar one below the top of a level."""
+    other = min(size * 100 // percent, (2 << level) - 1)
+    return (size + other) * (100 - percent) // (100 + percent)
+
+
+@lru_cache(maxsize=256)
+def _borders(level: int, percent: int) -> np.ndarray:
+    """The least hash of each group of the sets with 2 ** level hashes or more, up to twice as many, and of the sets one level below that could be similar to them."""
+    top = _lack((2 << level) - 1, level, percent)
+    m = max(top + 1, int(np.ceil(top * SPARE)))
+    return np.array([-(-(g << 32) // m) << 32 for g in range(m)], dtype=np.uint64)
+
+
+def keys(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, tuple[int, int]]:
+    """Keys of the groups of a set, at its own level and, if a similar set can be there, at the next; and for even and odd levels how many of the set's keys there may be left out.
+
+    Bit 0 of a key tells even levels from odd ones. Groups are ranges of the hash; empty ones
+    have keys, marked in bit 1, only where there are too few others.
+    """
+    size, out, spare = len(hashes), [], [0, 0]
+    own = size.bit_length() - 1
     sums = np.concatenate([[np.uint64(0)], mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)).cumsum(dtype=np.uint64)])
-    for level in levels:
-        m = _groups(level, percent)
-        group = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        border = np.searchsorted(group, np.arange(m + 1, dtype=np.uint64))
-        content = sums[border[1:]] - sums[border[:-1]]
-        kept = np.flatnonzero(border[1:] - border[:-1] >= STRONG)
-        kept = kept[: lack + 1] if len(kept) > lack else np.arange(m)
-        out.append(mixed(content[kept] + mixed((np.uint64(level) << np.uint64(32)) + kept.astype(np.uint64))))
-    return np.concatenate(out).view(np.int64)
+    for level in [own, own + 1] if size * 100 // percent >= 2 << own else [own]:
+        lack = _lack(size, level, percent)
+        if not lack:  # similar sets of this level are equal ones
+            continue
+        borders = _borders(level, percent)
+        border = np.append(np.searchsorted(hashes, borders), size)
+        filled = border[1:] > border[:-1]
+        kept = np.flatnonzero(filled)
+        if len(kept) <= lack:
+            kept = np.arange(len(borders))
+        spare[level & 1] = len(kept) - lack - 1
+        content = sums[border[kept + 1]] - sums[border[kept]]
+        key = mixed(content + mixed((np.uint64(level) << np.uint64(32)) + kept.astype(np.uint64)))
+        out.append((key & ~np.uint64(3)) | (~filled[kept]).astype(np.uint64) << np.uint64(1) | np.uint64(level & 1))
+    return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)).view(np.int64), (spare[0], spare[1])
+
+
+def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
+    return keys(hashes, percent)[0]
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
@@ -115,6 +176,16 @@ def point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
+def _packed(p: np.ndarray) -> bytes:
+    """A point as bytes, whose first tells the width of a count."""
+    width = 1 if p.max() < 1 << 8 else 2 if p.max() < 1 << 16 else 4
+    return bytes([width]) + p.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int32)
+
+
 def together(points: list[np.ndarray]) -> np.ndarray:
     """Points with as many coordinates as the shortest: neighbouring ranges are added up."""
     n = min(map(len, points))
@@ -156,128 +227,163 @@ class CountTree:
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row of docs: doc_id, size, digest (null for an empty set), point, cells."""
+    """Per row of docs: doc_id, print (hash of the text), size, digest and node (of 128 and 64 bits; null for an empty set), keys, spare. A task gives the keys of equal sets once."""
 
-    def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                s = shingle_set(text, n)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, np.minimum(point(s), 0xFFFFFFFF).astype("<u4" if len(s) > 0xFFFF else "<u2").tobytes(), signatures(s, percent)))
-            found = pd.DataFrame(rows, columns=["size", "digest", "point", "cells"])
-            yield found.assign(doc_id=batch["doc_id"].to_numpy(), missing=batch["missing"].to_numpy())
-
-    number = F.col("doc_id").cast("long")
-    rows = docs.select(F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNull().alias("missing"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInPandas(measure, "doc_id long, missing boolean, size long, digest binary, point binary, cells array<long>")
-    return found.withColumn("doc_id", F.expr("if(missing, null, doc_id)")).drop("missing")
-
-
-def _cells(classes: DataFrame) -> DataFrame:
-    """Cells with two classes or more, those with the same classes once: cell, node, weight (in how many cells, times the others there)."""
-    rows = classes.select("node", F.explode("cells").alias("key"))
-    one = Window.partitionBy("key")
-    met = rows.select("node", F.count(F.lit(1)).over(one).alias("n"), F.bit_xor(F.xxhash64("node")).over(one).alias("cell")).where("n > 1")
-    return met.groupBy("cell", "n", "node").agg(F.sum(F.col("n") - 1).alias("weight")).select(F.xxhash64("cell", "n").alias("cell"), "n", "node", "weight")
+            sizes, digests, nodes, found, ends, spares = [], [], [], [], [0], []
+            for s in shingle_sets(batch.column("text").to_pylist(), n):
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                own, spare = (np.zeros(0, dtype=np.int64), (0, 0)) if digest is None or digest in seen else keys(s, percent)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(digest)
+                sizes.append(len(s))
+                digests.append(digest)
+                nodes.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
+                found.append(own)
+                ends.append(ends[-1] + len(own))
+                spares += spare
+            values = pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            pairs = pa.ListArray.from_arrays(pa.array(range(0, 2 * len(sizes) + 1, 2), pa.int32()), pa.array(spares, pa.int32()))
+            columns = [batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), lists, pairs]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "size", "digest", "node", "keys", "spare"])
+
+    rows = _numbered(docs)
+    return rows.mapInArrow(measure, "doc_id long, print long, size long, digest binary, node long, keys array<long>, spare array<int>")
+
+
+def _print(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _print(F.col("text")).alias("print"), F.col("text").cast("string").alias("text"))
+
+
+def _cells(sets: DataFrame) -> DataFrame:
+    """Cells with two nodes or more, those with the same nodes once: cell, n (nodes), node, weight (in how many cells, times the others there)."""
+    rows = sets.select("node", "spare", F.explode("keys").alias("key"))
+    # a key of several nodes, counted before its rows meet, so that a frequent one is no burden
+    several = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("often")).where("a <> b").select("key", "often")
+    several = written(several, "several")
+    met = sifted(rows, F.col("key"), several, F.col("key")).join(several, "key").dropDuplicates(["key", "node"])
+    left = F.element_at("spare", (F.col("key").bitwiseAND(1) + 1).cast("int"))
+    most = Window.partitionBy("node", F.col("key").bitwiseAND(1)).orderBy(F.desc(F.col("key").bitwiseAND(2)), F.desc("often"), F.desc("key"))
+    met = written(met.withColumn("rank", F.row_number().over(most)).where(F.col("rank") > left).select("key", "node"), "met")
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("same"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("also")).where("n > 1")
+    rows = met.join(sizes, "key").select(F.xxhash64("n", "same", "also").alias("cell"), "n", "node")
+    out = written(rows.groupBy("cell", "n", "node").agg(F.sum(F.col("n") - 1).alias("weight")), "cells")
+    drop(several, met)
+    return out
+
+
+def _similar_sizes(a: str, b: str, percent: int) -> Column:
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) if a != b else F.lit(True)
+
+
+def _met_centres(cells: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, other): every class of a cell with several components and the most connected class of the cell outside its largest component, where the two are in different ones."""
+    own = cells.join(labels, "node")
+    counts = own.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("degree", "node", "label", "size")).alias("top"))
+    largest = counts.groupBy("cell").agg(F.max(F.struct("c", (-F.col("top.degree")).alias("d"), "label")).alias("largest"))
+    centres = counts.join(largest, "cell").where(F.col("label") != F.col("largest.label")).groupBy("cell").agg(F.max("top").alias("centre"))
+    pairs = own.join(centres, "cell").where(F.col("label") != F.col("centre.label"))
+    pairs = pairs.select("node", F.col("centre.node").alias("other"), "size", F.col("centre.size").alias("bound"))
+    return pairs.where(_similar_sizes("size", "bound", percent)).select("node", "other").distinct()
 
 
-def _search(cells: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs (cell, node, other) of classes in a cell and in different components that the trees yield, written; per node and cell the `most` others of the greatest degree (None: all).
+def _searched(cells: DataFrame, labels: DataFrame, content: DataFrame, percent: int) -> DataFrame:
+    """All pairs (node, other) of classes in a cell and in different components that the trees yield.
 
-    cells: cell, n, node; classes: node, degree, size, point. A cell of more than BLOCK classes is dealt into blocks, and each pair of blocks is a task's.
+    Of a cell with several components, blocks of the classes outside the largest one are each
+    a task's with every block of the cell, so that a cell whose classes are mostly connected
+    is dealt out about once.
     """
-    own = cells.join(labels, "node")
-    several = own.groupBy("cell").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cell")
-    own = own.join(several, "cell", "left_semi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
-    dealt = own.withColumn("block", block).withColumn("against", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(F.xxhash64("cell", F.least("block", "against"), F.greatest("block", "against")).alias("task"), "cell", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"), "block", "node", "label")
-    dealt = dealt.join(classes.select("node", "degree", "size", "point"), "node")
-
-    def pairs(degree: np.ndarray, names: np.ndarray, label: np.ndarray, side: np.ndarray, points: list, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((names, -degree))
-        names, label, side = names[order], label[order], side[order]
-        tree, found = CountTree(together([points[k] for k in order])), []
+    own = cells.select("cell", "node").join(labels.select("node", "label"), "node")
+    counts = own.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = counts.groupBy("cell").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    own = own.join(largest, "cell")
+    inside = F.col("label") == F.col("most.label")
+    rest, big = (F.ceil(x / BLOCK).cast("int") for x in (F.col("all") - F.col("most.c"), F.col("most.c")))
+    hashed = F.xxhash64("node", F.lit(1))
+    own = own.select("cell", "node", "label", inside.alias("inside"), rest.alias("rest"), big.alias("big"))
+    own = own.withColumn("block", F.when(F.col("inside"), F.col("rest") + F.pmod(hashed, F.col("big"))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int"))
+    dealt = own.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("rest") + F.when(F.col("inside"), 0).otherwise(F.col("big")) - 1)))
+    dealt = dealt.select("cell", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"), "block", "node", "label")
+    dealt = dealt.join(content.select("node", "point"), "node")
+
+    def pairs(names: np.ndarray, label: np.ndarray, side: np.ndarray, raw: list, cross: bool) -> tuple[list, list]:
+        points = together([_unpacked(x) for x in raw])
+        if len(points) == 2:
+            a, b = points.sum(1).tolist()
+            near = label[0] != label[1] and int(np.minimum(*points).sum()) * (100 + percent) >= percent * (a + b)
+            return ([names[1:]], [names[:1]]) if near else ([], [])
+        tree, x, y = CountTree(points), [], []
         for k in range(len(names)):
-            near = tree.near(tree.points[k], percent)
+            near = tree.near(points[k], percent)
             near = near[label[near] != label[k]]
-            if cross:
-                near = near[side[near] != side[k]]
-            near = near[:most] if most else near[near > k]
-            found.append((names[near], np.full(len(near), names[k])))
-        return np.concatenate([b for _, b in found]), np.concatenate([a for a, _ in found])
+            near = near[(side[near] != side[k]) & (near > k)] if cross else near[near > k]
+            x.append(names[near])
+            y.append(np.full(len(near), names[k]))
+        return x, y
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            held, out = yield_all(rows, last=False)
+            held, out = whole_tasks(rows, last=False)
             yield out
         if held is not None and len(held):
-            yield yield_all(held, last=True)[1]
+            yield whole_tasks(held, last=True)[1]
 
-    def yield_all(rows: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+    def whole_tasks(rows: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
         """The rows of the last task, unless it is complete, and the pairs of the others."""
-        cell, i, j = (rows[c].to_numpy() for c in ("cell", "i", "j"))
+        cell, i, j, names, label, side = (rows[c].to_numpy() for c in ("cell", "i", "j", "node", "label", "block"))
         ends = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         cuts = [0, *ends.tolist(), *([len(rows)] if last else [])]
-        degree, names, label, side = (rows[c].to_numpy() for c in ("degree", "node", "label", "block"))
-        raw, sizes, parts = rows["point"].to_list(), rows["size"].to_numpy(), []
+        raw, xs, ys = rows["point"].to_list(), [], []
         for a, b in zip(cuts, cuts[1:]):
             if b - a > 1:
-                own = [np.frombuffer(raw[k], dtype="<u4" if sizes[k] > 0xFFFF else "<u2").astype(np.int64) for k in range(a, b)]
-                x, y = pairs(degree[a:b], names[a:b], label[a:b], side[a:b], own, i[a] != j[a])
-                parts.append((np.full(len(x), cell[a]), x, y))
-        out = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, dtype=np.int64)] * 3
-        return rows.iloc[cuts[-1] :], pd.DataFrame(dict(zip(("cell", "node", "other"), out)))
-
-    spread = dealt.repartition(tasks(cells.sparkSession), "task").sortWithinPartitions("cell", "i", "j").drop("task")
-    return written(spread.mapInPandas(scan, "cell long, node long, other long").where("node <> other"), "met")
-
-
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (node, other) whose sets are similar. Sets are made again from the texts of the classes concerned; those compared with one class stream past it, in shares of BLOCK."""
-    spark = docs.sparkSession
-    pairs = pairs.withColumn("share", F.pmod(F.xxhash64("node"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("other")) / BLOCK).cast("long")))
-    pairs = written(pairs.select("node", "other", "share"), "pairs")
-    wanted = pairs.select("node", "other", "share", F.lit(1).alias("kind")).unionByName(pairs.select(F.col("other").alias("node"), "other", "share", F.lit(0).alias("kind")).distinct())
-    concerned = wanted.select("node").distinct().join(classes.select("node", "digest", F.col("first").alias("__id")), "node")
-    concerned = written(concerned, "concerned")
-
-    def remake(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for node, digest, text in zip(batch["node"], batch["digest"], batch["text"], strict=True):
-                s = shingle_set(text, n).tobytes()
-                if hashlib.blake2b(s, digest_size=16).digest() == bytes(digest):  # of several texts of one identifier the one of this class
-                    rows.append((node, s))
-            yield pd.DataFrame(rows, columns=["node", "hashes"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = texts.join(concerned, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "digest", "text").mapInPandas(remake, "node long, hashes binary")
-
-    def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, one = None, None
+                x, y = pairs(names[a:b], label[a:b], side[a:b], raw[a:b], i[a] != j[a])
+                xs += x
+                ys += y
+        out = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (xs, ys)]
+        return rows.iloc[cuts[-1] :], pd.DataFrame(dict(zip(("node", "other"), out)))
+
+    spread = dealt.repartition(tasks(cells.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return spread.mapInPandas(scan, "node long, other long").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
+
+
+def _verified(content: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (node, other) whose texts are similar, decided on their shingles. The texts compared with one stream past it, in shares of BLOCK."""
+    spark = content.sparkSession
+    shares = pairs.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("shares"))
+    dealt = pairs.join(shares, "other").select("node", "other", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"))
+    ones = dealt.select(F.col("other").alias("node"), "other", "share", F.lit(0).alias("kind")).distinct()
+    rows = dealt.withColumn("kind", F.lit(1)).unionByName(ones).join(content.select("node", "text"), "node")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, one = None, set()
         for batch in batches:
-            found = []
-            for other, share, kind, node, hashes in zip(batch["other"], batch["share"], batch["kind"], batch["node"], batch["hashes"], strict=True):
+            nodes, others = [], []
+            for other, share, kind, node, text in zip(*(batch.column(c).to_pylist() for c in ("other", "share", "kind", "node", "text")), strict=True):
                 if (other, share) != current:
-                    current, one = (other, share), None
-                mine = np.frombuffer(hashes, dtype=np.uint64)
+                    current, one = (other, share), set()
+                mine = shingles(text, n)
                 if kind == 0:
                     one = mine
                     continue
-                at = np.searchsorted(one, mine)
-                at[at == len(one)] = 0
-                shared = int((one[at] == mine).sum())
+                shared = len(one & mine)
                 if 100 * shared >= percent * (len(one) + len(mine) - shared):
-                    found.append((node, other))
-            yield pd.DataFrame(found, columns=["node", "other"], dtype="int64")
+                    nodes.append(node)
+                    others.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(others, pa.int64())], ["node", "other"])
 
-    rows = made.join(wanted, "node").dropDuplicates(["node", "other", "share", "kind"])
-    dealt = rows.repartition(tasks(spark), "other", "share").sortWithinPartitions("other", "share", "kind")
-    return written(dealt.select("other", "share", "kind", "node", "hashes").mapInPandas(compare, "node long, other long"), "links")
+    spread = rows.repartition(tasks(spark), "other", "share").sortWithinPartitions("other", "share", "kind")
+    return written(spread.mapInArrow(compare, "node long, other long"), "links")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -290,7 +396,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        state = written(small, "edges")
+        older, state = state, written(small, "edges")
+        drop(older)
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
@@ -302,7 +409,58 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels after the components that links connect became one."""
     a, b = labels.select(F.col("node"), F.col("label").alias("a")), labels.select(F.col("node").alias("other"), F.col("label").alias("b"))
     moves = connected(links.join(a, "node").join(b, "other").select("a", "b")).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return written(labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    out = written(labels.join(moves, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "labels")
+    drop(labels)
+    return out
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per row of docs: doc_id, print, size, kept (missing, doc_id, print of its component's first row by identifier, null ones last; null for an empty set)."""
+    sets = written(_sets(docs, n, percent), "sets")
+    members = written(sets.select("doc_id", "print", "size", "digest", "node"), "members")
+    cells = _cells(sets.where(F.size("keys") > 0))
+    drop(sets)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "print")).alias("first")
+    # classes that share a cell; from here on a class has a number of its own, as two digests could agree in 64 bits
+    degrees = cells.groupBy("node").agg(F.sum("weight").alias("degree"))
+    classes = members.where("size > 0").join(degrees, "node").groupBy("digest").agg(F.first("node").alias("hash"), F.first("size").alias("size"), F.first("degree").alias("degree"), first)
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    cells = cells.select("cell", F.col("node").alias("hash")).join(classes.select("hash", "node"), "hash").select("cell", "node")
+
+    def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = [_packed(point(s)) for s in shingle_sets(batch.column("text").to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(points, pa.binary()), batch.column("text")], ["node", "point", "text"])
+
+    wanted = classes.select("node", F.col("first.doc_id").alias("id"), F.col("first.print").alias("mark"))
+    texts = sifted(_numbered(docs), F.col("print"), wanted, F.col("mark")).groupBy("doc_id", "print").agg(F.first("text").alias("text"))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("print") == F.col("mark"))).select("node", "text")
+    content = written(texts.mapInArrow(placed, "node long, point binary, text string"), "content")
+
+    labels = written(classes.select("node", F.col("node").alias("label"), "degree", "size"), "labels")
+    cells, tested, links = written(cells, "cells"), None, None
+    for k in range(STARS + 1):
+        pairs = _met_centres(cells, labels, percent) if k < STARS else _searched(cells, labels, content, percent)
+        if tested is not None:
+            known = tested.unionByName(tested.select(F.col("other").alias("node"), F.col("node").alias("other")))
+            pairs = pairs.join(known, ["node", "other"], "left_anti")
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            if k < STARS:
+                continue
+            break
+        links = _verified(content, pairs, n, percent)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not links.isEmpty():
+            labels = _relabelled(labels, links)
+        drop(links)
+    drop(content, cells, *([tested] if tested is not None else []))
+    joined = classes.select("node", "digest", "first").join(labels.select("node", "label"), "node")
+    kept = joined.groupBy("label").agg(F.min("first").alias("kept"))
+    kept = joined.join(kept, "label").select("digest", "kept")
+    alone = members.where("size > 0").groupBy("digest").agg(first)
+    kept = alone.join(kept, "digest", "left").select("digest", F.coalesce("kept", "first").alias("kept"))
+    return members.join(kept, "digest", "left").select("doc_id", "print", "size", "kept")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
@@ -312,58 +470,35 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFr
     similarity of percent / 100 or more. Documents without words, null and empty texts among them, link
     with none: their component is their own identifier. Null identifiers are never the smallest; a
     component without others has a null one. Rows that share a doc_id but not a text are documents of
-    their own. Further columns are ignored; an empty table gives an empty result.
+    their own. Texts may be of any length that a row of a task can hold. Further columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
-    sets = written(_sets(docs, n, percent), "sets")
-    members = written(sets.select("doc_id", "size", "digest"), "members")
-    named = members.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    named = written(named.withColumn("node", F.monotonically_increasing_id()), "named")
-    # one row a class; the text of its smallest identifier stands for it
-    kept = sets.where("size > 0").join(named, (sets["digest"] == named["digest"]) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", named["digest"], "first", "size", "point", "cells")
-    met = written(_cells(kept.select("node", "cells").dropDuplicates(["node"])), "cells")
-    degrees = met.groupBy("node").agg(F.sum("weight").alias("degree"))
-    points = kept.select("node", "digest", "first", "size", "point").dropDuplicates(["node"]).join(degrees, "node")
-    classes = written(points, "classes")
-    drop(sets)
-    cells = met.select("cell", "n", "node")
-    labels = written(classes.select("node", F.col("node").alias("label")), "labels")
-    tested = None
-    for k in range(1, ROUNDS + 2):
-        most = k if k <= ROUNDS else None
-        found = _search(cells, classes, labels, percent, most)
-        # a cell that yields nothing now never will
-        cells = written(cells.join(found.select("cell").distinct(), "cell", "left_semi"), "cells")
-        pairs = found.select("node", "other")
-        if most:
-            pairs = pairs.distinct()
-            fresh = pairs.join(tested, ["node", "other"], "left_anti") if tested is not None else pairs
-            ranked = fresh.join(classes.select(F.col("node").alias("other"), "degree"), "other")
-            best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("degree"), "other"))
-            pairs = ranked.withColumn("k", best).where("k = 1").select("node", "other")
-        else:
-            # both directions of a pair are one
-            turned = tested.select(F.col("node").alias("other"), F.col("other").alias("node"))
-            pairs = pairs.distinct().join(tested, ["node", "other"], "left_anti").join(turned, ["node", "other"], "left_anti")
-        pairs = written(pairs, "round")
-        if pairs.isEmpty():
-            break
-        links = _verified(docs, classes, pairs, n, percent)
-        tested = written(pairs.unionByName(tested) if tested is not None else pairs, "tested")
-        if not links.isEmpty():
-            labels = _relabelled(labels, links)
-    component = named.join(labels, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("label"))
-    least = component.groupBy("label").agg(F.min("first").alias("component_id"))
-    component = component.join(least, "label").select("digest", "component_id")
-    whole = members.join(component, "digest", "left")
-    return whole.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = _components(docs, n, percent)
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("kept.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def without_copies(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
-    """One document of each component stays: the one that names it. Of rows that repeat an identifier one stays; rows without identifier or words all stay."""
-    found = near_duplicates(docs, n=n, percent=percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(written(found, "copies"), F.col("doc_id") == F.col("__id"), "left_anti")
-    kept = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return kept.unionByName(left.where("doc_id is null"))
+    """The rows of docs, one of each component: that with the smallest identifier, null ones last.
+
+    Decided by row, that is identifier and text: rows that share an identifier but not a text are
+    documents of their own, and of rows that repeat both one stays. Rows without words all stay.
+    All columns stay, whatever their names.
+    """
+    found = written(_components(docs, n, percent).where("size > 0"), "found")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("print") == F.col("kept.print"))
+    # rows to decide on: those that go, and those that stay once of several
+    marks = found.groupBy("doc_id", "print").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("often")).where("not stays or often > 1")
+    taken = [*docs.columns]
+    print_, hit, id_, mark, left = (fresh(c, taken) for c in ("__print", "__hit", "__id", "__mark", "__stays"))
+    marks = written(marks.select(F.col("doc_id").alias(id_), F.col("print").alias(mark), F.col("stays").alias(left)), "marks")
+    drop(found)
+    rows = docs.withColumn(print_, _print(F.col("text")))
+    rows = marked(rows, F.col(print_), marks, F.col(mark), hit)
+    free, tried = rows.where(~F.col(hit)), rows.where(F.col(hit))
+    tried = tried.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(print_) == F.col(mark)), "left")
+    once = tried.where(F.col(left)).dropDuplicates([id_, mark])
+    plain = [f"`{c}`" for c in docs.columns]
+    return free.select(*plain).unionAll(tried.where(F.col(left).isNull()).select(*plain)).unionAll(once.select(*plain))
 
 
 #: The same components by joining all shingles; a component of many documents makes this slow on large tables.
