@@ -11,7 +11,8 @@ fractional ones; those of many blocks meet in blocks of the next level, until ea
 source has one block, whose last one or two documents are decided so that the
 word total moves least (landing).
 
-Identical (source, doc_id, size) rows form one unit that is decided as a whole.
+Rows equal in source, doc_id and text form one unit, which enters the flight with the
+fraction that its expected number of chosen rows leaves.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import WORD, written
+from tessera.llm.common import WORD, fresh, written
 
 #: A probability this near to 0 or 1 counts as decided.
 NEAR = 1e-9
@@ -100,24 +101,28 @@ def land(p: np.ndarray, words: np.ndarray, rng: np.random.Generator) -> np.ndarr
 
 
 def balanced_choice(units: DataFrame, seed: int = 0, block: int = 4096) -> DataFrame:
-    """units (source, doc_id, size, n, p) with chosen (0 or 1) by the cube method within each source; a task holds one block of about `block` units."""
+    """units (source, doc_id, size, print, n, p, n_units) with extra, the number of their n rows that are chosen, by the cube method within each source; a task holds one block of about `block` units.
+
+    Of a unit's n rows floor(p * n) are chosen for sure, and one more with the fraction that is left.
+    """
 
     def decide(level: int):
         def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["h", "doc_id", "size"], kind="stable").reset_index(drop=True)
+            rows = rows.sort_values(["h", "doc_id", "size", "print"], kind="stable").reset_index(drop=True)
             rng = np.random.default_rng([seed, level, int(rows["h"].iloc[0]) & (1 << 63) - 1, len(rows)])
-            docs = rows["n"].to_numpy(dtype=float)
-            words = docs * rows["size"].to_numpy(dtype=float)
-            p = fly(rows["p"].to_numpy(dtype=float), docs, words, rng)
+            words = rows["size"].to_numpy(dtype=float)
+            p = fly(rows["p"].to_numpy(dtype=float), np.ones(len(rows)), words, rng)
             if rows["blocks"].iloc[0] == 1:
                 p = land(p, words, rng)
             return rows.assign(p=p)
 
         return one
 
-    left = units.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("blocks", F.ceil(F.col("n_units") / block).cast("long"))
+    left = units.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "print")).withColumn("blocks", F.ceil(F.col("n_units") / block).cast("long"))
+    left = left.withColumn("sure", F.floor(F.col("p") * F.col("n") + NEAR).cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("p") * F.col("n") - F.col("sure")))
+    left = left.withColumn("p", F.when(F.col("p") < NEAR, 0.0).otherwise(F.col("p")))
     most = left.agg(F.max("blocks")).first()[0] or 1
-    fields = ["source", "doc_id", "size", "n", "p", "h", "blocks"]
+    fields = ["source", "doc_id", "size", "print", "n", "sure", "p", "h", "blocks"]
     done = []
     for level in range(99):
         grouped = left.select(*fields).withColumn("block", F.pmod(F.shiftright(F.xxhash64("h", F.lit(level)), 8), F.col("blocks")))
@@ -128,36 +133,50 @@ def balanced_choice(units: DataFrame, seed: int = 0, block: int = 4096) -> DataF
             break
         left = flown.where("p > 0 and p < 1").withColumn("blocks", F.ceil(2 * F.col("blocks") / block).cast("long"))
         most = math.ceil(2 * most / block)
-    return reduce(DataFrame.unionByName, done).select("source", "doc_id", "size", "n", F.col("p").cast("int").alias("chosen"))
+    return reduce(DataFrame.unionByName, done).select("source", "doc_id", "size", "print", "n", (F.col("sure") + F.col("p").cast("long")).alias("extra"))
 
 
 def mix(docs: DataFrame, *, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """Per unit of docs (doc_id, source, text): source, doc_id, size, n (rows of the unit), source_size, target, copies (times that each row is taken, 0 to `most`).
+    """Per unit of docs (doc_id, source, text), that is rows equal in those: source, doc_id, size, print (hash of the text), n (rows of the unit), source_size, target, base (times that each row is taken) and extra (of the n rows, those taken once more); no row is taken more than `most` times.
 
     A null text has size 0, as has one without words; such documents are taken or left like
     others and add no words. Null sources are one source, last in order; null identifiers are
-    units by size. Repeated rows are taken alike. Further columns are ignored. An empty table
-    gives an empty result. Reruns with one seed agree.
+    told apart by text. Texts of any length are counted whole. Further columns are ignored. An
+    empty table gives an empty result. Reruns with one seed agree.
     """
-    sized = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), size_sql().alias("size"))
-    units = written(sized.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")), "units")
+    sized = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), size_sql().alias("size"), _print().alias("print"))
+    units = written(sized.groupBy("source", "doc_id", "size", "print").agg(F.count(F.lit(1)).alias("n")), "units")
     targets = written(source_targets(units, weights, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aimed = units.alias("u").join(targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source"))).select("u.*", "n_units", "source_size", "target", rate.alias("rate"))
     aimed = aimed.withColumn("p", F.col("rate") - F.floor("rate"))
-    chosen = balanced_choice(aimed, seed).select("source", "doc_id", "size", "n", "chosen")
-    return chosen.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "doc_id", "size", "n", "source_size", "target", (F.floor(rate) + F.col("chosen")).cast("long").alias("copies"))
+    chosen = balanced_choice(aimed, seed)
+    return chosen.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "doc_id", "size", "print", "n", "source_size", "target", F.floor(rate).cast("long").alias("base"), "extra")
+
+
+def _print() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text").isNull())
 
 
-def repeated(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as its unit in copies says."""
-    left = docs.withColumn("__size", size_sql())
-    c = copies.where("copies > 0").select(F.col("source").alias("__source"), F.col("doc_id").alias("__doc"), F.col("size").alias("__words"), F.col("copies").alias("__copies"))
-    same = F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__size") == F.col("__words"))
-    return left.join(c, same).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as its unit in mixed says; of several rows of a unit, which may differ in further columns, the least ones are taken once more."""
+    source, doc, mark, n, base, extra, times, own, before = (fresh(f"__{c}", docs.columns) for c in ("source", "doc", "mark", "n", "base", "extra", "times", "own", "before"))
+    plain = [f"`{c}`" for c in docs.columns]
+    units = mixed.where("base > 0 or extra > 0").select(F.col("source").alias(source), F.col("doc_id").alias(doc), F.col("print").alias(mark), F.col("n").alias(n), F.col("base").alias(base), F.col("extra").alias(extra))
+    left = docs.withColumn(own, _print())
+    rows = left.join(units, F.col("source").cast("string").eqNullSafe(F.col(source)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(mark)))
+    even = rows.where((F.col(extra) == 0) | (F.col(extra) == F.col(n))).select(*plain, (F.col(base) + (F.col(extra) > 0).cast("long")).alias(times))
+    # rows of a unit that aren't taken alike: equal ones are counted first, so that a unit of many is no burden
+    odd = rows.where((F.col(extra) > 0) & (F.col(extra) < F.col(n))).groupBy(*plain, mark, base, extra).agg(F.count(F.lit(1)).alias(own))
+    order = Window.partitionBy("source", "doc_id", mark).orderBy(*plain).rowsBetween(Window.unboundedPreceding, -1)
+    odd = odd.withColumn(before, F.coalesce(F.sum(own).over(order), F.lit(0)))
+    more = F.greatest(F.lit(0), F.least(F.col(own), F.col(extra) - F.col(before)))
+    odd = odd.select(*plain, (F.col(base) * F.col(own) + more).alias(times)).where(F.col(times) > 0)
+    return even.unionAll(odd).withColumn(before, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*plain)
 
 
 def op3_mix(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target and taken, size times its copies."""
-    found = mix(docs).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    found = mix(docs).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    found = found.withColumn("copies", F.col("base") + (F.col("k") <= F.col("extra")).cast("long"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")

@@ -74,3 +74,22 @@ def test_repeated(spark):
     out = mixing.repeated(docs, mixing.mix(docs))
     assert out.columns == docs.columns
     assert out.count() == sum(r.copies for r in mixing.op3_mix(docs).collect())
+
+
+def test_rows_without_identifier_meet_their_target(spark):
+    rows = [(None, "a", "one two three four five six seven") for _ in range(4000)] + [(None, "b", f"w{i} b c d e f g") for i in range(3000)] + [(i, "c", "x " * 9) for i in range(500)]
+    docs = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, source string, text string, __size int")
+    found = mixing.op3_mix(docs).collect()
+    assert len(found) == len(rows)
+    taken, target = {}, {}
+    for r in found:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 20 for s in target)
+    out = mixing.repeated(docs, mixing.mix(docs))
+    assert out.columns == docs.columns
+    counts = {}
+    for r in out.collect():
+        counts[r["__size"]] = counts.get(r["__size"], 0) + 1
+    assert sum(counts.values()) == sum(r.copies for r in found) and max(counts.values()) <= 3
