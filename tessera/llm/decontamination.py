@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import words_sql, written
+from tessera.llm.common import fresh, words_sql, written
 
 
 def shingle_hashes(words: Column, n: int) -> Column:
@@ -60,7 +60,8 @@ def containments(docs: DataFrame, items: DataFrame, *, n: int = 5, share: float
     Words are maximal runs of characters outside space and tab to carriage return, A-Z lower-cased;
     shingles are n words. Texts with fewer words, null and empty ones contain nothing and are contained
     in nothing. Rows of a document that are repeated give one row; rows that share a doc_id but not a
-    text are held apart by print; null identifiers are kept. Further columns are ignored.
+    text are held apart by print; null identifiers are kept. Texts of any length are read whole, as one
+    row of a task each. Further columns are ignored; empty tables give an empty result.
     """
     sketches, whole = item_sketches(items, n, share)
     own = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
@@ -87,9 +88,10 @@ def op7_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item."""
-    found = written(containments(docs, items).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct(), "found")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__print")), "left_anti")
+    """The rows of docs that contain no item, with all their columns, whatever their names."""
+    id_, print_ = fresh("__id", docs.columns), fresh("__print", docs.columns)
+    found = written(containments(docs, items).select(F.col("doc_id").alias(id_), F.col("print").alias(print_)).distinct(), "found")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(print_)), "left_anti")
 
 
 #: The same pairs from all shingles of all texts.
