@@ -172,15 +172,16 @@ class Shard:
 def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None = 0, shard_bytes: int = 8 << 20, block_bytes: int = 1 << 16, bloom_bits: int = 10) -> None:
     """Encodes doc_id and text of docs and writes shards below path in ascending doc_id order.
 
-    Texts are encoded whole, a null text as an empty one; end_id (None: nothing) ends each
+    Texts are encoded whole as the library does by default (strings of special tokens become
+    those tokens), a null text as an empty one; end_id (None: nothing) ends each
     document. Rows with equal doc_id stay beside each other, ordered by text; a null doc_id
-    comes first. Other columns are ignored. An empty table writes no shard. A shard closes
+    comes first, and documents that share an identifier are dealt out by how their texts begin. Other columns are ignored. An empty table writes no shard. A shard closes
     after shard_bytes; a task holds one shard and one text.
     """
     spark = docs.sparkSession
 
     def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, special=True)
         width = 2 if max(coder.size - 1, end_id or 0) < 1 << 16 else 4
         end = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
         shard = ShardWriter(width, block_bytes, bloom_bits)
@@ -195,7 +196,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
 
     number = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(number, F.lit(0)).alias("number"), number.isNull().alias("missing"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(tasks(spark), F.desc("missing"), F.asc("number")).sortWithinPartitions(F.desc("missing"), F.asc("number"), F.asc("text"))
+    rows = rows.repartitionByRange(tasks(spark), F.desc("missing"), F.asc("number"), F.substring("text", 1, 64)).sortWithinPartitions(F.desc("missing"), F.asc("number"), F.asc("text"))
     packed = rows.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value"))
     packed.write.option("maxRecordsPerFile", 1).option("lineSep", MAGIC.decode()).text(path)
 

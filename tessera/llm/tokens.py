@@ -35,16 +35,22 @@ def byte_letters() -> dict[int, int]:
 class Encoder:
     """ids and byte lengths of texts under one tokenizer file.
 
+    special: whether strings of special tokens within a text become those tokens, as the library
+    does by default; otherwise they are ordinary text.
+
     kept: pieces of a generation. A worker remembers the ids of the pieces that it met since
     the generation before the last began (about 250 bytes each), so frequent ones stay.
     """
 
-    def __init__(self, path: str, kept: int = 250_000):
+    def __init__(self, path: str, kept: int = 250_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        #: strings that are tokens of their own; texts with one go to the library whole
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.tokenizer.no_truncation()
         self.one, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.memory: dict[str, bytes] = {}
@@ -63,7 +69,7 @@ class Encoder:
         """The ids of one text as little-endian unsigned 32-bit integers; null or empty: none."""
         if not text:
             return b""
-        if not self.by_bytes or OTHER.search(text):
+        if not self.by_bytes or OTHER.search(text) or self.added and self.added.search(text):
             return self.whole(text)
         pieces = PIECE.findall(text)
         if len(self.memory) > self.kept:
@@ -106,7 +112,19 @@ class Encoder:
         return self._lengths
 
 
+    def text(self, ids: np.ndarray) -> str:
+        """The text that ids spell, whole characters being given."""
+        if not self.by_bytes:
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        if not hasattr(self, "_bytes"):
+            back = {chr(letter): byte for byte, letter in self.letters.items()}
+            self._bytes = [b""] * self.size
+            for token, number in self.tokenizer.get_vocab().items():
+                self._bytes[number] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        return b"".join(map(self._bytes.__getitem__, ids.tolist())).decode()
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker process."""
-    return Encoder(path)
+def encoder(path: str, special: bool = False) -> Encoder:
+    """One encoder for each file, treatment of special tokens and worker process."""
+    return Encoder(path, special=special)
