@@ -4,12 +4,18 @@ A vector is approximated by a sum of codewords, one from each of M codebooks of
 full dimension. Codebooks start as k-means on the residuals that the earlier ones
 leave, and are then refitted together by least squares on beam-search codes.
 Encoding keeps the best `beam` partial sums at each codebook. The index stores
-codes and the norm of each approximation; a query scores all rows by adding table
-entries (its inner products with every codeword), and the best of each block are
-scored again exactly on the original vectors.
-
-Every query meets every block of the index: the index is dealt out once, and
-blocks of queries are sent to each of its blocks.
+codes and the norm of each approximation; a query scores rows by adding table
+entries (its inner products with every codeword; for distances the stored norms
+are added), and the best are scored again exactly on the original vectors.
+
+Rows are dealt into lists by their nearest coarse centre, and lists into blocks. A
+query goes to the lists whose centres it likes best, no more of them however many
+rows there are. How many lists a query probes, and which part of a block's rows is
+scored exactly, is measured on the sample against brute force: enough for nearly all
+true neighbours there. Equal vectors count once in that part.
+
+Vectors are scaled by a power of two before they are rounded to single precision, so
+no size of finite vectors overflows; exact scores use the vectors as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import written
+from tessera.llm.common import drop, tasks, written
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -109,12 +115,57 @@ def common_length(vectors: DataFrame, column: str) -> int:
     return found.n if found else 0
 
 
-def build(vectors: DataFrame, *, id_column: str = "vec_id", column: str = "embedding", sample: int = 16384, m: int = 16, k: int = 256, beam: int = 4, block_rows: int = 8192, seed: int = 0) -> tuple[DataFrame, Codebooks | None]:
+class Quantiser:
+    """books; centres of the lists; scale (a power of two by which vectors are multiplied); probes (lists of a query); depth (part of a block's distinct vectors that is scored exactly); first (number of the first block of each list)."""
+
+    def __init__(self, books: Codebooks, centres: np.ndarray, scale: float, probes: int, depth: float, first: list[int]):
+        self.books, self.centres, self.scale, self.probes, self.depth, self.first = books, centres, scale, probes, depth, first
+
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        return np.argmin((self.centres**2).sum(1) - 2 * x @ self.centres.T, axis=1)
+
+    def probed(self, query: np.ndarray, measure: str) -> np.ndarray:
+        """The lists of a scaled query, those it likes best first."""
+        liked = self.centres @ query
+        if measure == "l2":
+            liked = 2 * liked - (self.centres**2).sum(1)
+        return np.argsort(-liked, kind="stable")[: self.probes]
+
+
+def _own_scale(x: np.ndarray) -> np.ndarray:
+    """x times the power of two that brings its largest component near 1."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+
+
+def _measured(x: np.ndarray, books: Codebooks, centres: np.ndarray, k: int, beam: int, enough: float, measure: str) -> tuple[int, float]:
+    """Probes and depth with which `enough` of the k nearest among the rows x are found, by up to 256 of them as queries."""
+    asked = np.arange(0, len(x), max(1, len(x) // 256))
+    kept, near = books.decode(books.encode(x, beam)), np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
+    lists, places = [], []
+    for i in asked:
+        exact, rough, liked = x @ x[i], kept @ x[i], centres @ x[i]
+        if measure == "l2":
+            exact, rough, liked = 2 * exact - (x**2).sum(1), 2 * rough - (kept**2).sum(1), 2 * liked - (centres**2).sum(1)
+        exact[i], rough[i] = -np.inf, -np.inf
+        true = np.argsort(-exact, kind="stable")[: min(k, len(x) - 1)]
+        lists.append(np.argsort(np.argsort(-liked, kind="stable"), kind="stable")[near[true]])
+        places.append(np.argsort(np.argsort(-rough, kind="stable"), kind="stable")[true])
+    lists, places = np.sort(np.concatenate(lists)), np.sort(np.concatenate(places))
+    if not len(lists):
+        return 1, 1.0
+    at = min(len(lists) - 1, int(np.ceil(enough * len(lists))))
+    return int(lists[at]) + 1, min(1.0, float(places[at] + 1) / len(x))
+
+
+def build(vectors: DataFrame, *, id_column: str = "vec_id", column: str = "embedding", sample: int = 16384, m: int = 16, k: int = 256, beam: int = 4, block_rows: int = 8192, list_rows: int = 4096, seed: int = 0, near: int = 20, enough: float = 0.99, measure: str = "ip") -> tuple[DataFrame, Quantiser | None]:
     """The index of all usable rows, written to the shared folder: block, vec_id, vec (array of double), codes (binary), norm (squared norm of the approximation).
 
-    Codebooks are fitted on at most `sample` rows, the ones with the least hash. Rows whose
-    identifier is null, or whose vector is null, of another length than most, zero or with
-    null or non-finite components, are left out. block_rows: about the rows of a block.
+    Codebooks and centres are fitted on at most `sample` rows, the ones with the least hash, an
+    eighth of which only measures probes and depth if there are more rows than that. Rows whose
+    identifier is null, or whose vector is null, of another length than most, zero or with null
+    or non-finite components, are left out; rows that repeat an identifier are all kept.
+    block_rows: about the most rows of a block; list_rows: about the rows of a list, of which
+    there are at most sample / 16; measure: ip (largest inner product) or l2 (least distance).
     """
     dims = common_length(vectors, column)
     vec = F.col(column).cast("array<double>")
@@ -123,60 +174,106 @@ def build(vectors: DataFrame, *, id_column: str = "vec_id", column: str = "embed
     drawn = rows.orderBy(order, "vec_id", "vec").limit(sample).toPandas()
     if drawn.empty or not dims:
         return rows.select(F.lit(0).cast("long").alias("block"), "vec_id", "vec", F.lit(b"").alias("codes"), F.lit(0.0).alias("norm")).limit(0), None
-    books = fit(np.stack(drawn["vec"].to_list()), m, k, seed=seed)
-    shared = vectors.sparkSession.sparkContext.broadcast(books.books)  # M * K * dims numbers
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("vec", F.abs))).alias("top")).first()
+    power = -int(np.frexp(found.top)[1])
+    x = np.ldexp(np.stack(drawn["vec"].to_list()), power)
+    kept = len(x) - len(x) // 8 if found.n > len(x) and len(x) > 64 else len(x)
+    lists = max(1, min(found.n // list_rows, sample // 16, kept // 4))
+    centres = _kmeans(x[:kept].astype(np.float32), lists, 8, np.random.default_rng(seed + 1))
+    books = fit(x[:kept], m, k, seed=seed)
+    probes, depth = _measured(x[kept:] if kept < len(x) else x, books, centres, near, beam, enough, measure)
+    shared = vectors.sparkSession.sparkContext.broadcast((books.books, centres))  # M * K * dims and at most sample / 16 * dims numbers
 
     def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Codebooks(shared.value)
+        own, middles = Codebooks(shared.value[0]), shared.value[1]
         for batch in batches:
             if len(batch):
-                codes = own.encode(np.stack(batch["vec"].to_list()), beam)
+                scaled = np.ldexp(np.stack(batch["vec"].to_list()), power).astype(np.float32)
+                codes = own.encode(scaled, beam)
                 norm = (own.decode(codes).astype(float) ** 2).sum(1)
-                yield batch.assign(codes=[c.tobytes() for c in codes], norm=norm)
-
-    blocks = max(1, -(-rows.count() // block_rows))
-    coded = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "vec").mapInPandas(encode, "block long, vec_id long, vec array<double>, codes binary, norm double")
-    return written(coded, "codes"), books
-
-
-def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, *, k: int = 20, rerank: int = 512) -> DataFrame:
-    """The k rows of the index with the largest inner product for each row (query_id, vec) of queries: query_id, rank from 1, vec_id, score.
-
-    Rows with the query's own identifier are no candidates. In each block the `rerank` rows
-    with the largest table score, ties to smaller identifiers, are scored exactly in double
-    precision. Ties in score go to the smaller vec_id. Fewer than k candidates: all.
+                owner = np.argmin((middles**2).sum(1) - 2 * scaled @ middles.T, axis=1)
+                yield batch.assign(list=owner, codes=[c.tobytes() for c in codes], norm=norm)
+
+    spark = vectors.sparkSession
+    coded = written(rows.mapInPandas(encode, "vec_id long, vec array<double>, list int, codes binary, norm double"), "coded")
+    counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row a list
+    parts = [-(-counts.get(i, 0) // block_rows) for i in range(lists)]
+    first = np.concatenate([[0], np.cumsum(parts)]).tolist()
+    places = spark.createDataFrame([(i, first[i], max(1, parts[i])) for i in range(lists)], "list int, first long, parts long")
+    index = coded.join(F.broadcast(places), "list").select((F.col("first") + F.pmod(F.xxhash64("vec_id", "vec"), "parts")).alias("block"), "vec_id", "vec", "codes", "norm")
+    out = written(index, "codes")
+    drop(coded)
+    return out, Quantiser(books, centres, float(np.ldexp(1.0, power)), probes, depth, first)
+
+
+def search(index: DataFrame, quantiser: Quantiser | None, queries: DataFrame, *, k: int = 20, margin: float = 1.5, measure: str = "ip") -> DataFrame:
+    """The k rows of the index nearest to each row (query_id, vec) of queries: query_id, rank from 1, vec_id, score (the inner product, or minus the squared distance).
+
+    Rows with the query's own identifier are no candidates. Of each block that a query meets,
+    `margin` times the measured depth of its distinct vectors, 2 k at least, are scored
+    exactly in double precision. Ties in score go to the smaller vec_id. Fewer than k candidates
+    in the lists probed: all lists are met. Queries repeated by identifier each count.
     """
     schema = "query_id long, vec_id long, score double"
-    if books is None:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = index.sparkSession.sparkContext.broadcast(books.books)
+    spark = index.sparkSession
+    if quantiser is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = np.diff(quantiser.first)
+    if np.sort(parts > 0)[::-1].sum() <= quantiser.probes or index.count() <= 8 * k:
+        probes = len(parts)
+    else:
+        probes = quantiser.probes
+    shared = spark.sparkContext.broadcast((quantiser.books.books, quantiser.centres, probes, quantiser.depth * margin, quantiser.first))
+
+    scale = quantiser.scale
+
+    def scaled(vec: np.ndarray) -> np.ndarray:
+        """A query as it meets codewords; for inner products its own length is of no matter."""
+        return np.asarray(vec) * scale if measure == "l2" else _own_scale(np.asarray(vec))
+
+    def opened() -> Quantiser:
+        books, centres, probes, depth, first = shared.value
+        return Quantiser(Codebooks(books), centres, 1.0, probes, depth, first)
+
+    def sent(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = opened()
+        for batch in batches:
+            found = []
+            for vec in batch["vec"]:
+                found.append([b for i in own.probed(scaled(vec).astype(np.float32), measure) for b in range(own.first[i], own.first[i + 1])])
+            yield batch.assign(blocks=found)
 
-    def answer(block: pd.DataFrame, asked: pd.DataFrame, own: Codebooks) -> Iterator[pd.DataFrame]:
+    def answer(block: pd.DataFrame, asked: pd.DataFrame, own: Quantiser) -> Iterator[pd.DataFrame]:
         block = block.sort_values("vec_id", kind="stable")
         names, vectors = block["vec_id"].to_numpy(), np.stack(block["vec"].to_list())
-        codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in block["codes"]]).T.astype(np.intp)
+        alike, group = np.unique(vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_inverse=True)
+        # of equal vectors only the first k + 1 identifiers can be among the k nearest
+        spot = np.argsort(group, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(alike)))])
+        heads = spot[bounds[:-1]]
+        codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in block["codes"].iloc[heads]]).T.astype(np.intp)
+        norms, count = block["norm"].to_numpy()[heads], min(len(heads), max(2 * k, int(np.ceil(own.depth * len(heads)))))
         found = []
         for query, vec in zip(asked["vec_id"], asked["vec"], strict=True):
-            table = own.table(vec)
+            vec = np.asarray(vec)
+            table = own.books.table(scaled(vec))
             rough = table[0][codes[0]]
-            for m in range(1, own.m):
+            for m in range(1, own.books.m):
                 rough = rough + table[m][codes[m]]
-            rough[names == query] = -np.inf
-            if len(rough) > rerank:
-                least = np.partition(rough, len(rough) - rerank)[len(rough) - rerank]
-                above = np.flatnonzero(rough > least)
-                best = np.sort(np.concatenate([above, np.flatnonzero(rough == least)[: rerank - len(above)]]))
-            else:
-                best = np.arange(len(rough))
-            best = best[np.isfinite(rough[best])]
-            score = (vectors[best] * vec).sum(axis=1)
-            top = np.lexsort((names[best], -score))[:k]
-            found.append(pd.DataFrame({"query_id": query, "vec_id": names[best][top], "score": score[top]}))
+            if measure == "l2":
+                rough = 2 * rough - norms
+            best = np.argpartition(-rough, count - 1)[:count] if count < len(rough) else np.arange(len(rough))
+            rows = np.concatenate([spot[bounds[g] : min(bounds[g + 1], bounds[g] + k + 1)] for g in best])
+            rows = rows[names[rows] != query]
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = (vectors[rows] * vec).sum(axis=1) if measure == "ip" else -((vectors[rows] - vec) ** 2).sum(axis=1)
+            top = np.lexsort((names[rows], -score))[:k]
+            found.append(pd.DataFrame({"query_id": query, "vec_id": names[rows][top], "score": score[top]}))
         if found:
             yield pd.concat(found)
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, current, parts, block = Codebooks(shared.value), None, [], None
+        own, current, parts, block = opened(), None, [], None
         for batch in batches:
             for number, rows in batch.groupby("block", sort=False):
                 if number != current:
@@ -189,15 +286,15 @@ def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, *, k:
                     if len(block):
                         yield from answer(block, asked, own)
 
-    blocks = index.agg(F.max("block")).first()[0]
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks or 0).cast("long"))).alias("block"), F.col("query_id").alias("vec_id"), "vec", F.lit(None).cast("binary").alias("codes"), F.lit(1).alias("kind"))
-    both = index.select("block", "vec_id", "vec", "codes", F.lit(0).alias("kind")).unionByName(asked)
-    near = both.repartition((blocks or 0) + 1, "block").sortWithinPartitions("block", "kind").mapInPandas(scan, schema)
+    asked = queries.select(F.col("query_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec")).mapInPandas(sent, "vec_id long, vec array<double>, blocks array<long>")
+    asked = asked.select(F.explode("blocks").alias("block"), "vec_id", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("norm"), F.lit(1).alias("kind"))
+    both = index.select("block", "vec_id", "vec", "codes", "norm", F.lit(0).alias("kind")).unionByName(asked)
+    near = both.repartition(max(tasks(spark), min(quantiser.first[-1], 1 << 14)), "block").sortWithinPartitions("block", "kind").mapInPandas(scan, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_neighbours(vectors: DataFrame) -> DataFrame:
-    """The 20 nearest rows by inner product of every row whose vec_id is divisible by 20."""
-    index, books = build(vectors)
-    return search(index, books, index.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec").dropDuplicates(["query_id"]))
+    """The 20 nearest rows by inner product of every row whose vec_id is divisible by 20. Of several rows of one identifier the least vector asks."""
+    index, quantiser = build(vectors)
+    return search(index, quantiser, index.where("vec_id % 20 = 0").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec")))

@@ -66,3 +66,59 @@ def test_more_beams_encode_better():
     books = aq.fit(x, m=4, k=32)
     error = [((books.decode(books.encode(x, beam=b)) - x) ** 2).sum() for b in (1, 8)]
     assert error[1] < error[0] < (x**2).sum()
+
+
+def test_large_vectors_do_not_overflow(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(a) for a in v * 1e20]) for i, v in enumerate(rng.normal(size=(100, 16)))]
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in sorted(aq.op8_neighbours(df).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [a for a, _ in v] for q, v in _truth(rows).items()}
+
+
+def test_many_copies_of_a_vector(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x[1000:2000] = x[7] * 0.9
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (40, [9.0] * 16)], "vec_id long, embedding array<double>")
+    index, q = aq.build(df, block_rows=800, list_rows=500, sample=1500, k=64)
+    found, truth = {}, _truth(rows)
+    for r in aq.search(index, q, df.where("vec_id % 20 = 0 and vec_id <> 40").selectExpr("vec_id as query_id", "embedding as vec")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    truth = {k: {a for a, _ in v} for k, v in truth.items() if k != 40}
+    hits = sum(len(found[k] & (v | {40})) for k, v in truth.items())
+    assert hits >= 0.95 * 20 * len(truth) and all(len(v) == 20 for v in found.values())
+
+
+def test_distances_use_norms(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(2500, 16)) * rng.uniform(0.2, 3, (2500, 1))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index, q = aq.build(df, block_rows=900, list_rows=600, k=64, measure="l2")
+    hits = 0
+    for r in aq.search(index, q, df.where("vec_id % 50 = 0").selectExpr("vec_id as query_id", "embedding as vec"), measure="l2").collect():
+        d = ((x - x[r.query_id]) ** 2).sum(1)
+        d[r.query_id] = np.inf
+        hits += r.vec_id in set(np.argsort(d, kind="stable")[:20].tolist())
+        assert abs(r.score + d[r.vec_id]) < 1e-9
+    assert hits >= 0.95 * 20 * 50
+
+
+def test_registered_query_reranks_little(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index, q = aq.build(vectors)
+    assert q.depth * 1.5 < 0.1 and 40 < 0.1 * vectors.count()
+    x = vectors.toPandas()
+    names, m = x["vec_id"].to_numpy(), np.stack(x["embedding"].to_list()).astype(float)
+    found = {}
+    for r in aq.op8_neighbours(vectors).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for query in names[names % 20 == 0]:
+        score = m @ m[names == query][0]
+        score[names == query] = -np.inf
+        hits += len(found[query] & set(names[np.lexsort((names, -score))[:20]].tolist()))
+    assert hits >= 0.9 * 20 * len(found) and len(found) == (names % 20 == 0).sum()
