@@ -91,14 +91,19 @@ class Forest:
 
 def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in spans:
-        if a == b:
-            continue
+    for span in spans:
+        _extend(out, span)
+    return out
+
+
+def _extend(out: list[tuple[int, int]], span: tuple[int, int]) -> None:
+    """Adds an interval behind the others, merged with the last if they adjoin."""
+    a, b = span
+    if a < b:
         if out and out[-1][1] == a:
             out[-1] = (out[-1][0], b)
         else:
-            out.append((a, b))
-    return out
+            out.append(span)
 
 
 def _slices(batches: Iterable[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
@@ -119,19 +124,21 @@ def prefix_trees(conversations: DataFrame, tokenizer: str | None = None) -> tupl
     (position id of the first token), n_tokens, ids (little-endian unsigned 32-bit integers), attends
     (the ancestors' intervals), loss_from and loss_to (tokens of the node under the loss mask), role,
     text (the formatted segment), text_loss_from, text_loss_to (code points of it under the mask).
-    paths: path, tree, starts (of its nodes), attends, one row for each distinct conversation.
-    members: conv_id, path.
+    paths: key (128 bits of the path, as hexadecimal digits), path (the digests of its turns), tree, starts
+    (of its nodes), attends, one row for each distinct conversation.
+    members: conv_id, key.
 
     Turns go by turn, ties by role and text; a null turn comes first, a null role or text is empty.
     Rows with a null conv_id are one conversation. Repeated rows are repeated turns. Further columns
-    are ignored; an empty table gives empty results. One conversation must fit into a task's memory.
+    are ignored; an empty table gives empty results. One conversation must fit into a task's memory,
+    which takes a multiple of its text and of the number of its turns.
     """
     path_of = tokenizer or tokenizer_path()
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     talks = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     digest = F.array_join(F.transform("turns", lambda t: F.md5(F.concat(F.length(t.role).cast("string"), F.lit(":"), t.role, t.text).cast("binary"))), "")
     talks = written(talks.select("conv_id", digest.alias("path"), F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns")), "talks")
-    members = talks.select("conv_id", "path")
+    members = talks.select("conv_id", F.md5("path").alias("key"))
 
     def formatted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(path_of)
@@ -145,7 +152,8 @@ def prefix_trees(conversations: DataFrame, tokenizer: str | None = None) -> tupl
 
     # borders of the partitions, from a bounded number of paths
     n = tasks(conversations.sparkSession)
-    drawn = sorted(r.path for r in distinct.select("path").orderBy(F.xxhash64("path")).limit(20 * n).collect())
+    # (the first turns of each, as a border need not be a whole path)
+    drawn = sorted(r.path for r in distinct.select(F.substring("path", 1, 32 * 16).alias("path")).orderBy(F.xxhash64("path")).limit(20 * n).collect())
     borders = drawn[20::20]
     part = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col("path"))) if borders else F.lit(0)
 
@@ -187,38 +195,65 @@ def prefix_trees(conversations: DataFrame, tokenizer: str | None = None) -> tupl
                     current, walk = p, Forest(*begin[p])
                 known = walk.step(_split(path), list(lengths))
                 tree, root = walk.stack[0][0], walk.stack[0][1]
-                spans = [(s - root, s - root + k) for _, s, k in walk.stack]
-                for i in range(known, len(spans)):
-                    head, body, tail = map(bytes, ids[i])
-                    role, text = turns[i]["role"], turns[i]["text"]
-                    own, start = segment(role, text), len(header(role))
-                    trained = role == TRAINED_ROLE
-                    rows.append((None, tree, spans[i][0], sum(k for _, _, k in walk.stack[:i]), lengths[i], head + body + tail, len(head) // 4, (len(head) + trained * len(body)) // 4, role, own, start, len(own) - len(END) if trained else start, _merged(spans[:i]), None))
-                rows.append((path, tree, None, None, None, None, None, None, None, None, None, None, _merged(spans), [a for a, _ in spans]))
-            out = pd.DataFrame(rows, columns=["path", *(x.split()[0] for x in node.split(", ")), "attends", "starts"])
-            yield out.astype({c: "Int64" for c in ("start", "position", "n_tokens", "loss_from", "loss_to", "text_loss_from", "text_loss_to")})
+                position, attends, starts = 0, [], []
+                for i, (_, at, length) in enumerate(walk.stack):
+                    at -= root
+                    if i >= known:
+                        head, body, tail = map(bytes, ids[i])
+                        role, text = turns[i]["role"], turns[i]["text"]
+                        own, start = segment(role, text), len(header(role))
+                        trained = role == TRAINED_ROLE
+                        rows.append((None, tree, at, position, length, head + body + tail, len(head) // 4, (len(head) + trained * len(body)) // 4, role, own, start, len(own) - len(END) if trained else start, list(attends), None))
+                        if len(rows) >= 500:
+                            yield formed(rows)
+                            rows = []
+                    starts.append(at)
+                    _extend(attends, (at, at + length))
+                    position += length
+                rows.append((path, tree, None, None, None, None, None, None, None, None, None, None, attends, starts))
+            yield formed(rows)
+
+    def formed(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["path", *(x.split()[0] for x in node.split(", ")), "attends", "starts"])
+        return out.astype({c: "Int64" for c in ("start", "position", "n_tokens", "loss_from", "loss_to", "text_loss_from", "text_loss_to")})
 
     out = written(by_part(["path", "lengths", "ids", "turns"]).mapInPandas(emit, f"path string, {node}, attends {span}, starts array<long>"), "forest")
-    return out.where("path is null").drop("path", "starts"), out.where("path is not null").select("path", "tree", "starts", "attends"), members
+    return out.where("path is null").drop("path", "starts"), out.where("path is not null").select(F.md5("path").alias("key"), "path", "tree", "starts", "attends"), members
+
 
+#: Paths through a node beyond which its join is dealt out.
+CROWD = 10_000
 
-def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """Conversations put together from the nodes on their paths: path, formatted, loss (the text under the loss mask, unescaped)."""
 
+def read_back(nodes: DataFrame, paths: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Conversations put together from the token ids of the nodes on their paths: key, formatted, loss (the text of the tokens under the loss mask, unescaped)."""
+    path_of = tokenizer or tokenizer_path()
     # starts of a path ascend
-    steps = paths.select("path", "tree", F.explode("starts").alias("start"))
-    pieces = steps.join(nodes, ["tree", "start"]).select("path", F.struct("start", "text", F.expr("substring(text, int(text_loss_from + 1), int(text_loss_to - text_loss_from))").alias("loss")).alias("piece"))
-    whole = pieces.groupBy("path").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    steps = paths.select("key", "tree", F.explode("starts").alias("start"))
+    # a node that many paths share is copied, so that its steps meet it in several tasks; there is one such node to CROWD steps at most
+    crowds = steps.groupBy("tree", "start").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("shares")).where("shares > 1")
+    crowds = written(crowds, "crowds")
+    steps = steps.join(crowds, ["tree", "start"], "left").withColumn("share", F.pmod(F.xxhash64("key"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+    own = nodes.select("tree", "start", "ids", "loss_from", "loss_to").join(crowds, ["tree", "start"], "left")
+    own = own.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    pieces = steps.join(own, ["tree", "start", "share"]).select("key", F.struct("start", "ids", "loss_from", "loss_to").alias("piece"))
+    whole = pieces.groupBy("key").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
 
     def joined(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "formatted": ["".join(p["text"] for p in x) for x in batch["pieces"]], "loss": ["".join(unescape(p["loss"]) for p in x) for x in batch["pieces"]]})
+        coder = encoder(path_of)
+        for batch in _slices(batches):
+            formatted, loss = [], []
+            for pieces in batch["pieces"]:
+                ids = [np.frombuffer(p["ids"], dtype="<u4") for p in pieces]
+                formatted.append(coder.text(np.concatenate(ids)))
+                loss.append("".join(unescape(coder.text(x[p["loss_from"] : p["loss_to"]])) for x, p in zip(ids, pieces) if p["loss_from"] < p["loss_to"]))
+            yield pd.DataFrame({"key": batch["key"], "formatted": formatted, "loss": loss})
 
-    return whole.mapInPandas(joined, "path string, formatted string, loss string")
+    return whole.mapInPandas(joined, "key string, formatted string, loss string")
 
 
 def op1_chat(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """Formats all conversations and conversation -7 and returns, read back from the trees: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Formats all conversations and conversation -7 and returns, decoded from the ids of the trees and their loss mask: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     odd = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(more)
@@ -229,7 +264,7 @@ def op1_chat(spark: SparkSession, conversations: DataFrame) -> DataFrame:
         for batch in batches:
             turns = [parse(x) for x in batch["formatted"]]
             yield pd.DataFrame({
-                "path": batch["path"],
+                "key": batch["key"],
                 "n_turns": [len(t) for t in turns],
                 "turns_sha256": [sha("".join(f"{r}\n{x}\n" for r, x in t)) for t in turns],
                 "loss_chars": [len(x) for x in batch["loss"]],
@@ -237,8 +272,8 @@ def op1_chat(spark: SparkSession, conversations: DataFrame) -> DataFrame:
                 "formatted_chars": [len(x) for x in batch["formatted"]],
             })
 
-    found = read_back(nodes, paths).mapInPandas(digests, "path string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return members.join(found, "path").drop("path")
+    found = read_back(nodes, paths).mapInPandas(digests, "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return members.join(found, "key").drop("key")
 
 
 #: The same digests from the table itself.

@@ -82,3 +82,43 @@ def test_escapes_are_reversible():
 def test_empty(spark):
     nodes, paths, members = chat.prefix_trees(spark.createDataFrame([], "conv_id long, turn int, role string, text string"))
     assert nodes.count() == paths.count() == members.count() == 0
+
+
+def test_query_on_empty_table(spark):
+    found = chat.op1_chat(spark, spark.createDataFrame([], "conv_id long, turn int, role string, text string")).collect()
+    assert [tuple(r) for r in found] == list(_truth([]))
+
+
+def test_many_turns_and_one_first_turn(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(5000)]
+    rows += [(1000 + c, t, "assistant" if t else "user", "first of all" if t == 0 else f"answer {c % 7}") for c in range(3000) for t in (0, 1)]
+    old, chat.CROWD = chat.CROWD, 100
+    try:
+        found = [tuple(r) for r in chat.op1_chat(spark, spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()]
+    finally:
+        chat.CROWD = old
+    assert sorted(found) == sorted(_truth(rows))
+
+
+SMALL_HEAP = """
+import hashlib
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from tessera.llm import chat
+spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "1g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+talk = spark.range(20000).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string")).alias("text"))
+found = {r.conv_id: r for r in chat.op1_chat(spark, talk).collect()}
+loss = "".join(f"turn {i}" for i in range(1, 20000, 2))
+assert found[5].n_turns == 20000 and found[5].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+print("whole")
+"""
+
+
+def test_twenty_thousand_turns_in_a_small_heap():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    ran = subprocess.run([sys.executable, "-c", SMALL_HEAP], cwd=root, env=os.environ | {"PYTHONPATH": root + os.pathsep + os.environ.get("PYTHONPATH", "")}, capture_output=True, text=True, timeout=600)
+    assert "whole" in ran.stdout, ran.stderr[-2000:]
