@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ranks import cumulated
+
 #: Least probability in a logarithm.
 CLAMP = 1e-12
 
@@ -65,12 +67,6 @@ def from_counts(df: DataFrame) -> DataFrame:
     })
 
 
-def average_rank(order: Column, by: list[str] | None = None) -> Column:
-    """Ranks from 1 in ascending order, ties sharing their mean."""
-    one = Window.partitionBy(*(by or [F.lit(0)]))
-    return F.rank().over(one.orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*(by or [F.lit(0)]), order)) - 1) / 2
-
-
 def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """auc per group: the share of pairs of a positive and a negative in the right order, ties half; null without a side.
 
@@ -78,16 +74,31 @@ def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None)
     """
     keys = by or []
     bins = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).cast("double").alias("p"), F.count_if(F.col(label) == 0).cast("double").alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return bins.withColumn("u", F.col("p") * (below + F.col("q") / 2)).groupBy(*keys).agg(ratio(F.sum("u"), F.sum("p") * F.sum("q"), None).alias("auc"))
+    if keys:
+        below = F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
+        bins = bins.withColumn("before_q", F.coalesce(below, F.lit(0.0)))
+    else:
+        bins = cumulated(bins, [score], ["q"])
+    return bins.withColumn("u", F.col("p") * (F.col("before_q") + F.col("q") / 2)).groupBy(*keys).agg(ratio(F.sum("u"), F.sum("p") * F.sum("q"), None).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """ap per group: precision at each distinct score, weighted by the recall it adds."""
     keys = by or []
     bins = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    down = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return bins.withColumn("u", F.col("p") * F.sum("p").over(down) / F.sum("n").over(down)).groupBy(*keys).agg(ratio(F.sum("u"), F.sum("p"), None).alias("ap"))
+    if keys:
+        down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(down), F.lit(0.0)) for c in ("p", "n")})
+    else:
+        bins = cumulated(bins.withColumn("__down", -F.col(score)), ["__down"], ["p", "n"])
+    return bins.withColumn("u", F.col("p") * (F.col("before_p") + F.col("p")) / (F.col("before_n") + F.col("n"))).groupBy(*keys).agg(ratio(F.sum("u"), F.sum("p"), None).alias("ap"))
+
+
+def cumulative_shares(df: DataFrame, score: str, label: str, id_column: str) -> DataFrame:
+    """df with accepted and positives: along ascending scores, ties by identifier, the share of rows and of positives so far."""
+    found = cumulated(df.withColumn("__one", F.lit(1).cast("long")), [score, id_column], ["__one", label])
+    whole = df.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p")).first()
+    return found.select(*df.columns, ((F.col("before___one") + 1) / F.lit(whole.n)).alias("accepted"), ratio((F.col(f"before_{label}") + F.col(label)).cast("double"), F.lit(whole.p), None).alias("positives"))
 
 
 def at_k(df: DataFrame, score: str, label: str, k: int, id_column: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ranks import numbered
+
 #: Fixed: two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom, then of the normal distribution.
 T_975 = [12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.13145, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.05183, 2.048407, 2.04523, 2.042272]
 NORMAL_975 = 1.959964
@@ -76,10 +78,11 @@ def win_rates(pairs: DataFrame) -> DataFrame:
     return both.groupBy("entry").agg((F.sum("wins") / F.sum("n")).alias("rate"))
 
 
-def elo(pairs: DataFrame, anchor: str | None = None, rating: float = 1000.0, rounds: int = 500, prior: float = 0.5) -> dict:
+def elo(pairs: DataFrame, anchor: str | None = None, rating: float = 1000.0, rounds: int = 500, prior: float = 0.0) -> dict:
     """Bradley-Terry ratings on the scale of 400 points to ten times the odds, the anchor (or the mean) at `rating`.
 
-    Pairs are counted in Spark; the m by m problem is solved here by minorisation. prior: drawn battles added to each pair met.
+    Pairs are counted in Spark; the m by m problem is solved here by minorisation. prior: drawn battles added to each pair met;
+    without any, an entry that won or lost all its battles has an infinite rating.
     """
     rows = pairs.collect()
     names = sorted({r.a for r in rows} | {r.b for r in rows})
@@ -160,11 +163,26 @@ def relative_change(after: Column, clean: Column) -> Column:
     return F.when(F.abs(clean) >= 1e-12, 100 * (after - clean) / F.abs(clean))
 
 
-def removal_rules(scores: DataFrame, score: str, given: str, classes: int) -> dict[str, Column]:
-    """Named rules that mark a row for removal by its probability of the given label: below a constant, below chance, below its class's mean."""
-    mean = F.avg(score).over(Window.partitionBy(given))
-    s = F.col(score)
-    return {"below_half": s < 0.5, "below_tenth": s < 0.1, "below_chance": s < 1.0 / classes, "below_half_chance": s < 0.5 / classes, "below_class_mean": s < mean, "below_half_class_mean": s < mean / 2}
+#: Thresholds of the removal rules: probabilities, parts of chance, of the most probable class, and of the class's mean self-confidence.
+ABSOLUTE, OF_CHANCE, OF_TOP, OF_CLASS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5), (0.25, 0.5, 0.75, 1.0, 1.25), (0.5, 0.75, 1.0), (0.5, 0.75, 1.0)
+
+
+def removal_rules(scores: DataFrame, probs: str, given: str, classes: int, k: int, id_column: str, mixture: Column | None = None) -> DataFrame:
+    """id_column with a boolean a rule that marks rows for removal by the probability of their given label: bottom (the k least, ties to the smaller identifier), abs_, chance_, top_ and class_ with a threshold in hundredths, gmm where a column tells the rows of a mixture's lower part, and each of those united with bottom as <rule>_or_bottom.
+
+    A class's mean self-confidence is the mean probability of the class over the rows given it.
+    """
+    rows = scores.select(id_column, F.col(given).alias("__given"), F.get(probs, F.col(given).cast("int")).alias("__p"), F.array_max(probs).alias("__top"), (mixture if mixture is not None else F.lit(None).cast("boolean")).alias("gmm"))
+    means = rows.groupBy("__given").agg(F.avg("__p").alias("__mean"))  # a row a class
+    rows = numbered(rows.join(F.broadcast(means), "__given"), ["__p", id_column], "__place")
+    p, name = F.col("__p"), lambda kind, x: f"{kind}_{round(100 * x):03d}"
+    rules = {name("abs", t): p < t for t in ABSOLUTE}
+    rules |= {name("chance", a): p < a / classes for a in OF_CHANCE}
+    rules |= {name("top", b): p < b * F.col("__top") for b in OF_TOP}
+    rules |= {name("class", c): p < c * F.col("__mean") for c in OF_CLASS}
+    rules |= {"gmm": F.col("gmm")} if mixture is not None else {}
+    bottom = F.col("__place") <= k
+    return rows.select(id_column, bottom.alias("bottom"), *(r.alias(n) for n, r in rules.items()), *((r | bottom).alias(f"{n}_or_bottom") for n, r in rules.items()))
 
 
 def mask_vote(masks: DataFrame, row: str, mark: str, rank: str, k: int) -> DataFrame:

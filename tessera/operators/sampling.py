@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.keys import key, uniform
+from tessera.operators.ranks import numbered
 
 
 def k_from_percent(n: int, percent: float) -> int:
@@ -98,22 +99,26 @@ def chunks(df: DataFrame, by: str, most: int, least: int, id_column: str, seed:
 
 def balanced_rows(df: DataFrame, estimators: int, size: int, id_column: str, seed: int = 0) -> DataFrame:
     """(estimator, row): each estimator's rows are `size` consecutive places of one shuffled cycle over all rows, so each row serves equally often, give or take one.
-
-    Places come from a range sort of the keys: ranks within a range, and the sizes of the ranges before it.
     """
-    keyed = df.select(id_column, key(seed, "balanced", id_column).alias("__key")).repartitionByRange("__key", id_column).withColumn("__p", F.spark_partition_id()).persist()
-    sizes = sorted((r["__p"], r["count"]) for r in keyed.groupBy("__p").count().collect())
-    before, n = {}, 0
-    for p, rows in sizes:
-        before[p] = n
-        n += rows
-    base = F.coalesce(*([F.when(F.col("__p") == p, F.lit(b)) for p, b in before.items()] or [F.lit(0)]))
-    placed = keyed.select(id_column, (base + F.row_number().over(Window.partitionBy("__p").orderBy("__key", id_column)) - 1).alias("place"))
-    turns = math.ceil(estimators * size / max(1, n))
-    cycle = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).withColumn("slot", F.col("turn") * n + F.col("place"))
+    n = df.count()
+    if not n:
+        return df.select(F.lit(0).alias("estimator"), id_column).limit(0)
+    keyed = df.select(id_column, key(seed, "balanced", id_column).alias("__key")).withColumn("__u", F.conv(F.substring("__key", 1, 8), 16, 10).cast("double"))
+    placed = numbered(keyed, ["__u", "__key", id_column], "place").select(id_column, (F.col("place") - 1).alias("place"))
+    turns = math.ceil(estimators * size / n)
+    cycle = placed.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda t: t.cast("long") * n + F.col("place"))))
     return cycle.where(F.col("slot") < estimators * size).select(F.floor(F.col("slot") / size).cast("int").alias("estimator"), id_column)
 
 
+def replayed(df: DataFrame, id_column: str, size: int) -> DataFrame:
+    """df with batch and place: rows in order of a numeric identifier in batches of `size`, the last batch filled up from the first rows, once."""
+    n = df.count()
+    if not n:
+        return df.select("*", F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("place"))
+    placed = numbered(df, [id_column], "place").withColumn("place", F.explode(F.array(F.col("place") - 1, F.col("place") - 1 + n)))
+    return placed.where(F.col("place") < -(-n // size) * size).withColumn("batch", F.floor(F.col("place") / size))
+
+
 def lpt_packing(costs: dict[str, float], bins: int) -> list[list[str]]:
     """Jobs over bins, longest first, each to the bin with the least so far."""
     heap = [(0.0, b) for b in range(bins)]

@@ -16,6 +16,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from tessera.operators.ranks import quantiles
+
 TINY = 1e-6
 
 
@@ -94,7 +96,9 @@ def hard_clip(df: DataFrame, columns: list[str], threshold: float = 4.0) -> Fitt
 def squash(df: DataFrame, columns: list[str], low: float = 0.25, high: float = 0.75, bound: float = 3.0) -> Fitted:
     """Centred at the median, over the quantile range (or half the whole range, or 0 for a constant), then bent into -bound to bound; infinities go there."""
     finite = lambda x: F.when(F.abs(x) < float("inf"), x)
-    s = _fit(df, columns, {"q": lambda x: F.percentile(finite(x), F.array(F.lit(low), F.lit(0.5), F.lit(high))), "low": lambda x: F.min(finite(x)), "high": lambda x: F.max(finite(x))})
+    s = _fit(df, columns, {"low": lambda x: F.min(finite(x)), "high": lambda x: F.max(finite(x))})
+    q = quantiles(df, {c: finite(F.col(c)) for c in columns}, [low, 0.5, high])
+    s = {c: s[c] | {"q": q[c]} for c in columns}
 
     def apply(c: str) -> Column:
         (a, m, b), lo, hi = s[c]["q"], s[c]["low"], s[c]["high"]
@@ -107,14 +111,13 @@ def squash(df: DataFrame, columns: list[str], low: float = 0.25, high: float = 0
 
 def robust(df: DataFrame, columns: list[str]) -> Fitted:
     """(x - median) over the quartile range, scaled to unit variance for normal data."""
-    s = _fit(df, columns, {"q": lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))})
+    s = {c: {"q": q} for c, q in quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75]).items()}
     return Fitted(tuple(columns), lambda c: (F.col(c) - F.lit(float(s[c]["q"][1]))) / F.lit(float((s[c]["q"][2] - s[c]["q"][0]) / 1.3489795003921634 or 1.0)), s)
 
 
 def quantile_levels(df: DataFrame, columns: list[str], n: int) -> dict[str, list[float]]:
     """n quantiles at equal distances of each column; n is bounded, so they are short literals."""
-    levels = F.array(*(F.lit(i / (n - 1)) for i in range(n)))
-    return {c: [float(v) for v in r["q"]] if r["q"] else [] for c, r in _fit(df, columns, {"q": lambda x: F.percentile(x, levels)}).items()}
+    return quantiles(df, {c: F.col(c) for c in columns}, [i / (n - 1) for i in range(n)])
 
 
 def quantile_uniform(df: DataFrame, columns: list[str], n: int = 10, extrapolate: float | None = None) -> Fitted:
@@ -209,7 +212,10 @@ def one_hot(df: DataFrame, column: str, most: int = 30, drop_binary: bool = True
 
 
 def imputed(df: DataFrame, columns: list[str], how: str = "median") -> Fitted:
-    s = _fit(df, columns, {"v": (lambda x: F.percentile(x, 0.5)) if how == "median" else F.avg})
+    if how == "median":
+        s = {c: {"v": q[0] if q else None} for c, q in quantiles(df, {c: F.col(c) for c in columns}, [0.5]).items()}
+    else:
+        s = _fit(df, columns, {"v": F.avg})
     return Fitted(tuple(columns), lambda c: F.coalesce(F.col(c), F.lit(s[c]["v"] if s[c]["v"] is not None else 0.0)), s)
 
 

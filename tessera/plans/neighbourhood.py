@@ -62,8 +62,7 @@ def nearest_other_class(spark, sf_dir):
 
 
 def knn_shapley(spark, sf_dir):
-    pool = _e(spark, sf_dir).where("vec_id % 5 = 1")
-    near = nb.knn(pool, _q(spark, sf_dir), None, carry=("label",), **E)
+    near = nb.knn(_e(spark, sf_dir), _q(spark, sf_dir), None, carry=("label",), **E)
     return nb.shapley(near, _own(spark, sf_dir), 4).select("neighbour", F.round("value", 6).alias("value"))
 
 
@@ -116,8 +115,8 @@ ORACLES = {
     "knn_vote": f"SELECT query, label, round(share, 5) AS share FROM {_VOTE} WHERE r = 1",
     "knn_relabel": f"SELECT query, own, CASE WHEN share >= 0.4 THEN label ELSE own END AS new FROM {_VOTE} WHERE r = 1",
     "boundary_margin": f"WITH p AS {_pairs(10)}, m AS (SELECT quantile_disc(distance, 0.5) AS m FROM p), w AS (SELECT query, label, sum(exp(-distance / m)) AS w FROM p, m GROUP BY 1, 2), r AS (SELECT query, label, w / sum(w) OVER (PARTITION BY query) AS w, row_number() OVER (PARTITION BY query ORDER BY w DESC, label) AS r FROM w) SELECT query, max(CASE WHEN r = 1 THEN label END) AS first, round(max(CASE WHEN r = 1 THEN w END) - coalesce(max(CASE WHEN r = 2 THEN w END), 0), 4) AS margin FROM r GROUP BY 1",
-    "nearest_other_class": f"SELECT query, own, label, round(d, 5) AS distance FROM (SELECT query, own, label, avg(distance) AS d, row_number() OVER (PARTITION BY query ORDER BY avg(distance), label) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY distance, neighbour) AS i FROM {_pairs(1000000, where='q.label <> c.label')}) WHERE i <= 3 GROUP BY 1, 2, 3) WHERE r = 1",
-    "knn_shapley": f"SELECT neighbour, round(avg(s), 6) AS value FROM (SELECT neighbour, sum(t) OVER (PARTITION BY query ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM (SELECT *, CASE WHEN nxt IS NULL THEN m / rank * least(1, rank / 4) ELSE (m - nxt) / 4 * least(4, rank) / rank END AS t FROM (SELECT *, (label = own)::INT::DOUBLE AS m, lead((label = own)::INT::DOUBLE) OVER (PARTITION BY query ORDER BY rank) AS nxt FROM {_pairs(1000000, where='c.vec_id % 5 = 1')}))) GROUP BY 1",
+    "nearest_other_class": f"SELECT query, own, label, round(d, 5) AS distance FROM (SELECT query, own, label, avg(distance) AS d, row_number() OVER (PARTITION BY query ORDER BY avg(distance), label) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY distance, neighbour) AS i FROM {_pairs(1 << 62, where='q.label <> c.label')}) WHERE i <= 3 GROUP BY 1, 2, 3) WHERE r = 1",
+    "knn_shapley": f"SELECT neighbour, round(avg(s), 6) AS value FROM (SELECT neighbour, sum(t) OVER (PARTITION BY query ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM (SELECT *, CASE WHEN nxt IS NULL THEN m / rank * least(1, rank / 4) ELSE (m - nxt) / 4 * least(4, rank) / rank END AS t FROM (SELECT *, (label = own)::INT::DOUBLE AS m, lead((label = own)::INT::DOUBLE) OVER (PARTITION BY query ORDER BY rank) AS nxt FROM {_pairs(1 << 62)}))) GROUP BY 1",
     "flip_random": f"SELECT vec_id, label, (r + (r >= label)::INT)::INT AS flipped FROM (SELECT vec_id, label, floor({_KEY.format(s='other')} * 9)::INT AS r FROM embeddings WHERE {_KEY.format(s='pick')} < 0.1)",
     "flip_hub": f"SELECT query, own, (own + 1) % 10 AS flipped FROM (SELECT query, own, avg(distance) AS s FROM {_pairs(10)} GROUP BY 1, 2 ORDER BY s, query LIMIT 5)",
     "flip_delta_replay": "SELECT vec_id, round(embedding[1]::DOUBLE + CASE WHEN vec_id % 9 = 0 THEN 0.25 ELSE 0 END, 6) AS x, CASE WHEN vec_id % 9 = 0 THEN (label + 3) % 10 ELSE label END AS label FROM embeddings",

@@ -53,7 +53,7 @@ def chunk_shard(spark, sf_dir):
 
 
 def balanced_rows(spark, sf_dir):
-    return sampling.balanced_rows(_e(spark, sf_dir).where("vec_id < 100"), 7, 40, "vec_id")
+    return sampling.balanced_rows(_e(spark, sf_dir), 7, 400, "vec_id")
 
 
 def split_by_date(spark, sf_dir):
@@ -82,6 +82,6 @@ SELECT vec_id, label FROM {_R} JOIN f USING (label) WHERE r <= quota""",
     "nested_children": f"SELECT vec_id, label FROM embeddings ORDER BY {_key(0, 'sample')}, vec_id LIMIT 30",
     "kfold": f"SELECT vec_id, label, ((row_number() OVER (PARTITION BY CASE WHEN n >= 4 THEN label END ORDER BY {_key(0, 'fold')}, vec_id) - 1) % 4)::INT AS fold FROM {_R}",
     "chunk_shard": "SELECT label, unnest(range(CASE WHEN n % 16 >= 8 THEN n // 16 + 1 ELSE n // 16 END))::INT AS chunk, least(16, n - 16 * chunk) AS n_rows FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)",
-    "balanced_rows": f"WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY {_key(0, 'balanced')}, vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings WHERE vec_id < 100), t AS (SELECT vec_id, unnest(range(3)) * n + place AS slot FROM p) SELECT (slot // 40)::INT AS estimator, vec_id FROM t WHERE slot < 280",
+    "balanced_rows": f"WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY {_key(0, 'balanced')}, vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings), t AS (SELECT vec_id, unnest(range((2800 // n + 1)::INT)) * n + place AS slot FROM p) SELECT (slot // 400)::INT AS estimator, vec_id FROM t WHERE slot < 2800",
     "split_by_date": "SELECT CASE WHEN o_orderdate < DATE '1996-01-01' THEN 'train' WHEN o_orderdate < DATE '1997-01-01' THEN 'validation' ELSE 'test' END AS part, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
 }

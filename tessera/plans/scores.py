@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.operators import metrics as m
 from tessera.sources.tables import table
 
 
+#: Fixed values of the tuning grids: temperatures 0.60 to 1.40 by hundredths, 198 thresholds from 0.01 to 0.99 at equal distances.
+TEMPERATURES = [t / 100 for t in range(60, 141)]
+THRESHOLDS = [round(0.01 + 0.98 * k / 197, 12) for k in range(198)]
+
+
 def _scored(spark, sf_dir):
     """doc_id, y (toxic), guess (1 - quality), score (tied tenths of a hash of doc_id)."""
     l = table(spark, sf_dir, "labels")  # noqa: E741
@@ -19,11 +23,11 @@ _L = "(SELECT doc_id, toxic AS y, 1 - quality AS guess, ((doc_id * 7919) % 97 +
 
 
 def _logits(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0")
+    e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 8).alias("logits"))
 
 
-_E = "(SELECT vec_id, label, list_transform(embedding[1:10], lambda v: v::DOUBLE * 8) AS x FROM embeddings WHERE vec_id % 5 = 0)"
+_E = "(SELECT vec_id, label, list_transform(embedding[1:10], lambda v: v::DOUBLE * 8) AS x FROM embeddings)"
 _SM = "list_transform(x, lambda v: exp((v - list_max(x)) / {t}) / list_sum(list_transform(x, lambda u: exp((u - list_max(x)) / {t}))))"
 
 
@@ -90,12 +94,12 @@ def softmax_temperature(spark, sf_dir):
 
 
 def temperature_tuning(spark, sf_dir):
-    found = m.temperatures(_logits(spark, sf_dir), "logits", "label", [0.6, 1.0, 1.4])
+    found = m.temperatures(_logits(spark, sf_dir), "logits", "label", TEMPERATURES)
     return found.select("temperature", F.round("loss", 6).alias("loss"))
 
 
 def threshold_sweep(spark, sf_dir):
-    found = m.sweep(_scored(spark, sf_dir), "score", "y", [0.1, 0.25, 0.5, 0.75, 0.9])
+    found = m.sweep(_scored(spark, sf_dir), "score", "y", THRESHOLDS)
     return found.select("threshold", "tp", "fp", "fn", "tn", F.round("balanced_accuracy", 6).alias("balanced_accuracy"), F.round("f1", 6).alias("f1"))
 
 
@@ -144,10 +148,8 @@ def transaction_cost(spark, sf_dir):
 
 def cumulative_acceptance(spark, sf_dir):
     """Along ascending scores: share of rows and of positives accepted."""
-    rows = _scored(spark, sf_dir)
-    up = Window.orderBy("score", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    one = Window.partitionBy(F.lit(0))
-    return rows.select("doc_id", F.round(F.count(F.lit(1)).over(up) / F.count(F.lit(1)).over(one), 6).alias("accepted"), F.round(F.sum("y").over(up) / F.sum("y").over(one), 6).alias("positives"))
+    found = m.cumulative_shares(_scored(spark, sf_dir), "score", "y", "doc_id")
+    return found.select("doc_id", F.round("accepted", 6).alias("accepted"), F.round("positives", 6).alias("positives"))
 
 
 QUERIES = {f.__name__: f for f in (binary_confusion, binary_auc, auc_by_group, average_precision, precision_at_k, binary_cross_entropy, ece_bins, calibration_error, brier, detection_report, subset_purity, softmax_temperature, temperature_tuning, threshold_sweep, class_balance_reweight, ensemble_average, batch_statistics, multiclass_mcc, macro_auc, metric_deltas, weighted_vote, transaction_cost, cumulative_acceptance)}
@@ -184,8 +186,8 @@ ORACLES = {
     "detection_report": f"SELECT class, tp, fp, round({_div('tp', 'tp + fp')}, 6) AS precision, round({_div('tp', 'tp + fn')}, 6) AS recall, round({_div('fp', 'fp + tn')}, 6) AS false_removal FROM (SELECT doc_id % 4 AS class, {_counts('guess')} FROM {_L} GROUP BY 1)",
     "subset_purity": f"SELECT count(*) FILTER (score < 0.5) AS kept, count(*) FILTER (score < 0.5 AND y = 1) AS poison_kept, round(count(*) FILTER (score < 0.5 AND y = 0) / count(*) FILTER (score < 0.5), 6) AS purity, count(*) FILTER (score >= 0.5 AND y = 0) AS clean_discarded FROM {_L}",
     "softmax_temperature": f"SELECT vec_id, (list_position(p, list_max(p)) - 1)::INT AS predicted, round(list_max(p), 6) AS top FROM (SELECT vec_id, {_SM.format(t=1.7)} AS p FROM {_E})",
-    "temperature_tuning": " UNION ALL ".join(f"SELECT {t}::DOUBLE AS temperature, round(-avg(ln(greatest(({_SM.format(t=t)})[label + 1], 1e-12))), 6) AS loss FROM {_E}" for t in (0.6, 1.0, 1.4)),
-    "threshold_sweep": f"SELECT threshold, tp, fp, fn, tn, round({_BA}, 6) AS balanced_accuracy, round({_F1}, 6) AS f1 FROM (SELECT threshold, {_counts('p')} FROM (SELECT y, threshold, (score >= threshold)::INT AS p FROM {_L}, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS threshold)) GROUP BY 1)",
+    "temperature_tuning": f"SELECT temperature, round(-avg(ln(greatest(exp((x[label + 1] - list_max(x)) / temperature) / list_sum(list_transform(x, lambda u: exp((u - list_max(x)) / temperature))), 1e-12))), 6) AS loss FROM {_E}, (SELECT unnest(range(60, 141)) / 100.0::DOUBLE AS temperature) GROUP BY 1",
+    "threshold_sweep": f"SELECT threshold, tp, fp, fn, tn, round({_BA}, 6) AS balanced_accuracy, round({_F1}, 6) AS f1 FROM (SELECT threshold, {_counts('p')} FROM (SELECT y, threshold, (score >= threshold)::INT AS p FROM {_L}, (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold)) GROUP BY 1)",
     "class_balance_reweight": f"SELECT vec_id, round((p[4] / 0.08) / list_sum(list_transform(range(1, 11), lambda k: p[k] / (0.04 + 0.01 * k))), 6) AS p3 FROM (SELECT vec_id, {_SM.format(t=1)} AS p FROM {_E})",
     "ensemble_average": f"SELECT vec_id % 20 AS row, round(avg(p[1]), 6) AS p0, round(avg(p[10]), 6) AS p9 FROM (SELECT vec_id, {_SM.format(t=1)} AS p FROM {_E}) GROUP BY 1",
     "batch_statistics": f"SELECT round(avg(p[label + 1]), 6) AS mean_given, round(min(p[label + 1]), 6) AS min_given, round(avg(list_sort(p, 'DESC')[1] - list_sort(p, 'DESC')[2]), 6) AS margin, round(avg(-list_sum(list_transform(p, lambda v: CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END)) / ln(10)), 6) AS entropy FROM (SELECT label, {_SM.format(t=1)} AS p FROM {_E})",

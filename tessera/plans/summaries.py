@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 from tessera.functions.keys import key
 from tessera.operators import profile as pf
 from tessera.operators import reports as rp
+from tessera.operators.ranks import averaged, numbered
+from tessera.operators.sampling import replayed
 from tessera.sources.tables import table
 
 
@@ -109,11 +111,11 @@ def elo(spark, sf_dir):
 
 def paired_bootstrap(spark, sf_dir):
     d = rp.paired_difference(_errors(spark, sf_dir).where("entry in ('m0', 'm1')"), "task", "entry", "error", "m0")
-    return rp.bootstrap_mean(d, "task", "difference", 200).select(*(F.round(c, 9).alias(c) for c in ("mean", "low", "high", "p")))
+    return rp.bootstrap_mean(d, "task", "difference", 2000).select(*(F.round(c, 9).alias(c) for c in ("mean", "low", "high", "p")))
 
 
 def cluster_bootstrap(spark, sf_dir):
-    return rp.bootstrap_mean(_trials(spark, sf_dir), "part", "m", 100, 1).select(*(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+    return rp.bootstrap_mean(_trials(spark, sf_dir), "part", "m", 200, 1).select(*(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
 def win_tie_loss(spark, sf_dir):
@@ -125,24 +127,21 @@ def win_tie_loss(spark, sf_dir):
 def rank_average(spark, sf_dir):
     """The mean of two methods' average-tie ranks; the 30 lowest go."""
     e = table(spark, sf_dir, "events").select("event_id", "value", (F.col("event_id") * 37 % 101).alias("b"))
-    one = Window.partitionBy(F.lit(0))
-    rank = lambda c: F.rank().over(one.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    return e.select("event_id", ((rank("value") + rank("b")) / 2).alias("r")).orderBy("r", "event_id").limit(30)
+    ranked = averaged(averaged(e, "value", "ra"), "b", "rb")
+    return ranked.select("event_id", ((F.col("ra") + F.col("rb")) / 2).alias("r")).orderBy("r", "event_id").limit(30)
 
 
 def rank_blend(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "value", (F.col("event_id") * 37 % 101).alias("b"))
-    one = Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(one)
-    rank = lambda c: F.rank().over(one.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    return e.select("event_id", F.round((rank("value") * 0.7 + rank("b") * 0.3) / n, 6).alias("score"))
+    ranked = averaged(averaged(e, "value", "ra"), "b", "rb")
+    return ranked.select("event_id", F.round((F.col("ra") * 0.7 + F.col("rb") * 0.3) / F.lit(e.count()), 6).alias("score"))
 
 
 def removal_rules(spark, sf_dir):
-    s = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.abs(F.element_at("embedding", 1).cast("double")).alias("p"))
-    rules = rp.removal_rules(s, "p", "label", 10)
-    marked = s.select(*(c.alias(n) for n, c in rules.items()))
-    return marked.agg(*(F.count_if(F.col(n)).alias(n) for n in rules))
+    """Rows that each rule marks, the bottom 40 among them."""
+    s = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda v: F.round(F.abs(v.cast("double")), 6)).alias("p"))
+    marked = rp.removal_rules(s, "p", "label", 10, 40, "vec_id").drop("vec_id")
+    return marked.agg(*(F.count_if(F.col(n)).alias(n) for n in marked.columns))
 
 
 def mask_vote(spark, sf_dir):
@@ -201,7 +200,8 @@ def distinct_ordered(spark, sf_dir):
 
 def null_census(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("p"))
-    return o.agg(F.count_if(F.col("p").isNull()).alias("missing"), F.count_distinct("o_orderstatus").alias("statuses"), (F.count(F.lit(1)) - F.size(F.collect_set(F.struct("o_orderstatus", "p")))).alias("repeated"))
+    rows = o.groupBy("o_orderstatus", "p").agg(F.count(F.lit(1)).alias("n"))
+    return rows.agg(F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count_distinct("o_orderstatus").alias("statuses"), (F.sum("n") - F.count(F.lit(1))).alias("repeated"))
 
 
 def success_rate(spark, sf_dir):
@@ -232,19 +232,18 @@ def instance_tags(spark, sf_dir):
 
 def cutmix(spark, sf_dir):
     """Quantity from one row, discount and tax from its partner in a shuffled order."""
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey <= 400").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_partkey", "l_suppkey")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_partkey", "l_suppkey")  # noqa: E741
     same = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    placed = l.withColumn("a", F.row_number().over(Window.orderBy(*same))).withColumn("b", F.row_number().over(Window.orderBy(key(0, "mix", "l_orderkey", "l_linenumber"), *same)))
-    other = placed.select(F.col("b").alias("a"), F.col("l_discount").alias("d"))
+    l = l.withColumn("k", key(0, "mix", "l_orderkey", "l_linenumber")).withColumn("u", F.conv(F.substring("k", 1, 8), 16, 10).cast("double"))  # noqa: E741
+    placed = numbered(l, same, "a")
+    other = numbered(l, ["u", "k", *same], "a").select("a", F.col("l_discount").alias("d"))
     return placed.join(other, "a").select("l_orderkey", "l_linenumber", "l_quantity", "d")
 
 
 def batched_replay(spark, sf_dir):
-    """Rows 90 to 139 of numbered batches, wrapped to the first."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 100").select("vec_id")
-    n = 100
-    place = F.explode(F.array(F.col("vec_id"), F.col("vec_id") + n))
-    return e.select("vec_id", place.alias("place")).where("place >= 90 and place < 140")
+    """Batches of 64 rows in order of their numbers, the last one filled from the first rows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id")
+    return replayed(e, "vec_id", 64).select("vec_id", "batch", "place")
 
 
 _NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")]
@@ -261,6 +260,9 @@ w AS (SELECT round, floor(('0x' || substr(md5('{seed}|boot|' || round || '|' ||
 m AS (SELECT round, sum(s) / sum(n) AS m FROM w JOIN u USING (place) GROUP BY 1)"""
 
 
+_RULES = {f"abs_{round(100 * t):03d}": f"p < {t}::DOUBLE" for t in (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)}
+_RULES |= {f"chance_{round(100 * a):03d}": f"p < {a / 10}::DOUBLE" for a in (0.25, 0.5, 0.75, 1.0, 1.25)}
+_RULES |= {f"top_{round(100 * b):03d}": f"p < {b}::DOUBLE * t" for b in (0.5, 0.75, 1.0)} | {f"class_{round(100 * c):03d}": f"p < {c}::DOUBLE * m" for c in (0.5, 0.75, 1.0)}
 _AVG = lambda c, by="": f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
 ORACLES = {
     "trial_summary_grouping_sets": f"WITH f AS (SELECT CASE WHEN grouping(run) = 1 AND grouping(part) = 1 THEN 'overall' WHEN grouping(run) = 0 THEN 'by_run' ELSE 'by_part' END AS level, coalesce(run::VARCHAR, part) AS key, avg(m) AS a, stddev_pop(m) AS s, min(m) AS lo, max(m) AS hi, count(m) AS n FROM {_TR} GROUP BY GROUPING SETS ((), (run), (part))) SELECT level, key, n, round(a, 9) AS mean, round(s, 9) AS std, round(lo, 9) AS low, round(hi, 9) AS high FROM f UNION ALL SELECT 'across_' || substr(level, 4), NULL, count(a), round(avg(a), 9), round(stddev_pop(a), 9), round(min(a), 9), round(max(a), 9) FROM f WHERE level <> 'overall' GROUP BY 1",
@@ -279,12 +281,12 @@ ORACLES = {
     "regret": f"SELECT task, entry, round(CASE WHEN hi <> lo THEN abs(hi - error) / abs(hi - lo) ELSE 0 END, 6) AS regret FROM (SELECT *, max(error) OVER (PARTITION BY task) AS hi, min(error) OVER (PARTITION BY task) AS lo FROM {_ER})",
     "improvability": f"SELECT entry, round(avg(CASE WHEN error <> 0 THEN 1 - lo / error ELSE 0 END), 6) AS improvability FROM (SELECT *, min(error) OVER (PARTITION BY task) AS lo FROM {_ER}) GROUP BY 1",
     "spearman": "SELECT event_type, round(corr(a, b), 6) AS rho FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id)::DOUBLE AS a, row_number() OVER (PARTITION BY event_type ORDER BY hour(ts), event_id)::DOUBLE AS b FROM events) GROUP BY 1",
-    "paired_bootstrap": f"WITH d AS (SELECT * FROM {_DIFF} WHERE entry = 'm1'), {_boot('d', 'task', 'difference', 200, 0)} SELECT round((SELECT avg(difference) FROM d), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg((m <= 0)::INT), 9) AS p FROM m",
-    "cluster_bootstrap": f"WITH d AS (SELECT part, m AS v FROM {_TR}), {_boot('d', 'part', 'v', 100, 1)} SELECT round((SELECT avg(v) FROM d), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m",
+    "paired_bootstrap": f"WITH d AS (SELECT * FROM {_DIFF} WHERE entry = 'm1'), {_boot('d', 'task', 'difference', 2000, 0)} SELECT round((SELECT avg(difference) FROM d), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg((m <= 0)::INT), 9) AS p FROM m",
+    "cluster_bootstrap": f"WITH d AS (SELECT part, m AS v FROM {_TR}), {_boot('d', 'part', 'v', 200, 1)} SELECT round((SELECT avg(v) FROM d), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m",
     "win_tie_loss": f"SELECT entry, count(*) FILTER (difference < 0) AS win, count(*) FILTER (difference = 0) AS tie, count(*) FILTER (difference > 0) AS loss FROM {_DIFF} GROUP BY 1",
     "rank_average": f"SELECT event_id, (a + b) / 2 AS r FROM (SELECT event_id, {_AVG('value')} AS a, {_AVG('event_id * 37 % 101')} AS b FROM events) ORDER BY r, event_id LIMIT 30",
     "rank_blend": f"SELECT event_id, round((a * 0.7 + b * 0.3) / n, 6) AS score FROM (SELECT event_id, {_AVG('value')} AS a, {_AVG('event_id * 37 % 101')} AS b, count(*) OVER () AS n FROM events)",
-    "removal_rules": "SELECT count(*) FILTER (p < 0.5) AS below_half, count(*) FILTER (p < 0.1) AS below_tenth, count(*) FILTER (p < 0.1::DOUBLE) AS below_chance, count(*) FILTER (p < 0.05) AS below_half_chance, count(*) FILTER (p < m) AS below_class_mean, count(*) FILTER (p < m / 2) AS below_half_class_mean FROM (SELECT abs(embedding[1]::DOUBLE) AS p, avg(abs(embedding[1]::DOUBLE)) OVER (PARTITION BY label) AS m FROM embeddings)",
+    "removal_rules": "SELECT count(*) FILTER (low) AS bottom, " + ", ".join(f"count(*) FILTER ({c}) AS {n}, count(*) FILTER (({c}) OR low) AS {n}_or_bottom" for n, c in _RULES.items()) + " FROM (SELECT *, row_number() OVER (ORDER BY p, vec_id) <= 40 AS low, avg(p) OVER (PARTITION BY label) AS m FROM (SELECT vec_id, label, x[label + 1] AS p, list_max(x) AS t FROM (SELECT vec_id, label, list_transform(embedding[1:10], lambda v: round(abs(v::DOUBLE), 6)) AS x FROM embeddings)))",
     "mask_vote": "SELECT row, votes::BIGINT AS votes, round(mr, 6) AS mean_rank FROM (SELECT event_id % 50 AS row, sum((value > 50)::INT) AS votes, avg(r) AS mr FROM (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY value) AS r FROM events) GROUP BY 1 ORDER BY votes DESC, mr, row LIMIT 10)",
     "audit_totals": "SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 0",
     "table_profile": " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct, {w} AS whole, round({lo}, 4) AS low, round({hi}, 4) AS high FROM lineitem" for c, w, lo, hi in (("l_quantity", "bool_and(l_quantity = floor(l_quantity))", "min(l_quantity)", "max(l_quantity)"), ("l_discount", "bool_and(l_discount = floor(l_discount))", "min(l_discount)", "max(l_discount)"), ("l_linenumber", "true", "min(l_linenumber)::DOUBLE", "max(l_linenumber)::DOUBLE"), ("l_returnflag", "false", "NULL::DOUBLE", "NULL::DOUBLE"), ("l_shipdate", "false", "NULL::DOUBLE", "NULL::DOUBLE"))),
@@ -301,6 +303,6 @@ ORACLES = {
     "best_candidates": "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber) AS r FROM lineitem WHERE l_discount > 0.03) WHERE r <= 2",
     "json_fields": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events",
     "instance_tags": "SELECT event_id, 'ds_' || event_type AS ds, (user_id % 30)::INT AS r, (event_id % 5)::INT AS c FROM events",
-    "cutmix": "WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS a, row_number() OVER (ORDER BY md5('0|mix|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS b FROM lineitem WHERE l_orderkey <= 400) SELECT x.l_orderkey, x.l_linenumber, x.l_quantity, y.l_discount AS d FROM p x JOIN p y ON x.a = y.b",
-    "batched_replay": "SELECT vec_id, place FROM (SELECT vec_id, unnest([vec_id, vec_id + 100]) AS place FROM embeddings WHERE vec_id < 100) WHERE place >= 90 AND place < 140",
+    "cutmix": "WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS a, row_number() OVER (ORDER BY md5('0|mix|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS b FROM lineitem) SELECT x.l_orderkey, x.l_linenumber, x.l_quantity, y.l_discount AS d FROM p x JOIN p y ON x.a = y.b",
+    "batched_replay": "WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS a, count(*) OVER () AS n FROM embeddings) SELECT vec_id, place // 64 AS batch, place FROM (SELECT vec_id, n, unnest([a, a + n]) AS place FROM p) WHERE place < ((n + 63) // 64) * 64",
 }
