@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Characters between words: space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of 64 bits in the filter of sifted(): its broadcast has so many rows at most, whatever the tables' sizes.
-SLOTS = 1 << 20
+#: Rows at most of the table that the filter of sifted() broadcasts, whatever the tables' sizes, and words of 64 bits in each.
+SLOTS, WORDS = 1 << 17, 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,18 +59,23 @@ def fresh(name: str, taken: Iterable[str]) -> str:
 def marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str) -> DataFrame:
     """rows with a column `name`: true for every row whose key, a long, is among the wanted ones, and by chance for a few others.
 
-    A bit for each wanted key in a table of at most SLOTS words, which is broadcast (some 30 MB at
-    most). Beyond some 30 million wanted keys most bits are set: then most rows are marked, and
-    what follows costs what it would cost without this.
+    A bit for each wanted key in a table of at most SLOTS rows of WORDS words, which is broadcast
+    (some 12 MB at most). Beyond some 40 million wanted keys most bits are set: then most rows
+    are marked, and what follows costs what it would cost without this.
     """
-    hashed = lambda k: F.xxhash64(k, F.lit(7))
-    slot, bits, code = (fresh(c, [*rows.columns, name]) for c in ("__slot", "__bits", "__code"))
-    bit = F.expr(f"shiftleft(1L, cast(shiftright(`{code}`, 40) & 63 as int))")
-    words = wanted.select(hashed(wanted_key).alias(code)).select(F.pmod(F.col(code), F.lit(SLOTS)).cast("int").alias(slot), bit.alias(bits)).groupBy(slot).agg(F.bit_or(bits).alias(bits))
-    coded = rows.withColumn(code, hashed(key))
-    coded = coded.withColumn(slot, F.pmod(F.col(code), F.lit(SLOTS)).cast("int"))
-    found = coded.join(F.broadcast(words), slot, "left").withColumn(name, F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False)))
-    return found.select(*(f"`{c}`" for c in rows.columns), name)
+    slot, part, bit, code = (fresh(c, [*rows.columns, name]) for c in ("__slot", "__part", "__bit", "__code"))
+    words = [fresh(f"__word{i}", rows.columns) for i in range(WORDS)]
+
+    def coded(df: DataFrame, k: Column) -> DataFrame:
+        df = df.withColumn(code, F.pmod(F.xxhash64(k, F.lit(7)), F.lit(64 * WORDS * SLOTS)))
+        return df.withColumns({slot: F.floor(F.col(code) / (64 * WORDS)).cast("int"), part: (F.shiftright(F.col(code), 6) % WORDS).cast("int"), bit: F.expr(f"shiftleft(1L, cast(`{code}` & 63 as int))")})
+
+    bits = coded(wanted.select(wanted_key.alias(name)), F.col(name)).groupBy(slot).agg(*(F.bit_or(F.when(F.col(part) == i, F.col(bit))).alias(w) for i, w in enumerate(words)))
+    found = coded(rows, key).join(F.broadcast(bits), slot, "left")
+    word = F.when(F.col(part) == 0, F.col(words[0]))
+    for i in range(1, WORDS):
+        word = word.when(F.col(part) == i, F.col(words[i]))
+    return found.withColumn(name, F.coalesce(word.bitwiseAND(F.col(bit)) != 0, F.lit(False))).select(*(f"`{c}`" for c in rows.columns), name)
 
 
 def sifted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
