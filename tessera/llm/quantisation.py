@@ -249,8 +249,10 @@ def search(index: DataFrame, quantiser: Quantiser | None, queries: DataFrame, *,
         alike, group = np.unique(vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_inverse=True)
         # of equal vectors only the first k + 1 identifiers can be among the k nearest
         spot = np.argsort(group, kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(alike)))])
-        heads = spot[bounds[:-1]]
+        first = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(alike)))])[:-1]
+        heads, group = spot[first], group[spot]
+        spot = spot[(np.arange(len(spot)) - first[group]) <= k]
+        group = group[(np.arange(len(group)) - first[group]) <= k]
         codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in block["codes"].iloc[heads]]).T.astype(np.intp)
         norms, count = block["norm"].to_numpy()[heads], min(len(heads), max(2 * k, int(np.ceil(own.depth * len(heads)))))
         found = []
@@ -263,7 +265,9 @@ def search(index: DataFrame, quantiser: Quantiser | None, queries: DataFrame, *,
             if measure == "l2":
                 rough = 2 * rough - norms
             best = np.argpartition(-rough, count - 1)[:count] if count < len(rough) else np.arange(len(rough))
-            rows = np.concatenate([spot[bounds[g] : min(bounds[g + 1], bounds[g] + k + 1)] for g in best])
+            chosen = np.zeros(len(heads), dtype=bool)
+            chosen[best] = True
+            rows = spot[chosen[group]]
             rows = rows[names[rows] != query]
             with np.errstate(over="ignore", invalid="ignore"):
                 score = (vectors[rows] * vec).sum(axis=1) if measure == "ip" else -((vectors[rows] - vec) ** 2).sum(axis=1)
