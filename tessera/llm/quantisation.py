@@ -99,7 +99,9 @@ def fit(x: np.ndarray, m: int = 16, k: int = 256, rounds: int = 6, refits: int =
                 np.add.at(normal, (codes[:, i], codes[:, j]), 1.0)
         normal[np.diag_indices(m * k)] += 1.0
         right += found.flat  # a ridge towards the codewords so far
-        found = Codebooks(np.linalg.solve(normal, right).reshape(m, k, -1))
+        solved = np.linalg.solve(normal, right).reshape(m, k, -1)
+        del normal, right, codes, found  # each of some (m k)^2 numbers
+        found = Codebooks(solved)
     return found
 
 
@@ -177,6 +179,7 @@ def build(vectors: DataFrame, *, id_column: str = "vec_id", column: str = "embed
     found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("vec", F.abs))).alias("top")).first()
     power = -int(np.frexp(found.top)[1])
     x = np.ldexp(np.stack(drawn["vec"].to_list()), power)
+    del drawn
     kept = len(x) - len(x) // 8 if found.n > len(x) and len(x) > 64 else len(x)
     lists = max(1, min(found.n // list_rows, sample // 16, kept // 4))
     centres = _kmeans(x[:kept].astype(np.float32), lists, 8, np.random.default_rng(seed + 1))
