@@ -155,5 +155,10 @@ ORACLES = {
     "quantile_icdf": f"SELECT event_id, round(m[1] + (m[2] - m[1]) / ln(0.25 / 0.1) * ln(0.05 / 0.1), 7) AS q05, round(m[2] + (m[3] - m[2]) * 0.15 / 0.25, 7) AS q40, round(m[5] + (m[5] - m[4]) / ln(0.25 / 0.1) * ln(0.1 / 0.03), 7) AS q97 FROM (SELECT event_id, {_MONO} AS m FROM {_Q})",
     # the isotonic fit by its minimax form
     "isotonic": f"SELECT event_id, {', '.join(f'round(f[{i + 1}], 7) AS f{i}' for i in range(5))} FROM (SELECT event_id, list_transform(range(1, 6), lambda i: list_max(list_transform(range(1, i + 1), lambda s: list_min(list_transform(range(i, 6), lambda t: list_avg(q[s:t])))))) AS f FROM {_Q})",
+    # one row a round, until the shares move by less than the tolerance
+    "em_prior": "WITH RECURSIVE q AS (SELECT list_transform(e, lambda v: v / list_sum(e)) AS p FROM (SELECT list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM (SELECT list_transform(embedding[1:3], lambda v: v::DOUBLE * 6) AS x FROM embeddings))), s AS (SELECT 0 AS round, 1 / 3.0::DOUBLE AS a, 1 / 3.0::DOUBLE AS b, 1 / 3.0::DOUBLE AS c, 1.0::DOUBLE AS moved UNION ALL SELECT round + 1, na, nb, nc, greatest(abs(na - a), abs(nb - b), abs(nc - c)) FROM (SELECT round, a, b, c, avg(p[1] * a / (p[1] * a + p[2] * b + p[3] * c)) AS na, avg(p[2] * b / (p[1] * a + p[2] * b + p[3] * c)) AS nb, avg(p[3] * c / (p[1] * a + p[2] * b + p[3] * c)) AS nc FROM s, q WHERE moved >= 1e-6 AND round < 100 GROUP BY ALL)) SELECT unnest([0, 1, 2])::INT AS class, unnest([round(a, 6), round(b, 6), round(c, 6)]) AS prior FROM (SELECT * FROM s ORDER BY round DESC LIMIT 1)",
+    "two_gaussian_fit": "WITH RECURSIVE q AS (SELECT embedding[1]::DOUBLE AS x FROM embeddings), s AS (SELECT 0 AS round, quantile_cont(x, 0.25) AS m0, greatest(stddev_pop(x), 1e-6) AS s0, quantile_cont(x, 0.75) AS m1, greatest(stddev_pop(x), 1e-6) AS s1 FROM q UNION ALL SELECT round + 1, x1 / n, greatest(sqrt(greatest(x2 / n - pow(x1 / n, 2), 0)), 1e-6), (t1 - x1) / (k - n), greatest(sqrt(greatest((t2 - x2) / (k - n) - pow((t1 - x1) / (k - n), 2), 0)), 1e-6) FROM (SELECT round, sum(g) AS n, sum(g * x) AS x1, sum(g * x * x) AS x2, count(*) AS k, sum(x) AS t1, sum(x * x) AS t2 FROM (SELECT round, m0, s0, m1, s1, x, 0.5 / s0 * exp(-pow((x - m0) / s0, 2) / 2) / (0.5 / s0 * exp(-pow((x - m0) / s0, 2) / 2) + 0.5 / s1 * exp(-pow((x - m1) / s1, 2) / 2) + 1e-300) AS g FROM s, q WHERE round < 10) GROUP BY round, m0, s0, m1, s1)) SELECT round(m0, 6) AS low, round(s0, 6) AS low_spread, round(m1, 6) AS high, round(s1, 6) AS high_spread FROM s WHERE round = 10",
+    # the sum of clipped weights is linear between the places where a weight begins or ends to be clipped
+    "mass_projection": "WITH q AS (SELECT vec_id, embedding[1]::DOUBLE + 0.5 AS w FROM embeddings), b AS (SELECT w AS t FROM q UNION SELECT w - 1 FROM q), f AS (SELECT t, sum(greatest(0, least(1, w - t))) AS s FROM b, q GROUP BY t), g AS (SELECT t, s, lead(t) OVER (ORDER BY t) AS t2, lead(s) OVER (ORDER BY t) AS s2 FROM f), h AS (SELECT min(t + CASE WHEN s > s2 THEN (s - 40) / (s - s2) * (t2 - t) ELSE 0 END) AS t FROM g WHERE s >= 40 AND s2 < 40) SELECT vec_id, round(greatest(0, least(1, w - h.t)), 6) AS w FROM q, h",
     "checkpoint_choice": "SELECT run, step, loss FROM (SELECT user_id % 20 AS run, event_id AS step, round(value, 0) AS loss, row_number() OVER (PARTITION BY user_id % 20 ORDER BY round(value, 0), event_id) AS r FROM events) WHERE r = 1",
 }
