@@ -75,3 +75,16 @@ def quantiles(df: DataFrame, values: dict[str, Column], levels: list[float]) ->
             found.append(at[low] if low == high or at[low] == at[high] else (high - s) * at[low] + (s - low) * at[high])
         out[name] = found
     return out
+
+
+def numbered_within(df: DataFrame, by: list[str], order: list[str], into: str) -> DataFrame:
+    """df with each row's place from 1 within its class, in ascending `order` (see cumulated). A class is dealt out by ranges too, so one that holds most rows isn't one task; null classes are a class."""
+    rows = df.withColumn("__range", ranged(df, order[0]))
+    sizes = rows.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__m"))  # a row a class and range
+    earlier = F.coalesce(F.sum("__m").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col("__range").alias("__range2"), earlier.alias("__before"))
+    same = F.col("__range") == F.col("__range2")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    placed = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)))
+    return placed.join(before, same).withColumn(into, F.col("__before") + F.col("__place")).select(*df.columns, into)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that hold QUERIES (name -> function of session and folder) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("columns", "features", "models", "neighbourhood", "rules", "samples", "scores", "series", "summaries")
+MODULES: tuple[str, ...] = ("columns", "features", "models", "neighbourhood", "rules", "samples", "scores", "selections", "series", "summaries")
 
 
 def _gather(kind: str) -> dict:
