@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import quantiles
+
 INF = float("inf")
 
 
@@ -107,15 +109,16 @@ class Pipeline:
 
 
 def shape_tags(df: DataFrame, columns: Sequence[str], few: int = 10) -> dict[str, str]:
-    """Per column from one aggregate: ordinal (under `few` values), skewed_pos_1_0, skewed_pos, skewed, or other; skew is 3 (mean - median) / deviation."""
+    """Per column from one aggregate and its median: ordinal (under `few` values), skewed_pos_1_0, skewed_pos, skewed, or other; skew is 3 (mean - median) / deviation."""
     parts = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        parts += [F.count_distinct(c).alias(f"u{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.when(F.stddev_pop(x) > 0, 3 * (F.avg(x) - F.percentile(x, 0.5)) / F.stddev_pop(x)).otherwise(0.0).alias(f"s{i}")]
+        parts += [F.count_distinct(c).alias(f"u{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"d{i}")]
     r = df.agg(*parts).first()
+    medians = quantiles(df, {c: F.col(c) for c in columns}, [0.5])
     out = {}
     for i, c in enumerate(columns):
-        skewed = abs(r[f"s{i}"] or 0.0) > 1.1
+        skewed = bool(r[f"d{i}"]) and abs(3 * (r[f"m{i}"] - medians[c][0]) / r[f"d{i}"]) > 1.1
         low, high = r[f"a{i}"], r[f"b{i}"]
         out[c] = "ordinal" if r[f"u{i}"] < few else "skewed_pos_1_0" if skewed and low is not None and low >= 0 and high <= 1 else "skewed_pos" if skewed and low is not None and low > 0 else "skewed" if skewed else "other"
     return out
