@@ -119,12 +119,14 @@ _CODED = f"LEFT JOIN {_code('o_orderpriority')} p ON o_orderpriority = p.v"
 _P = "(embedding[1]::DOUBLE - {a}) * (embedding[1]::DOUBLE - {a}) + (embedding[2]::DOUBLE - {b}) * (embedding[2]::DOUBLE - {b})"
 _D = [_P.format(a=a, b=b) for a, b in (("0", "0"), ("0.1", "0.1"), ("(-0.1)", "0.2"))]
 _STANDARD = "(SELECT *, (l_quantity - avg(l_quantity) OVER ()) / (stddev_pop(l_quantity) OVER () + 1e-6) AS q, (d - avg(d) OVER ()) / (stddev_pop(d) OVER () + 1e-6) AS z FROM (SELECT l_linenumber, l_quantity, coalesce(CASE WHEN l_orderkey % 5 <> 0 THEN l_discount END, avg(CASE WHEN l_orderkey % 5 <> 0 THEN l_discount END) OVER ()) AS d FROM lineitem))"
+_LEVELS = "(SELECT k, list_transform(range(k), lambda i: s[floor(i * (n - 1) / (k - 1.0))::BIGINT + 1] + (i * (n - 1) / (k - 1.0) - floor(i * (n - 1) / (k - 1.0))) * (s[ceil(i * (n - 1) / (k - 1.0))::BIGINT + 1] - s[floor(i * (n - 1) / (k - 1.0))::BIGINT + 1])) AS v FROM (SELECT list_sort(list(l_quantity)) AS s, count(l_quantity) AS n, greatest(2, least(100, count(*) // 10)) AS k FROM lineitem))"
 ORACLES = {
     "clean_table": "SELECT o_orderkey, s.k AS o_orderstatus, o_totalprice, p.k AS o_orderpriority, c.k AS o_custkey FROM orders "
     + f"LEFT JOIN {_code('o_orderstatus', _NOT_P)} s ON o_orderstatus = s.v {_CODED} LEFT JOIN {_code('o_custkey')} c ON o_custkey = c.v",
     "numeric_encoded": f"SELECT o_orderkey, coalesce(s.k, -1) AS o_orderstatus, round(coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END, (SELECT avg(o_totalprice) FROM orders WHERE o_orderkey % 7 <> 0)), 4) AS o_totalprice, coalesce(p.k, -1) AS o_orderpriority FROM orders LEFT JOIN {_code('o_orderstatus')} s ON o_orderstatus = s.v {_CODED}",
     "reshape_log1p": f"SELECT {_sums(['ln(1 + l_quantity)', 'ln(1 + l_discount)'])} FROM lineitem",
     "reshape_exp_appended": f"SELECT {_sums(['l_quantity / 50', 'l_discount', 'exp(l_quantity / 50)', 'exp(l_discount)'])} FROM lineitem",
+    "reshape_quantile": f"SELECT count(*) AS n, round(sum(u), 3) AS s0, round(sum(u * l_linenumber), 3) AS w0 FROM (SELECT l_linenumber, CASE WHEN x <= v[1] THEN 0.0 WHEN x >= v[k] THEN 1.0 ELSE (j - 2) / (k - 1.0) + (x - v[j - 1]) / ((v[j] - v[j - 1]) * (k - 1)) END AS u FROM (SELECT l_linenumber, l_quantity AS x, v, k, len(list_filter(v, lambda b: b < l_quantity)) + 1 AS j FROM lineitem, {_LEVELS}))",
     "modal_pipeline": f"SELECT {_sums(['abs(q)', 'abs(z)'])} FROM {_STANDARD}",
     "schema_algebra": "SELECT unnest([0, 1, 2, 3])::INT AS place, unnest(['l_discount', 'l_returnflag', 'svd_0', 'l_discount_1']) AS name, unnest(['numerical', 'numerical', 'numerical', 'numerical']) AS modality",
     "rows_without_nulls": 'SELECT count(*) FILTER (event_id % 3 <> 0 AND event_id % 4 <> 0 AND value IS NOT NULL AND user_id IS NOT NULL) AS "any", count(*) FILTER ((event_id % 3 <> 0 AND value IS NOT NULL) OR (event_id % 4 <> 0 AND user_id IS NOT NULL)) AS "all" FROM events',
