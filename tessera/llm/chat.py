@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tasks, written
+from tessera.llm.common import tasks, tidy, written
 from tessera.llm.sstable import tokenizer_path
 from tessera.llm.tokens import encoder
 
@@ -148,7 +148,7 @@ def prefix_trees(conversations: DataFrame, tokenizer: str | None = None) -> tupl
             yield pd.DataFrame({"path": batch["path"], "lengths": lengths, "ids": ids, "turns": batch["turns"]})
 
     distinct = talks.groupBy("path").agg(F.first("turns").alias("turns"))
-    distinct = written(distinct.mapInPandas(formatted, "path string, lengths array<int>, ids array<array<binary>>, turns array<struct<role:string,text:string>>"), "paths")
+    distinct = written(distinct.mapInPandas(tidy(formatted), "path string, lengths array<int>, ids array<array<binary>>, turns array<struct<role:string,text:string>>"), "paths")
 
     # borders of the partitions, from a bounded number of paths
     n = tasks(conversations.sparkSession)
@@ -175,7 +175,7 @@ def prefix_trees(conversations: DataFrame, tokenizer: str | None = None) -> tupl
 
     begin: dict[int, tuple[int, list]] = {}
     carried = Forest()
-    for r in by_part(["path", "lengths"]).mapInPandas(survey, "p int, first array<string>, total long, digests array<string>, starts array<long>, lengths array<long>").orderBy("p").toLocalIterator():
+    for r in by_part(["path", "lengths"]).mapInPandas(tidy(survey), "p int, first array<string>, total long, digests array<string>, starts array<long>, lengths array<long>").orderBy("p").toLocalIterator():
         begin[r.p] = (carried.offset, list(carried.stack))
         known = _shared([s[0] for s in carried.stack], r.first)
         saved = sum(s[2] for s in carried.stack[:known])
@@ -217,7 +217,7 @@ def prefix_trees(conversations: DataFrame, tokenizer: str | None = None) -> tupl
         out = pd.DataFrame(rows, columns=["path", *(x.split()[0] for x in node.split(", ")), "attends", "starts"])
         return out.astype({c: "Int64" for c in ("start", "position", "n_tokens", "loss_from", "loss_to", "text_loss_from", "text_loss_to")})
 
-    out = written(by_part(["path", "lengths", "ids", "turns"]).mapInPandas(emit, f"path string, {node}, attends {span}, starts array<long>"), "forest")
+    out = written(by_part(["path", "lengths", "ids", "turns"]).mapInPandas(tidy(emit), f"path string, {node}, attends {span}, starts array<long>"), "forest")
     return out.where("path is null").drop("path", "starts"), out.where("path is not null").select(F.md5("path").alias("key"), "path", "tree", "starts", "attends"), members
 
 
@@ -249,7 +249,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, tokenizer: str | None = None)
                 loss.append("".join(unescape(coder.text(x[p["loss_from"] : p["loss_to"]])) for x, p in zip(ids, pieces) if p["loss_from"] < p["loss_to"]))
             yield pd.DataFrame({"key": batch["key"], "formatted": formatted, "loss": loss})
 
-    return whole.mapInPandas(joined, "key string, formatted string, loss string")
+    return whole.mapInPandas(tidy(joined), "key string, formatted string, loss string")
 
 
 def op1_chat(spark: SparkSession, conversations: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def op1_chat(spark: SparkSession, conversations: DataFrame) -> DataFrame:
                 "formatted_chars": [len(x) for x in batch["formatted"]],
             })
 
-    found = read_back(nodes, paths).mapInPandas(digests, "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    found = read_back(nodes, paths).mapInPandas(tidy(digests), "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return members.join(found, "key").drop("key")
 
 

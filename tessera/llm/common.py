@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,36 @@ def drop(*tables: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Returns the memory that this worker has freed to the system. Spark keeps idle workers and takes them in turn, so what each holds on to adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(work: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """An Arrow function over batches that gives memory back after the last one."""
+
+    def run(batches: Iterable) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is executed within, as whole texts are long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """The name, lengthened until no column of `taken` has it, upper and lower case being the same."""
     known = {t.lower() for t in taken}

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import drop, fresh, marked, sifted, tasks, written
+from tessera.llm.common import drop, fresh, marked, sifted, tasks, tidy, written
 
 #: Most coordinates of a point.
 COORDINATES = 4096
@@ -252,7 +252,7 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "size", "digest", "node", "keys", "spare"])
 
     rows = _numbered(docs)
-    return rows.mapInArrow(measure, "doc_id long, print long, size long, digest binary, node long, keys array<long>, spare array<int>")
+    return rows.mapInArrow(tidy(measure), "doc_id long, print long, size long, digest binary, node long, keys array<long>, spare array<int>")
 
 
 def _print(text: Column) -> Column:
@@ -354,7 +354,7 @@ def _searched(cells: DataFrame, labels: DataFrame, content: DataFrame, percent:
         return rows.iloc[cuts[-1] :], pd.DataFrame(dict(zip(("node", "other"), out)))
 
     spread = dealt.repartition(tasks(cells.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return spread.mapInPandas(scan, "node long, other long").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
+    return spread.mapInPandas(tidy(scan), "node long, other long").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
 
 
 def _verified(content: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -383,7 +383,7 @@ def _verified(content: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(others, pa.int64())], ["node", "other"])
 
     spread = rows.repartition(tasks(spark), "other", "share").sortWithinPartitions("other", "share", "kind")
-    return written(spread.mapInArrow(compare, "node long, other long"), "links")
+    return written(spread.mapInArrow(tidy(compare), "node long, other long"), "links")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -435,7 +435,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     wanted = classes.select("node", F.col("first.doc_id").alias("id"), F.col("first.print").alias("mark"))
     texts = sifted(_numbered(docs), F.col("print"), wanted, F.col("mark")).groupBy("doc_id", "print").agg(F.first("text").alias("text"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("print") == F.col("mark"))).select("node", "text")
-    content = written(texts.mapInArrow(placed, "node long, point binary, text string"), "content")
+    content = written(texts.mapInArrow(tidy(placed), "node long, point binary, text string"), "content")
 
     labels = written(classes.select("node", F.col("node").alias("label"), "degree", "size"), "labels")
     cells, tested, links = written(cells, "cells"), None, None

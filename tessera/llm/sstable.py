@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import new_path, tasks
+from tessera.llm.common import new_path, small_batches, tasks, tidy
 from tessera.llm.tokens import encoder
 
 MAGIC = b"TSSTAB1\n"
@@ -197,8 +197,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
     number = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(number, F.lit(0)).alias("number"), number.isNull().alias("missing"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(tasks(spark), F.desc("missing"), F.asc("number"), F.substring("text", 1, 64)).sortWithinPartitions(F.desc("missing"), F.asc("number"), F.asc("text"))
-    packed = rows.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value"))
-    packed.write.option("maxRecordsPerFile", 1).option("lineSep", MAGIC.decode()).text(path)
+    packed = rows.mapInPandas(tidy(pack), "value binary").select(F.col("value").cast("string").alias("value"))
+    with small_batches(spark):
+        packed.write.option("maxRecordsPerFile", 1).option("lineSep", MAGIC.decode()).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -220,7 +221,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                         before, pos = before + len(ids), pos + 1
                     yield pd.DataFrame(rows, columns=["doc_id", "shard", "pos", "ids_before", "ids"]).astype({"doc_id": "Int64"})
 
-    return _files(spark, path).mapInPandas(unpack, "doc_id long, shard string, pos long, ids_before long, ids binary")
+    return _files(spark, path).mapInPandas(tidy(unpack), "doc_id long, shard string, pos long, ids_before long, ids binary")
 
 
 def shard_footers(spark: SparkSession, path: str) -> DataFrame:
@@ -231,7 +232,7 @@ def shard_footers(spark: SparkSession, path: str) -> DataFrame:
             found = [(name, Shard(content)) for name, content in zip(batch["path"], batch["content"], strict=True)]
             yield pd.DataFrame([(name, s.first, s.last, s.entries, s.ids) for name, s in found], columns=["shard", "first_key", "last_key", "n_docs", "n_ids"])
 
-    rows = _files(spark, path).mapInPandas(unpack, "shard string, first_key binary, last_key binary, n_docs long, n_ids long")
+    rows = _files(spark, path).mapInPandas(tidy(unpack), "shard string, first_key binary, last_key binary, n_docs long, n_ids long")
     # a row for each shard of shard_bytes, so one window over all of them stays small; shards of one key come in the order of their tasks' files
     order = Window.orderBy("first_key", "last_key", "shard").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
@@ -250,7 +251,7 @@ def token_positions(spark: SparkSession, path: str) -> DataFrame:
                     before += len(ids)
                 yield pd.DataFrame(rows, columns=["doc_id", "shard", "ids_before", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    rows = _files(spark, path).mapInPandas(digests, "doc_id long, shard string, ids_before long, n_tokens long, ids_crc32 long")
+    rows = _files(spark, path).mapInPandas(tidy(digests), "doc_id long, shard string, ids_before long, n_tokens long, ids_crc32 long")
     starts = shard_footers(spark, path).select("shard", "start")
     return rows.join(starts, "shard").select("doc_id", (F.col("start") + F.col("ids_before")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tessera.llm.common import fresh, held_out, labelled
+from tessera.llm.common import fresh, give_back, held_out, labelled, tidy
 
 LENGTHS = (3, 4, 5, 6)
 BITS = 18
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", *, most: tu
         yield pd.DataFrame({"y": [0, 1], "n": rows, "counts": [c.astype("<i4").tobytes() for c in found]})
 
     counts, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for r in sample.mapInPandas(count, "y int, n long, counts binary").collect():  # eight tasks, a megabyte a class
+    for r in sample.mapInPandas(tidy(count), "y int, n long, counts binary").collect():  # eight tasks, a megabyte a class
         counts[r.y] += np.frombuffer(r.counts, dtype="<i4")
         n[r.y] += r.n
     if not n.all():
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", *, most: tu
             cut = np.searchsorted(pairs // len(kept), np.arange(1, len(batch)))
             yield pd.DataFrame({"y": batch["y"], "slots": [p.astype("<u2").tobytes() for p in np.split(pairs % len(kept), cut)]})
 
-    rows = sample.mapInPandas(present, "y int, slots binary").collect()  # sum(most) rows of kept n-grams
+    rows = sample.mapInPandas(tidy(present), "y int, slots binary").collect()  # sum(most) rows of kept n-grams
     lists = [np.frombuffer(r.slots, dtype="<u2").astype(np.int64) for r in rows]
     columns = np.concatenate(lists)
     weights, bias = logistic(np.repeat(np.arange(len(rows)), [len(x) for x in lists]), columns, ratio[kept][columns], np.array([r.y for r in rows], dtype=float), len(kept), penalty, steps)
@@ -172,6 +172,7 @@ def score_sql(model: Model, docs: DataFrame, column: str = "text") -> Column:
         own = Model(*shared.value)
         for part in parts:
             yield pd.Series(own.score(part))
+        give_back()
 
     return score(F.col(column))
 
