@@ -7,7 +7,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from tessera.llm import sstable, tokens
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, small_batches, tidy
 from tessera.llm.tokens import Encoder
 
 TEXTS = ["", "a", "It's  they'll\n\n x \t", "  two", "Ééa ß ñandú — “quoted” … 12 345", "\x1c\x1d odd\x85", "日本語 text", "<|endoftext|> in a text", "tabs\t\tand\r\nlines", "word " * 500, "nul\x00", "é̀ combining", "😀 x"]
@@ -88,3 +88,12 @@ def test_classes_of_plain_characters():
     for _ in range(3000):
         text = "".join(r.choice(" \t\n\r''aZé×÷²½19.…—!sdtmlvre_ªǀɏ¡") for _ in range(r.randrange(1, 14)))
         assert coder.ids(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_batches_are_small_only_within(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark, 7):
+        rows = spark.range(0, 100, 1, 1).mapInPandas(tidy(lambda batches: (b.head(1).assign(id=len(b)) for b in batches)), "id long").collect()
+    assert max(r.id for r in rows) <= 7 and sum(r.id for r in rows) == 100
+    assert spark.conf.get(name) == before
