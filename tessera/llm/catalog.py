@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import attribution, chat, decontamination, jaccard, mixing, quality, quantisation, sstable, toxicity, warc
+from tessera.llm import attribution, chat, decontamination, divergence, jaccard, merkle, mixing, quality, quantisation, sstable, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.op10_sstable(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.op11_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op12_merkle(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
@@ -64,9 +72,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_sstable": op10_sstable,
+    "op11_divergence": op11_divergence,
+    "op12_merkle": op12_merkle,
 }
 ORACLES: dict[str, str] = {
     "op1_chat": chat.ORACLE,
     "op5_jaccard": jaccard.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
