@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import attribution, chat, decontamination, divergence, jaccard, merkle, mixing, quality, quantisation, sstable, toxicity, warc
+from tessera.llm import attribution, chat, decontamination, divergence, interpolation, jaccard, merkle, mixing, quality, quantisation, sstable, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op12_merkle(_table(spark, sf_dir, "documents"))
 
 
+def op13_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.op13_interpolation(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sstable": op10_sstable,
     "op11_divergence": op11_divergence,
     "op12_merkle": op12_merkle,
+    "op13_interpolation": op13_interpolation,
 }
 ORACLES: dict[str, str] = {
     "op1_chat": chat.ORACLE,
