@@ -79,7 +79,8 @@ class Shares:
         counts = written(term_counts(docs), "counts")
         totals = counts.groupBy("lang", "term").agg(F.sum("count").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least)
         kept = written(totals.select("lang", "term", "total"), "kept")
-        langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("all"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+        # a row a language, written so that Spark knows its size and broadcasts it while it is small
+        langs = written(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("all"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "langs")
         kept = kept.join(langs, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
         # a chunk has about CHUNK terms, so the window is bounded
         kept = kept.withColumn("slot", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")))
@@ -101,7 +102,7 @@ def typical(s: Shares, most: int) -> DataFrame:
 
 def distances(s: Shares) -> DataFrame:
     """lang, source, item, value: for each two groups of a language, in both directions, the sum of the differences of their shares over all kept terms."""
-    sizes = s.groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = written(s.groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
     groups = s.groups.join(sizes, "lang").withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")).select("lang", "source", "block", "blocks", "base")
     spans = s.kept.groupBy("lang", F.floor(F.col("chunk") / SPAN).cast("int").alias("span")).agg(F.count(F.lit(1)).cast("int").alias("width"))
     heads = groups.join(spans, "lang", "left").select("lang", F.coalesce("span", F.lit(0)).alias("span"), "source", "block", "blocks", F.lit(-1).alias("chunk"), F.col("base").alias("base"), F.coalesce("width", F.lit(0)).alias("width"), F.array().cast("array<int>").alias("slots"), F.array().cast("array<int>").alias("shares"))
