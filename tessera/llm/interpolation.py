@@ -32,7 +32,7 @@ from tessera.llm.common import give_back, tasks, tidy, written
 from tessera.llm.jaccard import _words, lowered, mixed
 
 #: Bytes of text in a chunk, and keys asked for in a range, about.
-CHUNK, RANGE = 4 << 20, 4 << 20
+CHUNK, RANGE = 4 << 20, 2 << 20
 #: Kinds of documents: scored only, holding out events, counted.
 TEST, HELD, COUNTED = 0, 1, 2
 #: Likelihoods of held-out events are gathered on a grid of so many steps an octave before weights are learned on them.
