@@ -150,9 +150,13 @@ def transaction_cost(wrong: float = 5.0, missed: float = 60.0) -> Column:
 
 
 def sweep(df: DataFrame, probability: str, label: str, thresholds: list[float]) -> DataFrame:
-    """Confusion counts and metrics at each threshold: one pass over the rows, a counter for each threshold and cell."""
-    rows = df.select(F.col(label).alias("y"), F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), (F.col(probability) >= t).cast("int").alias("p")) for t in thresholds))).alias("x"))
-    return from_counts(rows.select("y", "x.*").groupBy("threshold").agg(*confusion("p", "y")))
+    """Confusion counts and metrics at each threshold. Rows are counted once by label and place among the sorted thresholds; those few counts are added up to each threshold."""
+    levels = sorted(set(map(float, thresholds)))
+    place = F.size(F.filter(F.array(*map(F.lit, levels)), lambda t: t <= F.col(probability)))
+    counts = df.where(F.col(probability).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label).alias("y"), place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    own = counts.select("y", "place", "n", F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.lit(i).alias("at")) for i, t in enumerate(levels)))).alias("x")).select("y", "n", "x.threshold", (F.col("place") > F.col("x.at")).alias("p"))
+    cell = lambda y, p: F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("p") == p), F.col("n"))), F.lit(0))
+    return from_counts(own.groupBy("threshold").agg(cell(0, False).alias("tn"), cell(0, True).alias("fp"), cell(1, False).alias("fn"), cell(1, True).alias("tp")))
 
 
 def plateau(best: list[tuple[float, float]], within: float = 0.002) -> float:

@@ -1,32 +1,73 @@
 """Places, running sums and quantiles over a whole table, dealt out by ranges of a number.
 
 Borders of the ranges are approximate quantiles, so a few numbers; a row's range is an
-expression of its value. What lies before a range is a sum a range, what lies before a row
+expression of its values. A value that holds several ranges is parted by the next column of
+the order, so ties, flags and constants are dealt out too. What lies before a range is a sum a range, what lies before a row
 within its range a window over the range. No task has more than a range, and equal values
 are best counted together first.
 """
 
 from __future__ import annotations
 
+import re
+import sys
+from collections import Counter
+from itertools import takewhile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Most ranges; each row is compared with the borders.
 RANGES = 256
+INF, LARGEST = float("inf"), sys.float_info.max
+NUMBER = re.compile("(tiny|small|big)?int$|float$|double$|decimal|boolean$")
+
+
+def _place(column: str) -> Column:
+    """A number in the column's order; nulls come before all others."""
+    x = F.col(column).cast("double")
+    return F.when(x.isNull(), -INF).when(x == -INF, F.lit(-LARGEST)).otherwise(x)
+
 
+def ranged(df: DataFrame, order: list[str]) -> Column:
+    """The number of a row's range, ascending with the order, whose first column is a number.
 
-def ranged(df: DataFrame, column: str) -> Column:
-    """The number of a row's range, ascending with the column, which is a number; nulls are in the first."""
+    Borders are quantiles of the first column. One that comes several times is a value of many rows: they are
+    parted by as many quantiles of the next column, as long as that is a number.
+    """
     n = max(2, min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / n for i in range(1, n)], 10_000).alias("q")).first().q
-    borders = sorted(set(found or []))
-    return F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col(column).cast("double"))) if borders else F.lit(0)
+    kinds = dict(df.dtypes)
+    numeric = list(takewhile(lambda c: NUMBER.match(kinds[c]), order))
+    borders: list[tuple[float, ...]] = []
+    open_: list[tuple[tuple[float, ...], int]] = [((), n)]  # values of many rows, and the ranges for each
+    for depth, column in enumerate(numeric):
+        asked = []
+        for i, (prefix, m) in enumerate(open_):
+            same = F.lit(True)
+            for c, v in zip(numeric, prefix):
+                same = same & (_place(c) == F.lit(v))
+            asked.append(F.percentile_approx(F.when(same, _place(column)), [k / m for k in range(1, m)], 10_000).alias(f"q{i}"))
+        found = df.agg(*asked).first()
+        further = []
+        for i, (prefix, _) in enumerate(open_):
+            often = Counter(found[f"q{i}"] or [])
+            borders += [(*prefix, v) for v in often]
+            further += [((*prefix, v), k + 1) for v, k in often.items() if k > 1]
+        if not further:
+            break
+        open_ = further
+    if not borders:
+        return F.lit(0)
+    width = max(map(len, borders))
+    tuples = sorted((*b, *[-INF] * (width - len(b))) for b in borders)
+    own = F.struct(*(_place(c).alias(f"c{i}") for i, c in enumerate(numeric[:width])))
+    return F.size(F.filter(F.array(*(F.struct(*(F.lit(v).alias(f"c{i}") for i, v in enumerate(t))) for t in tuples)), lambda b: b <= own))
 
 
 def cumulated(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
     """df with before_<s> for each of `sums`: its sum over all rows earlier in ascending `order`, whose first column is a number and whose columns make rows distinct."""
-    rows = df.withColumn("__range", ranged(df, order[0]))
+    rows = df.withColumn("__range", ranged(df, order))
     totals = {r["__range"]: r for r in rows.groupBy("__range").agg(*(F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in sums)).collect()}  # a row a range
     one = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = rows
@@ -77,9 +118,28 @@ def quantiles(df: DataFrame, values: dict[str, Column], levels: list[float]) ->
     return out
 
 
+def even_quantiles(df: DataFrame, value: Column, k: int) -> list[float]:
+    """k exact quantiles of a number at equal distances from the least to the largest, linear between neighbours; none without values. Each distinct value gives the places it covers, so k may be thousands; 2 k rows are collected."""
+    counts = df.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    n = counts.agg(F.sum("n")).first()[0]
+    if not n:
+        return []
+    if n == 1 or k == 1:
+        return [counts.agg(F.min("v")).first()[0]] * k
+    at, last = F.col("at"), n - 1
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("before_n") - 1) * (k - 1) / F.lit(last)) - 1), F.least(F.lit(k - 1), F.ceil((F.col("before_n") + F.col("n")) * (k - 1) / F.lit(last)) + 1))
+    asked = cumulated(counts, ["v"], ["n"]).withColumn("at", F.explode(near.cast("array<bigint>")))
+    place = F.expr(f"at * {last}L div {k - 1}L")
+    asked = asked.withColumns({"low": place, "high": place + F.when(at * last % (k - 1) > 0, 1).otherwise(0)})
+    covers = lambda c: (F.col(c) >= F.col("before_n")) & (F.col(c) < F.col("before_n") + F.col("n"))
+    found = asked.groupBy("at").agg(F.max(F.when(covers("low"), F.col("v"))).alias("low"), F.max(F.when(covers("high"), F.col("v"))).alias("high"))
+    rows = {r["at"]: r for r in found.collect()}
+    return [rows[i].low if rows[i].low == rows[i].high else rows[i].low + (rows[i].high - rows[i].low) * (i * last % (k - 1)) / (k - 1) for i in range(k)]
+
+
 def numbered_within(df: DataFrame, by: list[str], order: list[str], into: str) -> DataFrame:
     """df with each row's place from 1 within its class, in ascending `order` (see cumulated). A class is dealt out by ranges too, so one that holds most rows isn't one task; null classes are a class."""
-    rows = df.withColumn("__range", ranged(df, order[0]))
+    rows = df.withColumn("__range", ranged(df, order))
     sizes = rows.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__m"))  # a row a class and range
     earlier = F.coalesce(F.sum("__m").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = sizes.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col("__range").alias("__range2"), earlier.alias("__before"))

@@ -7,10 +7,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.keys import key, uniform
-from tessera.operators.ranks import numbered
+from tessera.operators.ranks import numbered, numbered_within
+
+#: Classes at most where their quotas are literals.
+MOST_CLASSES = 10_000
 
 
 def k_from_percent(n: int, percent: float) -> int:
@@ -28,9 +30,15 @@ def bernoulli(df: DataFrame, rate: float, id_column: str, seed: int = 0, stream:
 
 
 def ranked(df: DataFrame, by: str | list[str], id_column: str, seed: int = 0, stream: str = "split") -> DataFrame:
-    """df with rank (from 1) and n of its class, classes in key order."""
-    one = Window.partitionBy(*([by] if isinstance(by, str) else by))
-    return df.withColumn("__key", key(seed, stream, id_column)).withColumn("rank", F.row_number().over(one.orderBy("__key", id_column))).withColumn("n", F.count(F.lit(1)).over(one)).drop("__key")
+    """df with rank (from 1) and n of its class, classes in key order. Places come from ranges, so a class that holds most rows is dealt out."""
+    classes = [by] if isinstance(by, str) else list(by)
+    keyed = df.withColumns({"__u": uniform(seed, stream, id_column), "__key": key(seed, stream, id_column)})
+    placed = numbered_within(keyed, classes, ["__u", "__key", id_column], "rank").select(*df.columns, "rank")
+    sizes = df.groupBy(*classes).agg(F.count(F.lit(1)).alias("n")).select(*(F.col(c).alias(f"__class{i}") for i, c in enumerate(classes)), "n")
+    same = F.lit(True)
+    for i, c in enumerate(classes):
+        same = same & F.col(c).eqNullSafe(F.col(f"__class{i}"))
+    return placed.join(sizes, same).select(*df.columns, "rank", "n")
 
 
 def stratified(df: DataFrame, by: str, share: float, id_column: str, seed: int = 0) -> DataFrame:
@@ -43,7 +51,7 @@ def largest_remainder(counts: dict, total: int) -> dict:
     n = sum(counts.values())
     exact = {c: total * v / n for c, v in counts.items()} if n else dict.fromkeys(counts, 0.0)
     quota = {c: math.floor(x) for c, x in exact.items()}
-    rest = sorted(counts, key=lambda c: (-(exact[c] - quota[c]), c))
+    rest = sorted(counts, key=lambda c: (-(exact[c] - quota[c]), c is None, c))
     for c in rest[: min(total, n) - sum(quota.values())]:
         quota[c] += 1
     return quota
@@ -53,21 +61,24 @@ def capped_quotas(counts: dict, total: int) -> dict:
     """Equal quotas that no class exceeds its count by; what a class can't take goes to the class with most room."""
     quota = {c: min(total // max(1, len(counts)), v) for c, v in counts.items()}
     while sum(quota.values()) < min(total, sum(counts.values())):
-        c = max(sorted(counts), key=lambda c: counts[c] - quota[c])
+        c = max(sorted(counts, key=lambda c: (c is None, c)), key=lambda c: counts[c] - quota[c])
         quota[c] += 1
     return quota
 
 
 def quota_sql(quota: dict, by: str) -> Column:
-    out = F.lit(0)
-    for c, q in quota.items():
-        out = F.when(F.col(by) == F.lit(c), F.lit(q)).otherwise(out)
-    return out
+    """The quota of a row's class, 0 for others; a null class has its own."""
+    known = {c: q for c, q in quota.items() if c is not None}
+    found = F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), F.col(by)) if known else F.lit(None)
+    return F.when(F.col(by).isNull(), F.lit(quota.get(None, 0))).otherwise(F.coalesce(found, F.lit(0)))
 
 
 def class_counts(df: DataFrame, by: str) -> dict:
-    """Rows of each class; classes are few."""
-    return {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+    """Rows of each class, null among them; classes are MOST_CLASSES at most."""
+    found = df.groupBy(by).count().limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"{by} has more than {MOST_CLASSES} classes")
+    return {r[0]: r[1] for r in found}
 
 
 def take_quota(df: DataFrame, by: str, quota: dict, id_column: str, seed: int = 0) -> DataFrame:
@@ -86,7 +97,8 @@ def per_class(df: DataFrame, by: str, c: int, id_column: str, seed: int = 0) ->
 
 def folds(df: DataFrame, by: str, k: int, id_column: str, seed: int = 0) -> DataFrame:
     """df with fold (0 to k - 1), dealt round within each class; rows of classes smaller than k are dealt as one class."""
-    found = df.withColumn("__class", F.when(F.count(F.lit(1)).over(Window.partitionBy(by)) >= k, F.col(by).cast("string")))
+    small = df.groupBy(by).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") < k).select(F.col(by).alias("__small"), F.lit(True).alias("__few"))
+    found = df.join(small, F.col(by).eqNullSafe(F.col("__small")), "left").withColumn("__class", F.when(F.col("__few").isNull(), F.col(by).cast("string"))).select(*df.columns, "__class")
     return ranked(found, "__class", id_column, seed, "fold").withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("__class", "rank", "n")
 
 

@@ -18,9 +18,12 @@ def shuffled_within(df: DataFrame, by: str, id_column: str, seed: int = 0, strea
     return numbered_within(keyed, [by], ["__u", "__key", id_column], into).drop("__u", "__key")
 
 
-def _quota(quota: dict, by: str) -> Column:
-    """The quota of a row's class; a null class has its own."""
-    return F.when(F.col(by).isNull(), F.lit(quota.get(None, 0))).otherwise(quota_sql({c: q for c, q in quota.items() if c is not None}, by))
+def _falling(column: str) -> Column:
+    """A number that ascends as the column falls, null and NaN last."""
+    return F.coalesce(-F.col(column).cast("double"), F.lit(float("nan")))
+
+
+_quota = quota_sql
 
 
 def take_share(df: DataFrame, by: str, n: int, id_column: str, seed: int = 0, balanced: bool = False) -> DataFrame:
@@ -40,10 +43,10 @@ def top_k_mask(df: DataFrame, score: str, k: int, id_column: str) -> DataFrame:
 
 
 def one_shot(df: DataFrame, confidence: str, predicted: str, rule: str, x: float, id_column: str) -> DataFrame:
-    """df with kept: confidence above x (thr), the most confident share x of all rows (top) or of each predicted class (cls), ties by identifier."""
+    """df with kept: confidence above x (thr), the most confident share x of all rows (top) or of each predicted class (cls), ties by identifier. Null confidences come last."""
     if rule == "thr":
-        return df.withColumn("kept", F.col(confidence) > x)
-    falling = df.withColumn("__down", -F.col(confidence))
+        return df.withColumn("kept", F.coalesce(F.col(confidence) > x, F.lit(False)))
+    falling = df.withColumn("__down", _falling(confidence))
     if rule == "top":
         size = round(x * df.count())
         return numbered(falling, ["__down", id_column], "__place").withColumn("kept", F.col("__place") <= size).drop("__place", "__down")
@@ -55,8 +58,8 @@ def one_shot(df: DataFrame, confidence: str, predicted: str, rule: str, x: float
 
 
 def keep_by_weight(df: DataFrame, weight: str, by: str, keep: int, strategy: str, id_column: str) -> DataFrame:
-    """Exactly `keep` rows (all if fewer) of the largest weight, ties by identifier: of all rows (global), or of each class in proportion to its rows or equally (proportional, balanced), what classes lack going to the largest weights of the rest."""
-    falling = df.withColumn("__down", -F.col(weight))
+    """Exactly `keep` rows (all if fewer) of the largest weight, ties by identifier: of all rows (global), or of each class in proportion to its rows or equally (proportional, balanced), what classes lack going to the largest weights of the rest. Null weights come last."""
+    falling = df.withColumn("__down", _falling(weight))
     if strategy == "global":
         return numbered(falling, ["__down", id_column], "__place").where(F.col("__place") <= keep).drop("__place", "__down")
     if strategy not in ("proportional", "balanced"):
@@ -75,7 +78,7 @@ def reserved_quotas(counts: dict, total: int) -> dict:
     rest, n = total - len(counts), sum(counts.values())
     exact = {c: v / n * rest for c, v in counts.items()}
     quota = {c: math.floor(x) + 1 for c, x in exact.items()}
-    for c in sorted(counts, key=lambda c: (-(exact[c] - math.floor(exact[c])), c))[: total - sum(quota.values())]:
+    for c in sorted(counts, key=lambda c: (-(exact[c] - math.floor(exact[c])), c is None, c))[: total - sum(quota.values())]:
         quota[c] += 1
     return quota
 
@@ -92,10 +95,10 @@ def round_robin(df: DataFrame, by: str, estimators: int, total: int, id_column:
 
 
 def local_draw(df: DataFrame, by: str, vector: str, anchor: list[float], total: int, id_column: str) -> DataFrame:
-    """Of each class its rows nearest to the anchor, as many as its share of total by largest remainders; ties by identifier. Standardise the vectors first."""
+    """Of each class its rows nearest to the anchor, as many as its share of total by largest remainders; ties by identifier, rows without a distance last. Standardise the vectors first."""
     d = F.aggregate(F.zip_with(vector, F.array(*map(F.lit, anchor)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     quota = largest_remainder(class_counts(df, by), total)
-    return numbered_within(df.withColumn("__d", d), [by], ["__d", id_column], "__place").where(F.col("__place") <= _quota(quota, by)).select(*df.columns)
+    return numbered_within(df.withColumn("__d", F.coalesce(d, F.lit(float("nan")))), [by], ["__d", id_column], "__place").where(F.col("__place") <= _quota(quota, by)).select(*df.columns)
 
 
 def imbalanced_draw(df: DataFrame, by: str, total: int, minor: object, minor_n: int, id_column: str, seed: int = 0) -> DataFrame:

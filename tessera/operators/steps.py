@@ -14,9 +14,12 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from tessera.operators import transforms as t
-from tessera.operators.ranks import numbered, quantiles
+from tessera.operators.ranks import even_quantiles, numbered, quantiles
 from tessera.operators.schema import shape_tags, unique_names
 
+#: Fixed value: the most quantiles that a preset fits, whatever the table's size.
+MOST_LEVELS = 20_000
+
 NUMERICAL, CATEGORICAL, TEXT, DATE, CONSTANT = "numerical", "categorical", "text", "date", "constant"
 
 
@@ -59,23 +62,38 @@ def on_columns(df: DataFrame, columns: Sequence[str], step: Callable[[DataFrame]
     return out.select(*(c for c in df.columns if c in out.columns), *(c for c in out.columns if c not in df.columns))
 
 
+def _number(c: str, kind: str) -> Column:
+    """A column as a number: days and moments in seconds, texts as they are."""
+    if kind == "date":
+        return F.unix_date(c).cast("double") * 86_400
+    if kind == "timestamp_ntz":
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double") / 1e6
+    return F.col(c) if kind == "string" else F.col(c).cast("double")
+
+
+def _parsed(value: Column, modality: str) -> Column:
+    number = value.try_cast("double")
+    return F.coalesce(number, value.try_cast("timestamp").cast("double")) if modality == DATE else number
+
+
 def clean(df: DataFrame, schema: Schema, missing: Sequence[str] = ()) -> DataFrame:
-    """The schema's columns as doubles: categories and texts as 0, 1, ... in sorted order, texts in `missing` and what doesn't parse as null. Infinities stay. Other columns are kept.
+    """The schema's columns as doubles: categories and texts as 0, 1, ... in sorted order, texts in `missing` and what doesn't parse as null, dates and timestamps as seconds since 1970, booleans as 0 and 1. Infinities stay. Other columns are kept.
 
     Dictionaries are tables, so columns of many categories are no literals.
     """
     out, kinds = df, dict(df.dtypes)
     for c, modality in schema.features:
-        value = F.when(~F.col(c).isin(*missing), F.col(c)) if missing and kinds[c] == "string" else F.col(c)
+        value = F.when(~F.col(c).isin(*missing), F.col(c)) if missing and kinds[c] == "string" else _number(c, kinds[c])
         if modality in (CATEGORICAL, TEXT):
-            distinct = df.select(value.alias("__value")).where("__value is not null").distinct()
+            own, code = unique_names([*df.columns, "__value", "__code"])[-2:]
+            distinct = df.select(value.alias(own)).where(F.col(own).isNotNull()).distinct()
             if kinds[c] == "string":
-                coded = t.ordinal_join(distinct, "__value", "__code")
+                coded = t.ordinal_join(distinct, own, code)
             else:
-                coded = numbered(distinct, ["__value"], "__code").withColumn("__code", F.col("__code") - 1)
-            out = out.join(coded.select("__value", "__code"), value == F.col("__value"), "left").withColumn(c, F.col("__code").cast("double")).drop("__value", "__code")
+                coded = numbered(distinct, [own], code).withColumn(code, F.col(code) - 1)
+            out = out.join(coded.select(own, code), value == F.col(own), "left").withColumn(c, F.col(code).cast("double")).drop(own, code)
         else:
-            number = F.col(c).cast("double") if kinds[c] != "string" else value.try_cast("double")
+            number = _number(c, kinds[c]) if kinds[c] != "string" else _parsed(value, modality)
             out = out.withColumn(c, F.when(~F.isnan(number), number))
     return out.select(*df.columns)
 
@@ -100,9 +118,19 @@ def _each(columns: Sequence[str], f: Callable[[Column], Column]) -> t.Fitted:
     return t.Fitted(tuple(columns), lambda c: f(F.col(c)), {})
 
 
+def _finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns with infinities as nulls."""
+    return df.select(*(F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).alias(c) for c in columns))
+
+
+def _sparing(f: t.Fitted) -> t.Fitted:
+    """f for finite values; infinite ones stay."""
+    return t.Fitted(f.columns, lambda c: F.when(F.abs(F.col(c)) == float("inf"), F.col(c).cast("double")).otherwise(f.apply(c)), f.state)
+
+
 def _power(df: DataFrame, columns: list[str]) -> t.Fitted:
-    powers = {c: t.yeo_johnson_fit(df, c) for c in columns}
-    return standardised(t.Fitted(tuple(columns), lambda c: t.yeo_johnson(F.col(c), powers[c]), powers), df)
+    powers = {c: t.yeo_johnson_fit(_finite(df, [c]), c) for c in columns}
+    return _sparing(standardised(t.Fitted(tuple(columns), lambda c: t.yeo_johnson(F.col(c), powers[c]), powers), _finite(df, columns)))
 
 
 def box_cox_fit(df: DataFrame, column: str, powers: list[float] | None = None) -> float:
@@ -115,13 +143,14 @@ def box_cox_fit(df: DataFrame, column: str, powers: list[float] | None = None) -
 
 
 def _box(df: DataFrame, columns: list[str]) -> t.Fitted:
-    """Box-Cox of the values scaled into 1 to 2, which makes every column positive."""
+    """Box-Cox of the values scaled into 0.1 to 1, which makes every column positive; later values are drawn into that range."""
+    df = _finite(df, columns)
     s = t._moments(df, columns)
     low = {c: s[c]["low"] if s[c]["low"] is not None else 0.0 for c in columns}
     width = {c: (s[c]["high"] - s[c]["low"] if s[c]["high"] is not None else 0.0) or 1.0 for c in columns}
-    moved = lambda c: 1 + (F.col(c) - F.lit(low[c])) / F.lit(width[c])
+    moved = lambda c: t.clipped(0.1 + 0.9 * (F.col(c) - F.lit(low[c])) / F.lit(width[c]), 0.1, 1.0)
     powers = {c: box_cox_fit(df.select(moved(c).alias(c)), c) for c in columns}
-    return standardised(t.Fitted(tuple(columns), lambda c: t.box_cox(t.clipped(moved(c), 1e-6, float("inf")), powers[c]), powers), df)
+    return _sparing(standardised(t.Fitted(tuple(columns), lambda c: t.box_cox(moved(c), powers[c]), powers), df))
 
 
 def _interpolated(xs: np.ndarray, ys: np.ndarray) -> Callable[[Column], Column]:
@@ -137,8 +166,9 @@ def _interpolated(xs: np.ndarray, ys: np.ndarray) -> Callable[[Column], Column]:
 def kernel_integral(df: DataFrame, columns: list[str], alpha: float = 1.0, normal: bool = False, points: int = 201) -> t.Fitted:
     """The integral of a Gaussian density estimate with bandwidth alpha times the deviation, from 0 at the least to 1 at the largest value; normal: its normal quantile.
 
-    The density is fitted to `points` quantiles of each column, so it is small at any size; nulls stay.
+    The density is fitted to `points` quantiles of each column's finite values, so it is small at any size; nulls and infinities stay.
     """
+    df = _finite(df, columns)
     levels = quantiles(df, {c: F.col(c) for c in columns}, [i / (points - 1) for i in range(points)])
     erf = np.vectorize(math.erf)
     curves = {}
@@ -149,15 +179,15 @@ def kernel_integral(df: DataFrame, columns: list[str], alpha: float = 1.0, norma
         p = (0.5 * (1 + erf((grid[:, None] - v[None, :]) / (width * math.sqrt(2))))).mean(1)
         curves[c] = _interpolated(grid, (p - p[0]) / (p[-1] - p[0]) if p[-1] > p[0] else np.full(len(p), 0.5))
     out = lambda c: t.normal_quantile(curves[c](F.col(c))) if normal else curves[c](F.col(c))
-    return t.Fitted(tuple(columns), out, levels)
+    return _sparing(t.Fitted(tuple(columns), out, levels))
 
 
-def adaptive(df: DataFrame, columns: list[str], most: int = 100) -> t.Fitted:
-    """By a column's shape: exp for skewed ones within 0 to 1, Box-Cox for positive ones, Yeo-Johnson for others, nothing for ordinals, normal quantiles for the rest."""
+def adaptive(df: DataFrame, columns: list[str], most: int = MOST_LEVELS) -> t.Fitted:
+    """By a column's shape: exp for skewed ones within 0 to 1, Box-Cox for positive ones, Yeo-Johnson for others, nothing for ordinal and normal ones, normal quantiles for the rest."""
     tags = shape_tags(df, columns)
     group = lambda tag: [c for c in columns if tags[c] == tag]
     fitted: dict[str, t.Fitted] = {}
-    for tag, fit in (("skewed_pos_1_0", lambda c: _each(c, F.exp)), ("skewed_pos", lambda c: _box(df, c)), ("skewed", lambda c: _power(df, c)), ("ordinal", lambda c: _each(c, lambda x: x)), ("other", lambda c: t.quantile_normal(df, c, _levels(df, 10, most)))):
+    for tag, fit in (("skewed_pos_1_0", lambda c: _each(c, F.exp)), ("skewed_pos", lambda c: _box(df, c)), ("skewed", lambda c: _power(df, c)), ("ordinal", lambda c: _each(c, lambda x: x)), ("normal", lambda c: _each(c, lambda x: x)), ("other", lambda c: empirical(df, c, _levels(df, 10, most), normal=True))):
         if group(tag):
             f = fit(group(tag))
             fitted |= dict.fromkeys(group(tag), f)
@@ -165,13 +195,38 @@ def adaptive(df: DataFrame, columns: list[str], most: int = 100) -> t.Fitted:
 
 
 def _levels(df: DataFrame, per: int, most: int) -> int:
-    return max(2, min(most, df.count() // per))
+    """One quantile for so many rows, 2 at least."""
+    n = df.count()
+    return max(1, min(max(n // per, 2 if per > 1 else 1), n, most))
+
+
+def empirical(df: DataFrame, columns: list[str], n: int, normal: bool = False, beyond: float | None = None) -> t.Fitted:
+    """The share of values below, linear between n quantiles, where several agree the middle of theirs; 0 and 1 at and beyond the ends, or with `beyond` on along the whole range, to -beyond and 1 + beyond. normal: its normal quantile. Nulls stay; infinities are beyond the ends."""
+    levels = {c: np.maximum.accumulate(np.array(even_quantiles(_finite(df, [c]), F.col(c), n) or [0.0])) for c in columns}
+
+    def curve(q: np.ndarray) -> Callable[[Column], Column]:
+        refs = np.linspace(0, 1, len(q)) if len(q) > 1 else np.zeros(1)
+
+        @pandas_udf(DoubleType())
+        def at(v: pd.Series) -> pd.Series:
+            x = v.to_numpy(dtype=float, na_value=np.nan)
+            u = (np.interp(x, q, refs) - np.interp(-x, -q[::-1], -refs[::-1])) / 2
+            u = np.where(x >= q[-1], 1.0 if q[-1] > q[0] else 0.0, np.where(x <= q[0], 0.0, u))
+            if beyond is not None and q[-1] > q[0]:
+                share = (x - q[0]) / (q[-1] - q[0])
+                u = np.where(x < q[0], np.maximum(share, -beyond), np.where(x > q[-1], np.minimum(share, 1 + beyond), u))
+            return pd.Series(np.where(np.isnan(x), np.nan, u), index=v.index).where(v.notna())
+
+        return at
+
+    curves = {c: curve(q) for c, q in levels.items()}
+    out = lambda c: t.normal_quantile(curves[c](F.col(c).cast("double"))) if normal else curves[c](F.col(c).cast("double"))
+    return t.Fitted(tuple(columns), out, {c: q.tolist() for c, q in levels.items()})
 
 
 def _quantile(per: int, normal: bool, beyond: float | None = None) -> Callable:
-    def fit(df: DataFrame, columns: list[str], most: int = 100) -> t.Fitted:
-        n = _levels(df, per, most)
-        return t.quantile_normal(df, columns, n) if normal else t.quantile_uniform(df, columns, n, beyond)
+    def fit(df: DataFrame, columns: list[str], most: int = MOST_LEVELS) -> t.Fitted:
+        return empirical(df, columns, _levels(df, per, most), normal, beyond)
 
     return fit
 
@@ -195,7 +250,7 @@ PRESETS: dict[str, Callable[[DataFrame, list[str]], t.Fitted]] = {
     "quantile_norm": _quantile(5, True),
     "quantile_uni_fine": _quantile(1, False),
     "quantile_norm_fine": _quantile(1, True),
-    "quantile_uni_extrapolate": _quantile(5, False, 0.5),
+    "quantile_uni_extrapolate": _quantile(5, False, 1.0),
     "squashing_scaler_default": lambda df, c: t.squash(df, c),
     "squashing_scaler_max10": lambda df, c: t.squash(df, c, bound=10.0),
     "robust": t.robust,
@@ -221,7 +276,10 @@ def reshaped(df: DataFrame, schema: Schema, preset: str, append: bool = False, c
     for f, further, suffix in fitted:
         if further:
             before = len(out.features)
-            out = out.append(NUMERICAL, [f"{c}_{suffix}" for c in columns])
+            # unique against the table's columns outside the schema too
+            further_ = [c for c in [*df.columns, *new] if c not in out.names]
+            fresh = unique_names([*out.names, *further_, *(f"{c}_{suffix}" for c in columns)])[before + len(further_) :]
+            out = Schema((*out.features, *((c, NUMERICAL) for c in fresh)))
             names = out.names[before:]
         else:
             names = columns

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that hold QUERIES (name -> function of session and folder) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("assessments", "columns", "features", "models", "neighbourhood", "rules", "samples", "scores", "selections", "series", "steps", "summaries", "tails")
+MODULES: tuple[str, ...] = ("assessments", "columns", "confident", "features", "models", "neighbourhood", "rules", "samples", "scores", "selections", "series", "steps", "summaries", "tails")
 
 
 def _gather(kind: str) -> dict:

@@ -46,9 +46,31 @@ def reshape_exp_appended(spark, sf_dir):
     return _summary(df, schema.of(st.NUMERICAL))
 
 
-def reshape_quantile(spark, sf_dir):
-    df, schema, _ = st.reshaped(_l(spark, sf_dir), st.Schema(L.features[:1]), "quantile_uni_coarse")
-    return _summary(df, schema.names)
+def _reshaped(preset):
+    def query(spark, sf_dir):
+        df, schema, _ = st.reshaped(_l(spark, sf_dir), st.Schema(L.features[:1]), preset)
+        return _summary(df, schema.names)
+
+    return query
+
+
+reshape_quantile = _reshaped("quantile_uni_coarse")
+reshape_quantile_plain = _reshaped("quantile_uni")
+reshape_quantile_fine = _reshaped("quantile_uni_fine")
+
+
+def reshape_quantile_beyond(spark, sf_dir):
+    """Fitted on quantities of 10 to 40, applied to all."""
+    df = _l(spark, sf_dir)
+    f = st.PRESETS["quantile_uni_extrapolate"](df.where("l_quantity between 10 and 40"), ["l_quantity"])
+    return _summary(f.transform(df), ["l_quantity"])
+
+
+def clean_modalities(spark, sf_dir):
+    """Dates, moments, booleans and dates as categories of events, by its sums."""
+    e = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"), "ts", (F.col("value") > 50).alias("high"), F.to_date("ts").alias("kind"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("said"))
+    out = st.clean(e, st.Schema((("day", st.DATE), ("ts", st.DATE), ("high", st.CATEGORICAL), ("kind", st.CATEGORICAL), ("said", st.DATE))))
+    return out.select("event_id", "day", F.round("ts", 3).alias("ts"), "high", "kind", "said")
 
 
 def reshape_adaptive(spark, sf_dir):
@@ -103,7 +125,7 @@ def nearest_point(spark, sf_dir):
     return e.select("vec_id", st.nearest_point(F.col("v"), [[0.0, 0.0], [0.1, 0.1], [-0.1, 0.2]]).alias("point"))
 
 
-QUERIES = {f.__name__: f for f in (clean_table, numeric_encoded, reshape_log1p, reshape_exp_appended, reshape_quantile, reshape_adaptive, reshape_kernel_integral, modal_pipeline, schema_algebra, rows_without_nulls, legacy_categories, integer_categories, padded_features, nearest_point)}
+QUERIES = {"reshape_quantile": reshape_quantile, "reshape_quantile_plain": reshape_quantile_plain, "reshape_quantile_fine": reshape_quantile_fine} | {f.__name__: f for f in (clean_table, clean_modalities, numeric_encoded, reshape_log1p, reshape_exp_appended, reshape_quantile_beyond, reshape_adaptive, reshape_kernel_integral, modal_pipeline, schema_algebra, rows_without_nulls, legacy_categories, integer_categories, padded_features, nearest_point)}
 
 
 def _sums(columns):
@@ -119,14 +141,39 @@ _CODED = f"LEFT JOIN {_code('o_orderpriority')} p ON o_orderpriority = p.v"
 _P = "(embedding[1]::DOUBLE - {a}) * (embedding[1]::DOUBLE - {a}) + (embedding[2]::DOUBLE - {b}) * (embedding[2]::DOUBLE - {b})"
 _D = [_P.format(a=a, b=b) for a, b in (("0", "0"), ("0.1", "0.1"), ("(-0.1)", "0.2"))]
 _STANDARD = "(SELECT *, (l_quantity - avg(l_quantity) OVER ()) / (stddev_pop(l_quantity) OVER () + 1e-6) AS q, (d - avg(d) OVER ()) / (stddev_pop(d) OVER () + 1e-6) AS z FROM (SELECT l_linenumber, l_quantity, coalesce(CASE WHEN l_orderkey % 5 <> 0 THEN l_discount END, avg(CASE WHEN l_orderkey % 5 <> 0 THEN l_discount END) OVER ()) AS d FROM lineitem))"
-_LEVELS = "(SELECT k, list_transform(range(k), lambda i: s[floor(i * (n - 1) / (k - 1.0))::BIGINT + 1] + (i * (n - 1) / (k - 1.0) - floor(i * (n - 1) / (k - 1.0))) * (s[ceil(i * (n - 1) / (k - 1.0))::BIGINT + 1] - s[floor(i * (n - 1) / (k - 1.0))::BIGINT + 1])) AS v FROM (SELECT list_sort(list(l_quantity)) AS s, count(l_quantity) AS n, greatest(2, least(100, count(*) // 10)) AS k FROM lineitem))"
+
+
+def _empirical(per, where="true", beyond=None):
+    """Shares below by quantiles as rows (i, v), for each distinct quantity, then joined back; equal quantiles share the middle of theirs."""
+    below, above = (f"greatest(-{beyond}, (x - least_v) / (most_v - least_v))", f"least(1 + {beyond}, (x - least_v) / (most_v - least_v))") if beyond else ("0.0", "1.0")
+    return f"""
+WITH fitted AS (
+  SELECT list_sort(list(l_quantity)) AS s, count(*) AS n, greatest(1, least(greatest(count(*) // {per}, {2 if per > 1 else 1}), count(*), 20000)) AS k FROM lineitem WHERE {where}
+), numbers AS (
+  SELECT unnest(range(k)) AS i, s, n, k FROM fitted
+), levels AS (
+  SELECT i, k, s[i * (n - 1) // (k - 1) + 1] + (i * (n - 1) % (k - 1)) / (k - 1.0) * (s[least(n, i * (n - 1) // (k - 1) + 2)] - s[i * (n - 1) // (k - 1) + 1]) AS v FROM numbers
+), found AS (
+  SELECT x, any_value(k) AS k, count(*) FILTER (v < x) AS lo, count(*) FILTER (v <= x) AS le, max(v) FILTER (v < x) AS left_v, min(v) FILTER (v > x) AS right_v, min(v) AS least_v, max(v) AS most_v
+  FROM (SELECT DISTINCT l_quantity AS x FROM lineitem), levels GROUP BY x
+), shares AS (
+  SELECT x, CASE WHEN x < least_v THEN {below} WHEN x > most_v THEN {above} WHEN x = least_v THEN 0.0 WHEN x = most_v THEN 1.0 WHEN le > lo THEN (lo + le - 1) / (2.0 * (k - 1)) ELSE (lo - 1 + (x - left_v) / (right_v - left_v)) / (k - 1.0) END AS u FROM found
+)
+SELECT count(*) AS n, round(sum(u), 3) AS s0, round(sum(u * l_linenumber), 3) AS w0 FROM lineitem JOIN shares ON x = l_quantity
+"""
+
+
 ORACLES = {
     "clean_table": "SELECT o_orderkey, s.k AS o_orderstatus, o_totalprice, p.k AS o_orderpriority, c.k AS o_custkey FROM orders "
     + f"LEFT JOIN {_code('o_orderstatus', _NOT_P)} s ON o_orderstatus = s.v {_CODED} LEFT JOIN {_code('o_custkey')} c ON o_custkey = c.v",
     "numeric_encoded": f"SELECT o_orderkey, coalesce(s.k, -1) AS o_orderstatus, round(coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END, (SELECT avg(o_totalprice) FROM orders WHERE o_orderkey % 7 <> 0)), 4) AS o_totalprice, coalesce(p.k, -1) AS o_orderpriority FROM orders LEFT JOIN {_code('o_orderstatus')} s ON o_orderstatus = s.v {_CODED}",
     "reshape_log1p": f"SELECT {_sums(['ln(1 + l_quantity)', 'ln(1 + l_discount)'])} FROM lineitem",
     "reshape_exp_appended": f"SELECT {_sums(['l_quantity / 50', 'l_discount', 'exp(l_quantity / 50)', 'exp(l_discount)'])} FROM lineitem",
-    "reshape_quantile": f"SELECT count(*) AS n, round(sum(u), 3) AS s0, round(sum(u * l_linenumber), 3) AS w0 FROM (SELECT l_linenumber, CASE WHEN x <= v[1] THEN 0.0 WHEN x >= v[k] THEN 1.0 ELSE (j - 2) / (k - 1.0) + (x - v[j - 1]) / ((v[j] - v[j - 1]) * (k - 1)) END AS u FROM (SELECT l_linenumber, l_quantity AS x, v, k, len(list_filter(v, lambda b: b < l_quantity)) + 1 AS j FROM lineitem, {_LEVELS}))",
+    "reshape_quantile": _empirical(10),
+    "reshape_quantile_plain": _empirical(5),
+    "reshape_quantile_fine": _empirical(1),
+    "reshape_quantile_beyond": _empirical(5, "l_quantity BETWEEN 10 AND 40", 1.0),
+    "clean_modalities": "SELECT event_id, epoch(ts::DATE)::DOUBLE AS day, round(epoch(ts)::DOUBLE, 3) AS ts, CASE WHEN value > 50 THEN 1.0 WHEN value <= 50 THEN 0.0 END AS high, (dense_rank() OVER (ORDER BY ts::DATE) - 1)::DOUBLE AS kind, epoch(date_trunc('second', ts))::DOUBLE AS said FROM events",
     "modal_pipeline": f"SELECT {_sums(['abs(q)', 'abs(z)'])} FROM {_STANDARD}",
     "schema_algebra": "SELECT unnest([0, 1, 2, 3])::INT AS place, unnest(['l_discount', 'l_returnflag', 'svd_0', 'l_discount_1']) AS name, unnest(['numerical', 'numerical', 'numerical', 'numerical']) AS modality",
     "rows_without_nulls": 'SELECT count(*) FILTER (event_id % 3 <> 0 AND event_id % 4 <> 0 AND value IS NOT NULL AND user_id IS NOT NULL) AS "any", count(*) FILTER ((event_id % 3 <> 0 AND value IS NOT NULL) OR (event_id % 4 <> 0 AND user_id IS NOT NULL)) AS "all" FROM events',
