@@ -16,9 +16,11 @@ similar one, and a passage common to many texts brings nothing together unless a
 made of little else. Sets with a key in common are a cell.
 
 Sets that are equal are one class. Classes that verified pairs connect are components, and
-a pair is only verified while its classes are in different ones. First every class of a cell
-meets the cell's most connected class; after a few such rounds trees find what is left:
-within a cell, the classes outside its largest component search those of all others.
+a pair is only verified while its classes are in different ones. All pairs come from trees.
+In the first rounds each class asks the tree of its cell, or of its block of a large one, for
+one partner: of those that the bound allows, in other components, the one in most cells. That
+joins near copies in rows that grow with the cells, not with pairs. Then trees find what is
+left: within a cell, the classes outside its largest component search those of all others.
 
 Hashes have 64 bits (words in lanes of eight bytes, each through a finished mixer); sizes of
 sets rely on them, links are decided on the words themselves.
@@ -45,8 +47,8 @@ COORDINATES = 4096
 SPARE = 1.15
 #: Sets in a leaf of a tree, and the most of a cell on either side of a task.
 LEAF, BLOCK = 32, 2048
-#: Rounds in which classes meet one class of their cells before trees find what is left. They save work and change no result.
-STARS = 3
+#: Rounds in which classes ask trees for one partner before they ask for all that are left. They save work and change no result.
+ROUNDS = 3
 #: Bytes of text hashed at a time, and the sets that a task remembers to give keys of equal ones once.
 CHUNK, SEEN = 1 << 20, 200_000
 
@@ -280,41 +282,45 @@ def _cells(sets: DataFrame) -> DataFrame:
     return out
 
 
-def _similar_sizes(a: str, b: str, percent: int) -> Column:
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) if a != b else F.lit(True)
-
-
-def _met_centres(cells: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (node, other): every class of a cell with several components and the most connected class of the cell outside its largest component, where the two are in different ones."""
-    own = cells.join(labels, "node")
-    counts = own.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("degree", "node", "label", "size")).alias("top"))
-    largest = counts.groupBy("cell").agg(F.max(F.struct("c", (-F.col("top.degree")).alias("d"), "label")).alias("largest"))
-    centres = counts.join(largest, "cell").where(F.col("label") != F.col("largest.label")).groupBy("cell").agg(F.max("top").alias("centre"))
-    pairs = own.join(centres, "cell").where(F.col("label") != F.col("centre.label"))
-    pairs = pairs.select("node", F.col("centre.node").alias("other"), "size", F.col("centre.size").alias("bound"))
-    return pairs.where(_similar_sizes("size", "bound", percent)).select("node", "other").distinct()
-
-
-def _searched(cells: DataFrame, labels: DataFrame, content: DataFrame, percent: int) -> DataFrame:
-    """All pairs (node, other) of classes in a cell and in different components that the trees yield.
+def _searched(cells: DataFrame, labels: DataFrame, content: DataFrame, percent: int, one: int | None = None) -> DataFrame:
+    """Pairs (node, other) of classes in a cell and in different components that the trees yield: all of them, or one for each class of a block that isn't in the block's largest component.
 
     Of a cell with several components, blocks of the classes outside the largest one are each
     a task's with every block of the cell, so that a cell whose classes are mostly connected
-    is dealt out about once.
+    is dealt out about once. With `one`, the number of a round, blocks are each searched alone
+    and dealt anew each round.
     """
-    own = cells.select("cell", "node").join(labels.select("node", "label"), "node")
+    own = cells.select("cell", "node").join(labels.select("node", "label", "degree"), "node")
     counts = own.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = counts.groupBy("cell").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     own = own.join(largest, "cell")
-    inside = F.col("label") == F.col("most.label")
-    rest, big = (F.ceil(x / BLOCK).cast("int") for x in (F.col("all") - F.col("most.c"), F.col("most.c")))
-    hashed = F.xxhash64("node", F.lit(1))
-    own = own.select("cell", "node", "label", inside.alias("inside"), rest.alias("rest"), big.alias("big"))
-    own = own.withColumn("block", F.when(F.col("inside"), F.col("rest") + F.pmod(hashed, F.col("big"))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int"))
-    dealt = own.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("rest") + F.when(F.col("inside"), 0).otherwise(F.col("big")) - 1)))
-    dealt = dealt.select("cell", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"), "block", "node", "label")
+    hashed = F.xxhash64("node", F.lit(1 if one is None else 2 + one))
+    if one is None:
+        inside = F.col("label") == F.col("most.label")
+        rest, big = (F.ceil(x / BLOCK).cast("int") for x in (F.col("all") - F.col("most.c"), F.col("most.c")))
+        own = own.select("cell", "node", "label", "degree", inside.alias("inside"), rest.alias("rest"), big.alias("big"))
+        own = own.withColumn("block", F.when(F.col("inside"), F.col("rest") + F.pmod(hashed, F.col("big"))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int"))
+        dealt = own.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("rest") + F.when(F.col("inside"), 0).otherwise(F.col("big")) - 1)))
+    else:
+        dealt = own.withColumn("block", F.pmod(hashed, F.ceil(F.col("all") / BLOCK)).cast("int")).withColumn("against", F.col("block"))
+    dealt = dealt.select("cell", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"), "block", "node", "label", "degree")
     dealt = dealt.join(content.select("node", "point"), "node")
 
+    def partners(names: np.ndarray, label: np.ndarray, degree: np.ndarray, raw: list) -> tuple[list, list]:
+        """One partner for each class outside the largest component: the most connected one that the tree yields, the smaller name of equals."""
+        points = together([_unpacked(x) for x in raw])
+        tree, x, y = CountTree(points), [], []
+        known, often = np.unique(label, return_counts=True)
+        largest = known[often.argmax()] if often.max() > 1 else None
+        for k in range(len(names)):
+            if label[k] != largest:
+                near = tree.near(points[k], percent)
+                near = near[label[near] != label[k]]
+                if len(near):
+                    x.append(names[k : k + 1])
+                    y.append(names[near[np.lexsort((names[near], -degree[near]))[:1]]])
+        return x, y
+
     def pairs(names: np.ndarray, label: np.ndarray, side: np.ndarray, raw: list, cross: bool) -> tuple[list, list]:
         points = together([_unpacked(x) for x in raw])
         if len(points) == 2:
@@ -341,13 +347,13 @@ def _searched(cells: DataFrame, labels: DataFrame, content: DataFrame, percent:
 
     def whole_tasks(rows: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
         """The rows of the last task, unless it is complete, and the pairs of the others."""
-        cell, i, j, names, label, side = (rows[c].to_numpy() for c in ("cell", "i", "j", "node", "label", "block"))
+        cell, i, j, names, label, side, degree = (rows[c].to_numpy() for c in ("cell", "i", "j", "node", "label", "block", "degree"))
         ends = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         cuts = [0, *ends.tolist(), *([len(rows)] if last else [])]
         raw, xs, ys = rows["point"].to_list(), [], []
         for a, b in zip(cuts, cuts[1:]):
             if b - a > 1:
-                x, y = pairs(names[a:b], label[a:b], side[a:b], raw[a:b], i[a] != j[a])
+                x, y = pairs(names[a:b], label[a:b], side[a:b], raw[a:b], i[a] != j[a]) if one is None else partners(names[a:b], label[a:b], degree[a:b], raw[a:b])
                 xs += x
                 ys += y
         out = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (xs, ys)]
@@ -410,7 +416,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     a, b = labels.select(F.col("node"), F.col("label").alias("a")), labels.select(F.col("node").alias("other"), F.col("label").alias("b"))
     moves = connected(links.join(a, "node").join(b, "other").select("a", "b")).select(F.col("node").alias("label"), F.col("label").alias("to"))
     out = written(labels.join(moves, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "labels")
-    drop(labels)
+    drop(labels, moves)
     return out
 
 
@@ -439,14 +445,15 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     labels = written(classes.select("node", F.col("node").alias("label"), "degree", "size"), "labels")
     cells, tested, links = written(cells, "cells"), None, None
-    for k in range(STARS + 1):
-        pairs = _met_centres(cells, labels, percent) if k < STARS else _searched(cells, labels, content, percent)
+    for k in range(ROUNDS + 1):
+        pairs = _searched(cells, labels, content, percent, k if k < ROUNDS else None)
         if tested is not None:
             known = tested.unionByName(tested.select(F.col("other").alias("node"), F.col("node").alias("other")))
             pairs = pairs.join(known, ["node", "other"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            if k < STARS:
+            drop(pairs)
+            if k < ROUNDS:
                 continue
             break
         links = _verified(content, pairs, n, percent)

@@ -119,3 +119,15 @@ def test_without_copies(spark):
     assert kept.columns == df.columns
     want = {c for (missing, d), _, c in _truth(docs) if not missing and c == d}
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_links_come_from_the_trees(spark, monkeypatch, sf):
+    """Without what the trees yield only equal sets are together."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    found = jaccard.near_duplicates(docs, n=4, percent=85).select("doc_id", "component_id").distinct().collect()
+    searched = jaccard._searched
+    monkeypatch.setattr(jaccard, "_searched", lambda *args: searched(*args).limit(0))
+    alone = jaccard.near_duplicates(docs, n=4, percent=85).select("doc_id", "component_id").distinct().collect()
+    lost = set(map(tuple, found)) - set(map(tuple, alone))
+    assert lost and all(a >= b for a, b in lost)
