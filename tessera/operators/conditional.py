@@ -14,11 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.keys import uniform
 from tessera.operators.loops import cut
 from tessera.operators.ranks import quantiles
 from tessera.operators.schema import unique_names
-from tessera.operators.tails import probit
+from tessera.operators.tails import keyed_normal
 
 #: The least deviation of residuals, so that densities of exact relations stay finite.
 LEAST = 1e-9
@@ -42,12 +41,6 @@ class Linear:
         return out
 
 
-def normal(seed: int, stream: str, *row: Column | str) -> Column:
-    """A standard normal a row, the same at any partitioning."""
-    u = uniform(seed, stream, *row)
-    return probit(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), u)))
-
-
 def _solved(target: str, features: Sequence[str], mean: dict[str, float], cov: dict[tuple[str, str], float]) -> Linear:
     c = lambda a, b: cov[(a, b) if (a, b) in cov else (b, a)]
     if features:
@@ -101,7 +94,7 @@ def imputed(df: DataFrame, columns: Sequence[str], *, rounds: int = 1, temperatu
             models.append(model)
             guess = model.mean()
             if temperature:
-                guess = guess + F.lit(temperature * model.deviation) * normal(seed, f"impute|{k}|{c}", id_column)
+                guess = guess + F.lit(temperature * model.deviation) * keyed_normal(seed, f"impute|{k}|{c}", id_column)
             state = state.withColumn(c, F.coalesce(F.col(was[c]).cast("double"), guess))
         state = cut(state)
         if tolerance:
@@ -130,5 +123,5 @@ def synthesised(rows: DataFrame, models: Sequence[Linear], id_column: str, *, te
     """id_column and a drawn value of each model's column for every row, one after the other along the chain."""
     out = rows.select(id_column)
     for m in models:
-        out = out.withColumn(m.target, m.mean() + F.lit(temperature * m.deviation) * normal(seed, f"draw|{m.target}", id_column))
+        out = out.withColumn(m.target, m.mean() + F.lit(temperature * m.deviation) * keyed_normal(seed, f"draw|{m.target}", id_column))
     return out

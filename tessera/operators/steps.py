@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from tessera.operators import transforms as t
 from tessera.operators.ranks import even_quantiles, numbered, quantiles
 from tessera.operators.schema import shape_tags, unique_names
+from tessera.operators.tails import keyed_normal
 
 #: Fixed value: the most quantiles that a preset fits, whatever the table's size.
 MOST_LEVELS = 20_000
@@ -129,7 +130,7 @@ def _sparing(f: t.Fitted) -> t.Fitted:
 
 
 def _power(df: DataFrame, columns: list[str]) -> t.Fitted:
-    powers = {c: t.yeo_johnson_fit(_finite(df, [c]), c) for c in columns}
+    powers = t.yeo_johnson_powers(_finite(df, columns), columns)
     return _sparing(standardised(t.Fitted(tuple(columns), lambda c: t.yeo_johnson(F.col(c), powers[c]), powers), _finite(df, columns)))
 
 
@@ -149,7 +150,7 @@ def _box(df: DataFrame, columns: list[str]) -> t.Fitted:
     low = {c: s[c]["low"] if s[c]["low"] is not None else 0.0 for c in columns}
     width = {c: (s[c]["high"] - s[c]["low"] if s[c]["high"] is not None else 0.0) or 1.0 for c in columns}
     moved = lambda c: t.clipped(0.1 + 0.9 * (F.col(c) - F.lit(low[c])) / F.lit(width[c]), 0.1, 1.0)
-    powers = {c: box_cox_fit(df.select(moved(c).alias(c)), c) for c in columns}
+    powers = t.box_cox_powers(df.select(*(moved(c).alias(c) for c in columns)), columns)
     return _sparing(standardised(t.Fitted(tuple(columns), lambda c: t.box_cox(moved(c), powers[c]), powers), df))
 
 
@@ -224,6 +225,15 @@ def empirical(df: DataFrame, columns: list[str], n: int, normal: bool = False, b
     return t.Fitted(tuple(columns), out, {c: q.tolist() for c, q in levels.items()})
 
 
+def noisy_quantiles(df: DataFrame, columns: list[str], id_column: str, noise: float = 1e-3, most: int = 1000, normal: bool = True, seed: int = 0) -> t.Fitted:
+    """empirical() with a quantile for every 30 rows, 10 to `most`, fitted to values that keyed Gaussian noise of `noise` over their deviation was added to, so that ties are parted; what is transformed gets no noise."""
+    n = max(min(df.count() // 30, most), 10)
+    deviations = _finite(df, columns).agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
+    width = {c: noise / max(deviations[c] or 0.0, noise) for c in columns} if noise else {}
+    noisy = df.select(*((F.col(c) + F.lit(width[c]) * keyed_normal(seed, f"quantile|{c}", id_column)).alias(c) if noise else F.col(c) for c in columns))
+    return empirical(noisy, columns, n, normal)
+
+
 def _quantile(per: int, normal: bool, beyond: float | None = None) -> Callable:
     def fit(df: DataFrame, columns: list[str], most: int = MOST_LEVELS) -> t.Fitted:
         return empirical(df, columns, _levels(df, per, most), normal, beyond)

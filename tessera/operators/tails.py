@@ -168,6 +168,11 @@ def probit(p: Column) -> Column:
     return F.when(p < TAIL_FROM, tail(p)).when(p > 1 - TAIL_FROM, -tail(1 - p)).otherwise(middle)
 
 
+def keyed_normal(seed: int, stream: str, *row: Column | str) -> Column:
+    """A standard normal a row, the same at any partitioning."""
+    return probit(_between(uniform(seed, stream, *row), 1e-9, 1 - 1e-9))
+
+
 @dataclass(frozen=True)
 class OpenBars:
     """Buckets between borders of which the outer two are half-normal, with half of their mass within their width and the rest beyond."""

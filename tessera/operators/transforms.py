@@ -177,6 +177,53 @@ def yeo_johnson_fit(df: DataFrame, column: str, powers: list[float] | None = Non
     return max(enumerate(grid), key=lambda t: likelihood(*t))[1]
 
 
+def power_search(df: DataFrame, columns: list[str], likelihood: Callable[[Column, float], tuple[Column, Callable]], low: float, high: float, tolerance: float = 1e-5, points: int = 21) -> dict[str, float]:
+    """Per column the power between low and high with the largest likelihood, to `tolerance`: a grid of powers is one aggregate for all columns, and the next grid lies between the best one's neighbours. likelihood(x, p) is a spread to aggregate and what makes a likelihood of it and of the column's other sums.
+
+    A column without two values has power 1.
+    """
+    bounds = {c: (low, high) for c in columns}
+    found = dict.fromkeys(columns, 1.0)
+    while bounds:
+        grids = {c: [a + (b - a) * k / (points - 1) for k in range(points)] for c, (a, b) in bounds.items()}
+        names = list(grids)
+        row = df.agg(*(likelihood(F.col(c).cast("double"), p)[0].alias(f"v{i}_{k}") for i, c in enumerate(names) for k, p in enumerate(grids[c])), *(likelihood(F.col(c).cast("double"), 1.0)[1]("n").alias(f"n{i}") for i, c in enumerate(names)), *(likelihood(F.col(c).cast("double"), 1.0)[1]("j").alias(f"j{i}") for i, c in enumerate(names))).first()
+        further = {}
+        for i, c in enumerate(names):
+            grid = grids[c]
+            spreads = [row[f"v{i}_{k}"] or 0.0 for k in range(points)]
+            if not row[f"n{i}"] or max(spreads) <= 0:
+                continue
+            logs = [-row[f"n{i}"] / 2 * math.log(max(v, 1e-300)) + (p - 1) * (row[f"j{i}"] or 0.0) for v, p in zip(spreads, grid)]
+            best = max(range(points), key=lambda k: logs[k])
+            found[c] = grid[best]
+            if grid[1] - grid[0] > tolerance:
+                further[c] = (grid[max(0, best - 1)], grid[min(points - 1, best + 1)])
+        bounds = further
+    return found
+
+
+def yeo_johnson_powers(df: DataFrame, columns: list[str], low: float = -2.0, high: float = 4.0) -> dict[str, float]:
+    """The powers of largest likelihood."""
+
+    def likelihood(x: Column, p: float) -> tuple[Column, Callable]:
+        sums = {"n": F.when(F.max(x) > F.min(x), F.count(x)), "j": F.sum(F.signum(x) * F.log1p(F.abs(x)))}
+        return F.var_pop(yeo_johnson(x, 0 if abs(p) < 1e-9 else 2 if abs(p - 2) < 1e-9 else p)), sums.__getitem__
+
+    return power_search(df, columns, likelihood, low, high)
+
+
+def box_cox_powers(df: DataFrame, columns: list[str], low: float = -2.0, high: float = 4.0) -> dict[str, float]:
+    """The powers of largest likelihood over positive values."""
+
+    def likelihood(x: Column, p: float) -> tuple[Column, Callable]:
+        own = F.when(x > 0, x)
+        sums = {"n": F.when(F.max(own) > F.min(own), F.count(own)), "j": F.sum(F.ln(own))}
+        return F.var_pop(box_cox(own, 0 if abs(p) < 1e-9 else p)), sums.__getitem__
+
+    return power_search(df, columns, likelihood, low, high)
+
+
 def ordinal(df: DataFrame, columns: list[str], unknown: float | None = None) -> Fitted:
     """Sorted categories as 0, 1, ...; values not seen and nulls become `unknown`. Dictionaries are literals, for columns of few categories."""
     found = {c: sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect()) for c in columns}

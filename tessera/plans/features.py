@@ -94,7 +94,7 @@ def box_cox_fixed(spark, sf_dir):
 
 def yeo_johnson_mle(spark, sf_dir):
     df = _l(spark, sf_dir)
-    return df.limit(1).select(F.lit(t.yeo_johnson_fit(df, "l_quantity")).alias("power"))
+    return df.limit(1).select(F.lit(round(t.yeo_johnson_powers(df, ["l_quantity"])["l_quantity"], 3)).alias("power"))
 
 
 def log_transforms(spark, sf_dir):
