@@ -51,8 +51,8 @@ def _headers(fields: list[tuple[str, str]]) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n"
 
 
-def record(number: int | None, uri: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record; X-Page-Id and X-Payload-Length are extension fields."""
+def record(number: int | None, uri: str | None, payload: bytes, refers_to: int | None, revisit: bool, refers_uri: str | None = None) -> bytes:
+    """One WARC record; a revisit names its response by record id, target and date. X-Page-Id, X-Refers-To-Page-Id and X-Payload-Length are extension fields."""
     target, digest = clean_uri(uri, number), digest_of(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisit else http + payload
@@ -60,6 +60,8 @@ def record(number: int | None, uri: str | None, payload: bytes, refers_to: int |
     if number is not None:
         fields.append(("X-Page-Id", str(number)))
     if revisit:
+        first = clean_uri(refers_uri, refers_to)
+        fields += [("WARC-Refers-To", record_id(refers_to, first)), ("WARC-Refers-To-Target-URI", first), ("WARC-Refers-To-Date", DATE)]
         fields += [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page-Id", str(refers_to)), ("X-Payload-Length", str(len(payload)))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     return _headers(fields) + body + b"\r\n\r\n"
@@ -118,19 +120,21 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, archive_b
 
     Rows with equal identifier and payload that come first are all responses. A null
     identifier never comes first while there is another; among null ones alone all are
-    responses. Null URLs are urn:page:<identifier>. An empty table writes no archive. A
-    task holds about archive_bytes of records.
+    responses. Rows that repeat identifier and URL share a record id. Null URLs are
+    urn:page:<identifier>. Payloads may be of any length that a row can hold; one beyond
+    archive_bytes is an archive of its own. Further columns are ignored, whatever their names.
+    An empty table writes no archive. A task holds about archive_bytes of records.
     """
     number, payload = F.col("page_id").cast("long"), F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(number.alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"), F.length(payload).cast("long").alias("size"))
-    firsts = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"))
-    marked = rows.join(firsts, ["digest", "size"], "left").select("page_id", "url", "payload", "first", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).alias("revisit"))
+    firsts = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).getField("url").alias("first_url"))
+    marked = rows.join(firsts, ["digest", "size"], "left").select("page_id", "url", "payload", "first", "first_url", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).alias("revisit"))
 
     def archive(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for batch in batches:
-            for number, missing, url, payload, first, revisit in zip(batch["page_id"], batch["missing"], batch["url"], batch["payload"], batch["first"], batch["revisit"], strict=True):
-                held.append(record(None if missing else int(number), url, bytes(payload), int(first) if revisit else None, bool(revisit)))
+            for number, missing, url, payload, first, first_url, revisit in zip(*(batch[c] for c in ("page_id", "missing", "url", "payload", "first", "first_url", "revisit")), strict=True):
+                held.append(record(None if missing else int(number), url, bytes(payload), int(first) if revisit else None, bool(revisit), first_url))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield pd.DataFrame({"value": [pack(held, dict_bytes, level)]})
@@ -139,7 +143,7 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, archive_b
             yield pd.DataFrame({"value": [pack(held, dict_bytes, level)]})
 
     # identifiers without nulls, as pandas would turn a column with nulls into floats
-    plain = marked.select(F.coalesce("page_id", F.lit(0)).alias("page_id"), F.col("page_id").isNull().alias("missing"), "url", "payload", F.coalesce("first", F.lit(0)).alias("first"), "revisit")
+    plain = marked.select(F.coalesce("page_id", F.lit(0)).alias("page_id"), F.col("page_id").isNull().alias("missing"), "url", "payload", F.coalesce("first", F.lit(0)).alias("first"), "first_url", "revisit")
     packed = plain.mapInPandas(archive, "value binary").select(F.col("value").cast("string").alias("value"))
     packed.write.option("maxRecordsPerFile", 1).option("lineSep", END_FRAME.decode()).text(path)
 

@@ -5,6 +5,7 @@ import struct
 import zstandard
 
 from tessera.llm import warc
+from tessera.llm.common import shared_dir
 from tessera.llm.common import new_path
 
 
@@ -56,3 +57,18 @@ def test_archive_format(spark):
 
 def test_empty(spark):
     assert warc.op2_warc(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_revisits_resolve_by_standard_fields(spark):
+    """A reader that knows no extension field finds the response of each revisit."""
+    rows = [(5, "http://x/five", "same"), (2, "http://x/two", "same"), (9, None, "same"), (7, "http://x/7", "other"), (2, "http://x/2b", "same")]
+    path = f"{shared_dir(spark)}/standard"
+    warc.write_archives(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, first int"), path)
+    found = [warc.parse(raw)[0] for f in spark.read.format("binaryFile").load(path).where("length > 0").collect() for raw in warc.unpack(f.content)]
+    responses = {f["warc-record-id"]: f for f in found if f["warc-type"] == "response"}
+    revisits = [f for f in found if f["warc-type"] == "revisit"]
+    assert len(revisits) == 2
+    for f in revisits:
+        first = responses[f["warc-refers-to"]]
+        assert first["warc-target-uri"] == f["warc-refers-to-target-uri"] == "http://x/2b" and first["warc-date"] == f["warc-refers-to-date"]
+        assert first["warc-payload-digest"] == f["warc-payload-digest"]
