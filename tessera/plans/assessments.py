@@ -103,6 +103,16 @@ _L2 = "sqrt(" + " + ".join(f"pow(x[{i}] - o[{i}], 2)" for i in range(1, 5)) + ")
 _HIT = "(SELECT l_orderkey, l_linenumber, l_quantity < 10 AND l_discount > 0.03 AS hit FROM lineitem)"
 _S = "(SELECT toxic AS y, ((doc_id * 7919) % 97 + 20 * toxic) / 120.0 AS s FROM labels)"
 ORACLES = {
+    "pooled_bootstrap": """
+WITH rows AS (
+  SELECT l_linenumber, l_discount, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_shipdate AS k FROM lineitem
+), weighted AS (
+  SELECT round, l_linenumber, l_discount, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.9999988747974019, 0.999999888574522, 0.9999999899522336, 0.9999999991683892], lambda b: b <= ('0x' || substr(md5('0|pooled|' || round || '|' || l_linenumber || '|' || k), 1, 8))::BIGINT / 4294967296.0)) AS w
+  FROM rows, (SELECT unnest(range(50)) AS round)
+)
+SELECT count(m) AS rounds, round(min(m), 2) AS low, round(max(m), 2) AS high FROM (
+  SELECT round, avg(m) AS m FROM (SELECT round, l_linenumber, sum(w * l_discount::DOUBLE) / nullif(sum(w), 0) AS m FROM weighted GROUP BY ALL) GROUP BY round)
+""",
     "noise_sweep": f"SELECT l_returnflag, rate, n, round(mean, 8) AS mean, round(std, 8) AS std, round(mean - max(CASE WHEN rate = 0 THEN mean END) OVER (PARTITION BY l_returnflag), 8) AS change FROM (SELECT l_returnflag, rate, count(v) AS n, avg(v) AS mean, CASE WHEN count(v) > 1 THEN stddev_samp(v) END AS std FROM {_RUNS} GROUP BY 1, 2)",
     "repair_share": "SELECT o_orderpriority, round(CASE WHEN abs(o - f) >= 1e-12 THEN (p - f) / (o - f) END, 6) AS share, abs(o - f) < 1e-12 OR abs(o - f) < 0.02 * abs(f) AS unstable FROM (SELECT o_orderpriority, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS o, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS f, avg(o_totalprice) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1)",
     "no_skill": "WITH c AS (SELECT count(*) AS n FROM embeddings GROUP BY label), t AS (SELECT sum(n) AS s, max(n) AS top, count(*) AS k, -sum(n / (SELECT sum(n) FROM c) * ln(n / (SELECT sum(n) FROM c))) AS ce FROM c) SELECT unnest(['accuracy', 'balanced_accuracy', 'mcc', 'roc_auc', 'ce']) AS metric, unnest([round(top / s, 8), round(1 / k, 8), 0, 0.5, round(ce, 8)]) AS value FROM t",

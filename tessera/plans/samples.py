@@ -71,6 +71,17 @@ def capped_quota_draw(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (sample_k, sample_bernoulli, split_stratified_round, split_largest_remainder, draw_per_class, nested_children, kfold, chunk_shard, balanced_rows, split_by_date, capped_quota_draw)}
 _R = f"(SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_key(0, 'split')}, vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)"
 ORACLES = {
+    # equal shares, then one row after the other to the class with most room, the first of equals
+    "capped_quota_draw": """
+WITH RECURSIVE counts AS (
+  SELECT list(o_orderstatus ORDER BY o_orderstatus) AS names, list(n ORDER BY o_orderstatus) AS ns FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)
+), rounds(names, ns, quota, lacking) AS (
+  SELECT names, ns, list_transform(ns, lambda v: least(300 // len(ns), v)), least(300, list_sum(ns)) - list_sum(list_transform(ns, lambda v: least(300 // len(ns), v))) FROM counts
+  UNION ALL
+  SELECT names, ns, list_transform(range(1, len(ns) + 1), lambda i: quota[i] + CASE WHEN i = list_position(list_transform(range(1, len(ns) + 1), lambda j: ns[j] - quota[j]), list_max(list_transform(range(1, len(ns) + 1), lambda j: ns[j] - quota[j]))) THEN 1 ELSE 0 END), lacking - 1 FROM rounds WHERE lacking > 0
+)
+SELECT unnest(names) AS o_orderstatus, unnest(quota)::BIGINT AS n_rows FROM rounds WHERE lacking = 0
+""",
     "sample_k": f"SELECT vec_id, label FROM embeddings ORDER BY {_key(0, 'sample')}, vec_id LIMIT 40",
     "sample_bernoulli": f"SELECT vec_id, label FROM embeddings WHERE {_uniform(0, 'bernoulli')} < 0.2",
     "split_stratified_round": f"SELECT vec_id, label, r <= round_even(n * 0.25, 0) AS picked FROM {_R}",

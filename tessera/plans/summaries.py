@@ -106,7 +106,7 @@ def spearman(spark, sf_dir):
 
 def elo(spark, sf_dir):
     found = rp.elo(rp.battles(_errors(spark, sf_dir), "task", "entry", "error"), "m0")
-    return spark.createDataFrame(sorted(found.items()), "entry string, rating double")
+    return spark.createDataFrame([(e, round(r, 4)) for e, r in sorted(found.items())], "entry string, rating double")
 
 
 def paired_bootstrap(spark, sf_dir):
@@ -265,6 +265,24 @@ _RULES |= {f"chance_{round(100 * a):03d}": f"p < {a / 10}::DOUBLE" for a in (0.2
 _RULES |= {f"top_{round(100 * b):03d}": f"p < {b}::DOUBLE * t" for b in (0.5, 0.75, 1.0)} | {f"class_{round(100 * c):03d}": f"p < {c}::DOUBLE * m" for c in (0.5, 0.75, 1.0)}
 _AVG = lambda c, by="": f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
 ORACLES = {
+    # the fixed point of wins over expected games, 500 rounds from equal strengths
+    "elo": f"""
+WITH RECURSIVE bat AS (SELECT * FROM {_BAT}), names AS (
+  SELECT list(e ORDER BY e) AS e FROM (SELECT a AS e FROM bat UNION SELECT b FROM bat)
+), sides AS (
+  SELECT a AS x, b AS y, wins, n FROM bat UNION ALL SELECT b, a, n - wins, n FROM bat
+), entries AS (
+  SELECT x, sum(wins) AS w, list(n ORDER BY y) AS games, list(y ORDER BY y) AS others FROM sides GROUP BY x
+), fixed AS (
+  SELECT list(w ORDER BY x) AS w, list(games ORDER BY x) AS games, list(list_transform(others, lambda o: list_position(names.e, o)) ORDER BY x) AS spots FROM entries, names
+), rounds(k, p) AS (
+  SELECT 0, list_transform(w, lambda v: 1.0::DOUBLE) FROM fixed
+  UNION ALL
+  SELECT k + 1, list_transform(q, lambda v: v / exp(list_avg(list_transform(q, lambda u: ln(u))))) FROM (
+    SELECT k, list_transform(range(1, len(w) + 1), lambda i: w[i] / list_sum(list_transform(range(1, len(games[i]) + 1), lambda j: games[i][j] / (p[i] + p[spots[i][j]])))) AS q FROM rounds, fixed WHERE k < 500)
+)
+SELECT unnest(e) AS entry, unnest(list_transform(p, lambda v: round(400 * (log10(v) - log10(p[list_position(e, 'm0')])) + 1000, 4))) AS rating FROM rounds, names WHERE k = 500
+""",
     "trial_summary_grouping_sets": f"WITH f AS (SELECT CASE WHEN grouping(run) = 1 AND grouping(part) = 1 THEN 'overall' WHEN grouping(run) = 0 THEN 'by_run' ELSE 'by_part' END AS level, coalesce(run::VARCHAR, part) AS key, avg(m) AS a, stddev_pop(m) AS s, min(m) AS lo, max(m) AS hi, count(m) AS n FROM {_TR} GROUP BY GROUPING SETS ((), (run), (part))) SELECT level, key, n, round(a, 9) AS mean, round(s, 9) AS std, round(lo, 9) AS low, round(hi, 9) AS high FROM f UNION ALL SELECT 'across_' || substr(level, 4), NULL, count(a), round(avg(a), 9), round(stddev_pop(a), 9), round(min(a), 9), round(max(a), 9) FROM f WHERE level <> 'overall' GROUP BY 1",
     "best_trial_per_run": f"SELECT run, part, round(x, 6) AS x FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY x DESC, part) AS r FROM {_TR}) WHERE r = 1",
     "metric_unpivot": f"SELECT run, part, 'm' AS metric, round(m, 9) AS value FROM {_TR} UNION ALL SELECT run, part, 'x', round(x, 9) FROM {_TR}",

@@ -57,4 +57,5 @@ def test_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracles())))
 def test_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+    """Has rows; what they hold is compared with numpy or brute force in a test of its operator."""
+    assert catalog.queries()[name](spark, SF).limit(1).count() == 1
