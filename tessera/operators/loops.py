@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -55,12 +56,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
 
 
-def greedy_growth(seeds: DataFrame, pool: DataFrame, scorer: Scorer, total: int, *, how: str = "frac", amount: float = 0.5, id_column: str = "row_id", rounds: int = 50) -> DataFrame:
-    """From the seeds on: score the rest of the pool with what is accepted, accept the best by step_size (ties to the smaller identifier), until `total` rows of the pool are in. Returns id_column, step."""
+def greedy_growth(seeds: DataFrame, pool: DataFrame, scorer: Scorer, total: int, *, how: str = "frac", amount: float = 0.5, id_column: str = "row_id", rounds: int | None = None) -> DataFrame:
+    """From the seeds on: score the rest of the pool with what is accepted, accept the best by step_size (ties to the smaller identifier), until `total` rows of the pool are in, or nothing is left to score; `rounds` steps at most, if given. Returns id_column, step."""
     accepted, taken, parts = seeds, 0, []
     rest = pool.join(seeds.select(id_column), id_column, "left_anti")
     rows, given = rest.count(), seeds.count()
-    for step in range(rounds):
+    for step in count() if rounds is None else range(rounds):
         m = step_size(how, amount, rows=rows, accepted=given + taken, left=total - taken)
         if m <= 0:
             break

@@ -43,7 +43,8 @@ def weighted_moments(spark, sf_dir):
 
 
 def synthetic_columns(spark, sf_dir):
-    df = sy.rows(spark, 500)
+    """Synthetic values for every event, keyed by its number."""
+    df = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"))
     x, y = sy.circle(1, "circle")
     return df.select("row_id", F.round(sy.normal(1, "n"), 6).alias("normal"), sy.choice(1, "c", [5, 3, 2]).alias("choice"), sy.zipf(1, "z").alias("zipf"), F.round(sy.log_uniform(1, "l", 0.1, 10.0), 6).alias("log_uniform"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
@@ -63,9 +64,13 @@ def activations(spark, sf_dir):
 
 
 def ensemble_features(spark, sf_dir):
-    """How often each of 10 columns serves over subsets of 4."""
-    subsets = sc.feature_subsets([f"c{i}" for i in range(10)], 5, 4)
-    return spark.createDataFrame([(c,) for s in subsets for c in s], "name string").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    """How often each entry of the embeddings serves over subsets of 24, and its sum over all rows, once for each time it serves."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    width = e.agg(F.max(F.size("v"))).first()[0] or 0
+    subsets = sc.feature_subsets([f"c{i}" for i in range(width)], 5, 24)
+    served = spark.createDataFrame([(c,) for s in subsets for c in s], "name string")
+    sums = e.select(F.posexplode("v").alias("i", "x")).groupBy(F.concat(F.lit("c"), F.col("i")).alias("name")).agg(F.sum("x").alias("x"))
+    return served.join(sums, "name").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 5).alias("served"))
 
 
 QUERIES = {f.__name__: f for f in (inf_round_trip, dtype_alignment, masked_features, bucketised, weighted_moments, synthetic_columns, regression_to_classes, temperature_draws, activations, ensemble_features)}
@@ -84,9 +89,9 @@ ORACLES = {
     "masked_features": "SELECT vec_id, " + ", ".join(f"round(coalesce(f[{i + 1}], 0), 6) AS x{i}" for i in range(4)) + " FROM (SELECT vec_id, list_filter(list_transform(embedding[1:4], lambda v: v::DOUBLE), lambda v: v > 0) AS f FROM embeddings)",
     "bucketised": "SELECT event_id, ((value > 5)::INT + (value > 20)::INT + (value > 50)::INT + (value > 90)::INT)::INT AS bucket FROM events",
     "weighted_moments": "SELECT user_id, round(wx / w, 6) AS mean, round(CASE WHEN w > 1 THEN sqrt(greatest(0, (wxx - w * (wx / w) * (wx / w)) / (w - 1))) END, 5) AS std FROM (SELECT user_id, sum(event_id % 4) AS w, sum((event_id % 4) * value) AS wx, sum((event_id % 4) * value * value) AS wxx FROM events GROUP BY 1)",
-    "synthetic_columns": f"SELECT row_id, round(sqrt(-2 * ln(greatest({_u(1, 'n/a')}, pow(2.0, -33)))) * cos(2 * pi() * {_u(1, 'n/b')}), 6) AS normal, CASE WHEN {_u(1, 'c')} < 0.5 THEN 0 WHEN {_u(1, 'c')} < 0.8 THEN 1 ELSE 2 END AS choice, 1 + len(list_filter({_ZC}, lambda b: b <= {_u(1, 'z')}))::INT AS zipf, round(0.1 * pow(100.0, {_u(1, 'l')}), 6) AS log_uniform, round(cos(2 * pi() * {_u(1, 'circle')}), 6) AS x, round(sin(2 * pi() * {_u(1, 'circle')}), 6) AS y FROM (SELECT unnest(range(500)) AS row_id)",
+    "synthetic_columns": f"SELECT row_id, round(sqrt(-2 * ln(greatest({_u(1, 'n/a')}, pow(2.0, -33)))) * cos(2 * pi() * {_u(1, 'n/b')}), 6) AS normal, CASE WHEN {_u(1, 'c')} < 0.5 THEN 0 WHEN {_u(1, 'c')} < 0.8 THEN 1 ELSE 2 END AS choice, 1 + len(list_filter({_ZC}, lambda b: b <= {_u(1, 'z')}))::INT AS zipf, round(0.1 * pow(100.0, {_u(1, 'l')}), 6) AS log_uniform, round(cos(2 * pi() * {_u(1, 'circle')}), 6) AS x, round(sin(2 * pi() * {_u(1, 'circle')}), 6) AS y FROM (SELECT event_id AS row_id FROM events)",
     "regression_to_classes": "SELECT event_id, [2, 0, 3, 1][len(list_filter(q, lambda b: b < value)) + 1]::INT AS class FROM events, (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM events)",
     "temperature_draws": f"SELECT event_id, CASE WHEN {_u(3, 't', 'event_id')} < 0.25 / 0.38 THEN 0 WHEN {_u(3, 't', 'event_id')} < 0.34 / 0.38 THEN 1 ELSE 2 END AS class FROM events",
     "activations": f"SELECT event_id, round(sign({_V}), 6) AS sign, ({_V} >= 0)::INT::DOUBLE AS step, round(exp(-{_V} * {_V}), 6) AS bell, round(greatest({_V}, 0), 6) AS relu, round(ln(1 + exp(-abs({_V}))) + greatest({_V}, 0), 6) AS softplus, round((exp(2 * {_V}) - 1) / (exp(2 * {_V}) + 1), 6) AS tanh, round({_V} * {_V}, 6) AS square, round(sqrt(abs({_V})), 6) AS root, round(sin({_V}), 6) AS wave, round({_V} - floor({_V}), 6) AS fraction, round({_V}, 6) AS nothing FROM events",
-    "ensemble_features": "SELECT 'c' || i AS name, 2::BIGINT AS n FROM (SELECT unnest(range(10)) AS i)",
+    "ensemble_features": "SELECT 'c' || (i - 1) AS name, any_value(n) AS n, round(any_value(n) * sum(x), 5) AS served FROM (SELECT i, embedding[i]::DOUBLE AS x, count(*) AS n FROM embeddings, (SELECT unnest(range(1, 65)) AS i) JOIN (SELECT k % 64 + 1 AS slot FROM (SELECT unnest(range(120)) AS k)) ON slot = i GROUP BY vec_id, i, x) GROUP BY i",
 }

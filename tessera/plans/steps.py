@@ -94,9 +94,12 @@ def modal_pipeline(spark, sf_dir):
 
 
 def schema_algebra(spark, sf_dir):
-    """Two columns appended, one of them under a name in use, one removed, and one merged back."""
+    """Two columns appended, one of them under a name in use, one removed, and one merged back; each with its distinct values over the table."""
     s = L.append(st.NUMERICAL, ["svd_0", "l_discount"]).remove([0]).merged([1], st.Schema((("l_returnflag", st.NUMERICAL),)))
-    return spark.createDataFrame([(i, n, m) for i, (n, m) in enumerate(s.features)], "place int, name string, modality string")
+    lines = _l(spark, sf_dir).withColumns({"svd_0": F.col("l_quantity") + F.col("l_linenumber"), s.names[3]: 1 - F.col("l_discount"), "l_returnflag": F.ascii("l_returnflag")})
+    counted = lines.agg(*(F.count_distinct(n).alias(n) for n in s.names))
+    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), F.lit(m).alias("modality"), F.col(n).alias("n")) for i, (n, m) in enumerate(s.features)))).alias("x")
+    return counted.select(rows).select("x.*")
 
 
 def rows_without_nulls(spark, sf_dir):
@@ -175,7 +178,7 @@ ORACLES = {
     "reshape_quantile_beyond": _empirical(5, "l_quantity BETWEEN 10 AND 40", 1.0),
     "clean_modalities": "SELECT event_id, epoch(ts::DATE)::DOUBLE AS day, round(epoch(ts)::DOUBLE, 3) AS ts, CASE WHEN value > 50 THEN 1.0 WHEN value <= 50 THEN 0.0 END AS high, (dense_rank() OVER (ORDER BY ts::DATE) - 1)::DOUBLE AS kind, epoch(date_trunc('second', ts))::DOUBLE AS said FROM events",
     "modal_pipeline": f"SELECT {_sums(['abs(q)', 'abs(z)'])} FROM {_STANDARD}",
-    "schema_algebra": "SELECT unnest([0, 1, 2, 3])::INT AS place, unnest(['l_discount', 'l_returnflag', 'svd_0', 'l_discount_1']) AS name, unnest(['numerical', 'numerical', 'numerical', 'numerical']) AS modality",
+    "schema_algebra": "SELECT unnest([0, 1, 2, 3])::INT AS place, unnest(['l_discount', 'l_returnflag', 'svd_0', 'l_discount_1']) AS name, unnest(['numerical', 'numerical', 'numerical', 'numerical']) AS modality, unnest([count(DISTINCT l_discount), count(DISTINCT l_returnflag), count(DISTINCT l_quantity + l_linenumber), count(DISTINCT l_discount)]) AS n FROM lineitem",
     "rows_without_nulls": 'SELECT count(*) FILTER (event_id % 3 <> 0 AND event_id % 4 <> 0 AND value IS NOT NULL AND user_id IS NOT NULL) AS "any", count(*) FILTER ((event_id % 3 <> 0 AND value IS NOT NULL) OR (event_id % 4 <> 0 AND user_id IS NOT NULL)) AS "all" FROM events',
     "legacy_categories": 'SELECT unnest(list_filter([CASE WHEN count(DISTINCT l_linenumber) <= 10 THEN \'l_linenumber\' END, CASE WHEN count(*) > 100 AND count(DISTINCT l_returnflag) < 4 THEN \'l_returnflag\' END, CASE WHEN count(DISTINCT l_quantity) <= 10 THEN \'l_quantity\' END, CASE WHEN count(*) > 100 AND count(DISTINCT l_linestatus) < 4 THEN \'l_linestatus\' END, CASE WHEN count(*) > 100 AND count(DISTINCT l_tax) < 4 THEN \'l_tax\' END], lambda v: v IS NOT NULL)) AS "column" FROM lineitem',
     "integer_categories": 'SELECT unnest(list_filter([CASE WHEN count(DISTINCT l_linenumber) <= 10 THEN \'l_linenumber\' END, CASE WHEN count(DISTINCT l_quantity) <= 10 AND bool_and(l_quantity = floor(l_quantity)) THEN \'l_quantity\' END, CASE WHEN count(DISTINCT l_tax) <= 10 AND bool_and(l_tax = floor(l_tax)) THEN \'l_tax\' END, CASE WHEN count(DISTINCT l_discount) <= 10 AND bool_and(l_discount = floor(l_discount)) THEN \'l_discount\' END], lambda v: v IS NOT NULL)) AS "column" FROM lineitem',
