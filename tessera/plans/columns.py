@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.keys import uniform
 from tessera.operators import schema as sc
 from tessera.operators import synthetic as sy
+from tessera.sources import batches as bt
 from tessera.sources.tables import table
 
 
@@ -95,3 +96,25 @@ ORACLES = {
     "activations": f"SELECT event_id, round(sign({_V}), 6) AS sign, ({_V} >= 0)::INT::DOUBLE AS step, round(exp(-{_V} * {_V}), 6) AS bell, round(greatest({_V}, 0), 6) AS relu, round(ln(1 + exp(-abs({_V}))) + greatest({_V}, 0), 6) AS softplus, round((exp(2 * {_V}) - 1) / (exp(2 * {_V}) + 1), 6) AS tanh, round({_V} * {_V}, 6) AS square, round(sqrt(abs({_V})), 6) AS root, round(sin({_V}), 6) AS wave, round({_V} - floor({_V}), 6) AS fraction, round({_V}, 6) AS nothing FROM events",
     "ensemble_features": "SELECT 'c' || (i - 1) AS name, any_value(n) AS n, round(any_value(n) * sum(x), 5) AS served FROM (SELECT i, embedding[i]::DOUBLE AS x, count(*) AS n FROM embeddings, (SELECT unnest(range(1, 65)) AS i) JOIN (SELECT k % 64 + 1 AS slot FROM (SELECT unnest(range(120)) AS k)) ON slot = i GROUP BY vec_id, i, x) GROUP BY i",
 }
+
+
+def prior_batches(spark, sf_dir):
+    """Batches of 64 embeddings with small entries cleared, packed and unpacked, and dealt to three ranks, the last rounds dropped."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 64).cast("int").alias("batch"), F.transform("embedding", lambda v: F.when(F.abs(v) > 0.1, v.cast("double")).otherwise(0.0)).alias("x"))
+    n = e.select("batch").distinct().count()
+    back = e.withColumn("y", bt.dense(bt.sparse(F.col("x"))))
+    same = (F.col("y") == F.col("x")).cast("int")
+    parts = [bt.assigned(back, "batch", r, 3, n).withColumn("rank", F.lit(r)) for r in range(3)]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sums = every.groupBy("rank", "batch").agg(F.min(same).alias("same"), F.round(F.sum(F.aggregate("y", F.lit(0.0), lambda s, v: s + v)), 5).alias("total"))
+    return sums.join(bt.metadata(e, "batch", "x", "label"), "batch")
+
+
+QUERIES["prior_batches"] = prior_batches
+ORACLES["prior_batches"] = """
+WITH e AS (
+  SELECT vec_id // 64 AS batch, label, list_transform(embedding, lambda v: CASE WHEN abs(v) > 0.1 THEN v::DOUBLE ELSE 0.0 END) AS x FROM embeddings
+)
+SELECT (batch % 3)::INT AS rank, batch::INT AS batch, 1 AS same, round(sum(list_sum(x)), 5) AS total, count(*) AS n_rows, 64 AS width, sum(len(list_filter(x, lambda v: v <> 0)))::BIGINT AS entries, count(DISTINCT label) AS labels
+FROM e WHERE batch < (SELECT count(DISTINCT batch) // 3 * 3 FROM e) GROUP BY batch
+"""
