@@ -137,6 +137,18 @@ def even_quantiles(df: DataFrame, value: Column, k: int) -> list[float]:
     return [rows[i].low if rows[i].low == rows[i].high else rows[i].low + (rows[i].high - rows[i].low) * (i * last % (k - 1)) / (k - 1) for i in range(k)]
 
 
+def equal_mass_borders(df: DataFrame, value: Column, buckets: int) -> list[float]:
+    """Borders between equally many of the sorted values: the least, middles between groups, the greatest. Values that don't fill a last group go; fewer values than buckets have none. A few places are picked from cumulated counts, so no values are collected."""
+    counts = df.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    size = (counts.agg(F.sum("n")).first()[0] or 0) // buckets
+    if not size:
+        return []
+    asked = sorted({0, size * buckets - 1} | {size * i + d for i in range(1, buckets) for d in (-1, 0)})
+    hit = F.filter(F.array(*(F.lit(a).cast("long") for a in asked)), lambda a: (a >= F.col("before_n")) & (a < F.col("before_n") + F.col("n")))
+    at = {a: r.v for r in cumulated(counts, ["v"], ["n"]).withColumn("hit", hit).where(F.size("hit") > 0).select("v", "hit").collect() for a in r.hit}
+    return [at[0], *((at[size * i - 1] + at[size * i]) / 2 for i in range(1, buckets)), at[size * buckets - 1]]
+
+
 def numbered_within(df: DataFrame, by: list[str], order: list[str], into: str) -> DataFrame:
     """df with each row's place from 1 within its class, in ascending `order` (see cumulated). A class is dealt out by ranges too, so one that holds most rows isn't one task; null classes are a class."""
     rows = df.withColumn("__range", ranged(df, order))

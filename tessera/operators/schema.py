@@ -74,6 +74,15 @@ def select_features(values: Column, flags: Column, width: int) -> Column:
     return F.concat(kept, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(kept)))
 
 
+def without_constants(df: DataFrame, batch: str, values: str, width: int) -> DataFrame:
+    """df with the entries of an array of `width` that vary within their batch, left-aligned and padded with zeros, and n_features, how many those are. One aggregate a batch makes the flags; a null array stays null."""
+    at = lambda i: F.get(values, F.lit(i))
+    flags = df.groupBy(F.col(batch).alias("__batch")).agg(F.array(*(F.coalesce(F.min(at(i)) < F.max(at(i)), F.lit(False)) for i in range(width))).alias("__flags"))
+    joined = df.join(flags, F.col(batch).eqNullSafe(F.col("__batch")))
+    kept = F.when(F.col(values).isNotNull(), select_features(F.col(values), F.col("__flags"), width))
+    return joined.withColumns({values: kept, "n_features": F.size(F.filter("__flags", lambda f: f))}).select(*df.columns, "n_features")
+
+
 def bucket(x: Column, borders: Sequence[float]) -> Column:
     """How many borders lie below x: its place among sorted borders."""
     return F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < x))
