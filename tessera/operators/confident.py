@@ -95,7 +95,8 @@ def gaussian_out_of_fold(df: DataFrame, vector: str, label: str, width: int, cla
     scores = F.map_from_entries(F.transform("models", lambda m: F.struct(m["c"].alias("key"), score(m).alias("value"))))
     # classes that the fold's model doesn't know have no chance before probabilities are kept from 0
     raw = let(scores, lambda m: let(F.array_max(F.map_values(m)), lambda top: F.array(*(F.coalesce(F.exp(F.element_at(m, F.lit(c)) - top), F.lit(0.0)) for c in classes))))
-    return asked.select(id_column, "fold", label, F.when(x.isNotNull() & F.col("models").isNotNull(), sound(shares(raw))).alias("probs"))
+    # kept, as thresholds, counts and ranks each read it, and so that they don't make the expression again
+    return asked.select(id_column, "fold", label, F.when(x.isNotNull() & F.col("models").isNotNull(), sound(shares(raw))).alias("probs")).persist()
 
 
 def fold_metrics(scored: DataFrame, label: str, classes: Sequence) -> DataFrame:

@@ -107,8 +107,9 @@ ORACLES = {
 WITH rows AS (
   SELECT l_linenumber, l_discount, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_shipdate AS k FROM lineitem
 ), weighted AS (
-  SELECT round, l_linenumber, l_discount, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.9999988747974019, 0.999999888574522, 0.9999999899522336, 0.9999999991683892], lambda b: b <= ('0x' || substr(md5('0|pooled|' || round || '|' || l_linenumber || '|' || k), 1, 8))::BIGINT / 4294967296.0)) AS w
-  FROM rows, (SELECT unnest(range(50)) AS round)
+  SELECT round, l_linenumber, l_discount, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.999916758850712)::INT + (u >= 0.9999897508033253)::INT + (u >= 0.9999988747974019)::INT + (u >= 0.999999888574522)::INT + (u >= 0.9999999899522336)::INT + (u >= 0.9999999991683892)::INT AS w
+  FROM (SELECT *, ('0x' || substr(md5('0|pooled|' || round || '|' || l_linenumber || '|' || k), 1, 8))::BIGINT / 4294967296.0 AS u
+  FROM rows, (SELECT unnest(range(50)) AS round))
 )
 SELECT count(m) AS rounds, round(min(m), 2) AS low, round(max(m), 2) AS high FROM (
   SELECT round, avg(m) AS m FROM (SELECT round, l_linenumber, sum(w * l_discount::DOUBLE) / nullif(sum(w), 0) AS m FROM weighted GROUP BY ALL) GROUP BY round)
