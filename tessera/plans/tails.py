@@ -27,7 +27,7 @@ def _functions(spark, sf_dir, pareto):
     joints = [F.round(tl.inverse(t, LEVELS, F.lit(a + s * 1e-12)) - tl.inverse(t, LEVELS, F.lit(a)), 3).alias(n) for n, a, s in (("left_joint", LEVELS[0], -1), ("right_joint", LEVELS[-1], 1))]
     far = [F.round(tl.below(t, LEVELS, F.col("most") + 50), 7).alias("far"), F.round(tl.log_density(t, LEVELS, F.col("most") + 50), 5).alias("far_density")]
     drawn = tl.drawn(t, LEVELS, 7, "price", "l_suppkey")
-    return rows.select("l_suppkey", *(F.round(x, 3).alias(n) for n, x in found.items()), *back, *joints, *far, F.round(tl.below(t, LEVELS, F.col("mean")), 6).alias("at_mean"), F.round(tl.log_density(t, LEVELS, F.col("mean")), 5).alias("density"), F.round(drawn, 3).alias("drawn"))
+    return rows.select("l_suppkey", *(F.round(x, 5).alias(n) for n, x in found.items()), *back, *joints, *far, F.round(tl.below(t, LEVELS, F.col("mean")), 6).alias("at_mean"), F.round(tl.log_density(t, LEVELS, F.col("mean")), 5).alias("density"), F.round(drawn, 5).alias("drawn"))
 
 
 def quantile_tails_exponential(spark, sf_dir):
@@ -70,7 +70,7 @@ def _tails_sql(pareto):
     f = bend("(q[19] - q[18]) / greatest(q[18] - q[17], 1e-6)", "ln((1 - lv[18]) / (1 - lv[19]))", "ln((1 - lv[17]) / (1 - lv[18]))") if pareto else "0.0"
     scale = lambda values, logs: f"greatest(0.01, least(100, abs((SELECT regr_slope(v, x) FROM (SELECT unnest({values}) AS v, unnest(list_transform({logs}, lambda w: ln(w))) AS x)))))"
     u = "(('0x' || substr(md5('7|price|' || l_suppkey), 1, 8))::BIGINT / 4294967296.0)"
-    names = ", ".join([*(f"round({n}, 3) AS {n}" for n in ASKED), *(f"round({cdf(n)}, 6) AS back_{n}" for n in ASKED)])
+    names = ", ".join([*(f"round({n}, 5) AS {n}" for n in ASKED), *(f"round({cdf(n)}, 6) AS back_{n}" for n in ASKED)])
     return f"""
 WITH grouped AS (
   SELECT l_suppkey, quantile_cont(l_extendedprice, {LEVELS}) AS q, avg(l_extendedprice) AS mean, max(l_extendedprice) + 50 AS beyond, {LEVELS}::DOUBLE[] AS lv, greatest(1e-6, least(1 - 1e-6, {u})) AS u FROM lineitem GROUP BY 1
@@ -79,7 +79,7 @@ WITH grouped AS (
 ), placed AS (
   SELECT *, {", ".join(f"{inv(a)} AS {n}" for n, a in ASKED.items())}, {inv("u")} AS drawn, {cdf("beyond")} AS far, {cdf("mean")} AS near FROM fitted
 )
-SELECT l_suppkey, {names}, 0.0 AS left_joint, 0.0 AS right_joint, round(far, 7) AS far, {density("far")} AS far_density, round(near, 6) AS at_mean, {density("near")} AS density, round(drawn, 3) AS drawn
+SELECT l_suppkey, {names}, 0.0 AS left_joint, 0.0 AS right_joint, round(far, 7) AS far, {density("far")} AS far_density, round(near, 6) AS at_mean, {density("near")} AS density, round(drawn, 5) AS drawn
 FROM placed
 """
 
