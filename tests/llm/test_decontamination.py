@@ -3,20 +3,27 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
+
 from tessera.llm import decontamination
 
 
-def _shingles(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+def _words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def _shingles(text, n):
+    w = _words(text)
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
 def _truth(docs, items):
     out = {}
     for d, t in docs:
-        own = _shingles(t)
+        every = [_shingles(t, n) for n in range(6)]
         for i, x in items:
-            s = _shingles(x)
+            n = min(5, len(_words(x)))
+            own, s = every[n], _shingles(x, n) if n else set()
             if s and len(s & own) >= 0.8 * len(s) - 1e-9:
                 out[d, i] = max(out.get((d, i), (0, 0)), (len(s & own) / len(s), len(s & own)))
     return out
@@ -25,7 +32,7 @@ def _truth(docs, items):
 def _data():
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcde") for _ in range(3))
-    items = [(k, " ".join(word() for _ in range(r.choice([4, 5, 6, 9, 30, 80])))) for k in range(30)] + [(90, None), (91, ""), (92, "Over Lap one two three four")]
+    items = [(k, " ".join(word() for _ in range(r.choice([4, 5, 6, 9, 30, 80])))) for k in range(30)] + [(90, None), (91, ""), (92, "Over Lap one two three four"), (93, "Over"), (94, "LAP  one"), (95, "four y"), (96, "y four"), (97, "four")]
     docs = []
     for k in range(300):
         body = [word() for _ in range(r.choice([0, 5, 50, 800]))]
@@ -54,6 +61,18 @@ def test_equals_brute_force(spark):
     assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(str(x) for x in docs if x not in bad)
 
 
+def test_short_items(spark):
+    own = [(1, "two"), (2, "One\ttwo"), (3, "two one"), (4, "a b c d"), (5, " "), (6, "x y")]
+    items = spark.createDataFrame(own, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "one TWO"), (2, "a b c d"), (3, "z a b c"), (4, None), (5, "two " * 100_000 + "one"), (6, "xx yy x  y" + " w" * 9), (7, "x_y y x")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id, r.n_shingles) for r in decontamination.op7_decontamination(docs, items).collect()}
+    assert found == {(1, 1, 1), (1, 2, 1), (2, 4, 1), (5, 1, 1), (5, 3, 1), (6, 6, 1)}
+    con = duckdb.connect()
+    for name, rows in (("benchmark", items.toPandas()), ("documents", docs.toPandas())):
+        con.register(name, rows)
+    assert {x[:3] for x in con.sql(decontamination.ORACLE).fetchall()} == found
+
+
 def test_empty(spark):
     docs, items = _data()
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
