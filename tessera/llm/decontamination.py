@@ -119,7 +119,7 @@ WITH folded AS (
 ), places AS (
   SELECT kind, id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, lengths WHERE len(w) >= m AND (kind = 'd' OR m = least(len(w), 5))
 ), shingles AS (
-  SELECT DISTINCT kind, id, array_to_string(w[i:i + m - 1], ' ') AS s FROM places
+  SELECT DISTINCT kind, id, concat_ws(' ', w[i], CASE WHEN m > 1 THEN w[i + 1] END, CASE WHEN m > 2 THEN w[i + 2] END, CASE WHEN m > 3 THEN w[i + 3] END, CASE WHEN m > 4 THEN w[i + 4] END) AS s FROM places
 ), sizes AS (
   SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id
 ), shared AS (
