@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that hold QUERIES (name -> function of session and folder) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("assessments", "checks", "columns", "conditional", "confident", "features", "forecast", "models", "neighbourhood", "rules", "samples", "scaler", "scores", "search", "selections", "series", "steps", "summaries", "tails")
+MODULES: tuple[str, ...] = ("assessments", "bagging", "checks", "columns", "conditional", "confident", "features", "forecast", "models", "neighbourhood", "rules", "samples", "scaler", "scores", "search", "selections", "series", "steps", "summaries", "tails")
 
 
 def _gather(kind: str) -> dict:
