@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.keys import uniform
 from tessera.operators import neighbours as nb
+from tessera.operators import spreading
 from tessera.operators.loops import cut
 from tessera.sources.tables import table
 
@@ -75,6 +76,15 @@ def label_spreading(spark, sf_dir):
     return found.groupBy("query").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
+def label_spreading_solved(spark, sf_dir):
+    """The same seeds, spread to the end."""
+    rows = _e(spark, sf_dir)
+    near = cut(nb.knn(rows, rows, 5, square=True, **E))
+    seeds = rows.select(F.col("vec_id").alias("query"), F.when(F.col("vec_id") % 4 == 0, F.col("label")).alias("label"))
+    found = spreading.solved(seeds, near, list(range(10)), accuracy=1e-6)
+    return found.select("query", F.round(F.array_max("probs"), 4).alias("top"))
+
+
 def flip_random(spark, sf_dir):
     """Other labels for one row in ten, each of the nine alike."""
     rows = _e(spark, sf_dir).where(uniform(0, "pick", "vec_id") < 0.1)
@@ -95,7 +105,7 @@ def flip_delta_replay(spark, sf_dir):
     return clean.join(delta, "vec_id", "left").select("vec_id", F.round(F.col("x") + F.coalesce("dx", F.lit(0.0)), 6).alias("x"), F.coalesce("new", "label").alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_cosine, hub_scores, neighbour_agreement, knn_vote, knn_relabel, boundary_margin, nearest_other_class, knn_shapley, label_spreading, flip_random, flip_hub, flip_delta_replay)}
+QUERIES = {f.__name__: f for f in (knn_topk, knn_cosine, hub_scores, neighbour_agreement, knn_vote, knn_relabel, boundary_margin, nearest_other_class, knn_shapley, label_spreading, label_spreading_solved, flip_random, flip_hub, flip_delta_replay)}
 _D = "sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE, 2))))"
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}.embedding[i]::DOUBLE * {b}.embedding[i]::DOUBLE))"
 _COS = f"1 - {_DOT.format(a='q', b='c')} / (sqrt({_DOT.format(a='q', b='q')}) * sqrt({_DOT.format(a='c', b='c')}))"
