@@ -122,3 +122,29 @@ def test_registered_query_reranks_little(spark):
         score[names == query] = -np.inf
         hits += len(found[query] & set(names[np.lexsort((names, -score))[:20]].tolist()))
     assert hits >= 0.9 * 20 * len(found) and len(found) == (names % 20 == 0).sum()
+
+
+def _recall(spark, x, **kw):
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    truth, found = _truth(rows), {}
+    for r in sorted(_found(spark, rows, **kw), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hits = [len({a for a, _ in v} & set(found[q])) / len(v) for q, v in truth.items()]
+    return sum(hits) / len(hits), min(hits)
+
+
+def test_rare_long_vectors_are_found(spark):
+    """One row in 200 is 30 times as long, so few are in the sample, and they are nearest to all."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 16))
+    x[rng.random(len(x)) < 0.005] *= 30
+    mean, least = _recall(spark, x, block_rows=700, list_rows=500, sample=1000, m=4, k=32)
+    assert mean >= 0.99 and least >= 0.8
+
+
+def test_rows_that_drift_are_found(spark):
+    """Neighbours of a row are all in one list."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 16)) + 3 * np.sin(np.arange(6000)[:, None] / 6000 * np.arange(1, 17))
+    mean, least = _recall(spark, x, block_rows=700, list_rows=200, sample=1000, m=4, k=32)
+    assert mean >= 0.98 and least >= 0.5
