@@ -177,51 +177,51 @@ def yeo_johnson_fit(df: DataFrame, column: str, powers: list[float] | None = Non
     return max(enumerate(grid), key=lambda t: likelihood(*t))[1]
 
 
-def power_search(df: DataFrame, columns: list[str], likelihood: Callable[[Column, float], tuple[Column, Callable]], low: float, high: float, tolerance: float = 1e-5, points: int = 21) -> dict[str, float]:
-    """Per column the power between low and high with the largest likelihood, to `tolerance`: a grid of powers is one aggregate for all columns, and the next grid lies between the best one's neighbours. likelihood(x, p) is a spread to aggregate and what makes a likelihood of it and of the column's other sums.
+def power_search(df: DataFrame, columns: list[str], form: Callable[[Column, Column], Column], jacobian: Callable[[Column], Column], low: float, high: float, *, own: Callable[[Column], Column] = lambda x: x, tolerance: float = 1e-5, points: int = 21) -> dict[str, float]:
+    """Per column the power between low and high with the largest likelihood, to `tolerance`: a grid of powers is one aggregate, and the next grid lies between the best one's neighbours. form(x, p) is the transformed value, jacobian(x) what p - 1 multiplies in its likelihood, own(x) the values that count.
 
-    A column without two values has power 1.
+    The table is read once for a column; the grids read its distinct values with their counts. A column without two values has power 1.
     """
-    bounds = {c: (low, high) for c in columns}
     found = dict.fromkeys(columns, 1.0)
-    while bounds:
-        grids = {c: [a + (b - a) * k / (points - 1) for k in range(points)] for c, (a, b) in bounds.items()}
-        names = list(grids)
-        row = df.agg(*(likelihood(F.col(c).cast("double"), p)[0].alias(f"v{i}_{k}") for i, c in enumerate(names) for k, p in enumerate(grids[c])), *(likelihood(F.col(c).cast("double"), 1.0)[1]("n").alias(f"n{i}") for i, c in enumerate(names)), *(likelihood(F.col(c).cast("double"), 1.0)[1]("j").alias(f"j{i}") for i, c in enumerate(names))).first()
-        further = {}
-        for i, c in enumerate(names):
-            grid = grids[c]
-            spreads = [row[f"v{i}_{k}"] or 0.0 for k in range(points)]
-            if not row[f"n{i}"] or max(spreads) <= 0:
-                continue
-            logs = [-row[f"n{i}"] / 2 * math.log(max(v, 1e-300)) + (p - 1) * (row[f"j{i}"] or 0.0) for v, p in zip(spreads, grid)]
-            best = max(range(points), key=lambda k: logs[k])
+    for c in columns:
+        counts = df.select(own(F.col(c).cast("double")).alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("w")).persist()
+        s = counts.agg(F.sum("w").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("centre"), F.sum(F.col("w") * jacobian(F.col("x"))).alias("j")).first()
+        a, b = low, high
+        while s.n and s.high > s.low:
+            grid = [a + (b - a) * k / (points - 1) for k in range(points)]
+            tried = counts.select("x", "w", F.posexplode(F.array(*map(F.lit, grid))).alias("k", "p"))
+            z = tried.select("k", "w", (form(F.col("x"), F.col("p")) - form(F.lit(float(s.centre)), F.col("p"))).alias("z"))  # from the centre's value, so squares don't cancel
+            rows = z.groupBy("k").agg(F.sum(F.col("w") * F.col("z")).alias("a"), F.sum(F.col("w") * F.col("z") * F.col("z")).alias("b")).collect()  # a row a power
+            spreads = {r.k: r.b / s.n - (r.a / s.n) ** 2 for r in rows}
+            if max(spreads.values()) <= 0:
+                break
+            best = max(range(points), key=lambda k: -s.n / 2 * math.log(max(spreads[k], 1e-300)) + (grid[k] - 1) * (s.j or 0.0))
             found[c] = grid[best]
-            if grid[1] - grid[0] > tolerance:
-                further[c] = (grid[max(0, best - 1)], grid[min(points - 1, best + 1)])
-        bounds = further
+            if grid[1] - grid[0] <= tolerance:
+                break
+            a, b = grid[max(0, best - 1)], grid[min(points - 1, best + 1)]
+        counts.unpersist()
     return found
 
 
 def yeo_johnson_powers(df: DataFrame, columns: list[str], low: float = -2.0, high: float = 4.0) -> dict[str, float]:
     """The powers of largest likelihood."""
 
-    def likelihood(x: Column, p: float) -> tuple[Column, Callable]:
-        sums = {"n": F.when(F.max(x) > F.min(x), F.count(x)), "j": F.sum(F.signum(x) * F.log1p(F.abs(x)))}
-        return F.var_pop(yeo_johnson(x, 0 if abs(p) < 1e-9 else 2 if abs(p - 2) < 1e-9 else p)), sums.__getitem__
+    def form(x: Column, p: Column) -> Column:
+        up = F.when(F.abs(p) < 1e-9, F.log1p(x)).otherwise((F.pow(x + 1, p) - 1) / p)
+        down = F.when(F.abs(p - 2) < 1e-9, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - p) - 1) / (2 - p))
+        return F.when(x >= 0, up).otherwise(down)
 
-    return power_search(df, columns, likelihood, low, high)
+    return power_search(df, columns, form, lambda x: F.signum(x) * F.log1p(F.abs(x)), low, high)
 
 
 def box_cox_powers(df: DataFrame, columns: list[str], low: float = -2.0, high: float = 4.0) -> dict[str, float]:
     """The powers of largest likelihood over positive values."""
 
-    def likelihood(x: Column, p: float) -> tuple[Column, Callable]:
-        own = F.when(x > 0, x)
-        sums = {"n": F.when(F.max(own) > F.min(own), F.count(own)), "j": F.sum(F.ln(own))}
-        return F.var_pop(box_cox(own, 0 if abs(p) < 1e-9 else p)), sums.__getitem__
+    def form(x: Column, p: Column) -> Column:
+        return F.when(F.abs(p) < 1e-9, F.ln(x)).otherwise((F.pow(x, p) - 1) / p)
 
-    return power_search(df, columns, likelihood, low, high)
+    return power_search(df, columns, form, F.ln, low, high, own=lambda x: F.when(x > 0, x))
 
 
 def ordinal(df: DataFrame, columns: list[str], unknown: float | None = None) -> Fitted:
