@@ -14,10 +14,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.confident import let
 from tessera.operators.loops import cut
 from tessera.operators.ranks import quantiles
 from tessera.operators.schema import unique_names
-from tessera.operators.tails import keyed_normal
+from tessera.operators.tails import chance, keyed_normal, probit
 
 #: The least deviation of residuals, so that densities of exact relations stay finite.
 LEAST = 1e-9
@@ -121,7 +122,9 @@ def log_density(models: Sequence[Linear]) -> Column:
 
 def synthesised(rows: DataFrame, models: Sequence[Linear], id_column: str, *, temperature: float = 1.0, seed: int = 0) -> DataFrame:
     """id_column and a drawn value of each model's column for every row, one after the other along the chain."""
-    out = rows.select(id_column)
-    for m in models:
-        out = out.withColumn(m.target, m.mean() + F.lit(temperature * m.deviation) * keyed_normal(seed, f"draw|{m.target}", id_column))
-    return out
+    # chances are columns of their own, so that each is made once a row
+    chances = unique_names([id_column, *(m.target for m in models), *(f"__p_{m.target}" for m in models)])[len(models) + 1 :]
+    out = rows.select(id_column).withColumns({p: chance(seed, f"draw|{m.target}", id_column) for p, m in zip(chances, models)})
+    for p, m in zip(chances, models):
+        out = out.withColumn(m.target, m.mean() + F.lit(temperature * m.deviation) * let(F.col(p), probit))
+    return out.drop(*chances)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import uniform
+from tessera.operators.confident import let
 from tessera.operators.distributions import literal, total
 
 #: Outermost quantiles that a tail is fitted to; bounds of its scale and of its shape, and the shape that counts as none; bounds of slopes and of exponents; smallest probability or distance.
@@ -170,7 +171,12 @@ def probit(p: Column) -> Column:
 
 def keyed_normal(seed: int, stream: str, *row: Column | str) -> Column:
     """A standard normal a row, the same at any partitioning."""
-    return probit(_between(uniform(seed, stream, *row), 1e-9, 1 - 1e-9))
+    return let(chance(seed, stream, *row), probit)
+
+
+def chance(seed: int, stream: str, *row: Column | str) -> Column:
+    """A uniform within (0, 1), for probit. It has a digest in it, so bind it once or make it a column."""
+    return _between(uniform(seed, stream, *row), 1e-9, 1 - 1e-9)
 
 
 @dataclass(frozen=True)

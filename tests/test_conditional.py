@@ -66,3 +66,10 @@ def test_synthesis_has_the_moments(spark):
     assert len(drawn) == rows.count()
     assert np.allclose(drawn.mean(0), known.mean(0), atol=0.02 * known.std(0))
     assert np.allclose(np.corrcoef(drawn.T), np.corrcoef(known.T), atol=0.02)
+
+
+def test_draws_make_a_digest_once(spark):
+    """A row's chance isn't made again for each term of the normal quantile."""
+    rows = plans._lines(spark, "/root/testdata/sf0.001")
+    plan = cd.synthesised(rows, cd.chain(rows, plans.COLUMNS), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 2 * len(plans.COLUMNS)
