@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tessera.operators import neighbours
+from tessera.operators import neighbours, ranks, sampling
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +29,34 @@ def test_shapley_by_queries_equals_all_pairs(spark, metric):
     found = {r.neighbour: r.value for r in neighbours.knn(df, asked, None, id_column="id", vector="v", metric=metric, carry=("label",), mean_of=neighbours.shapley_values(4)).collect()}
     assert found.keys() == want.keys() and len(want) == 150
     assert all(found[i] == want[i] or abs(found[i] - want[i]) < 1e-12 for i in want)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_rows_of_a_class_are_not_all_shuffled(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN id % 3 END AS c")
+    quota = {None: 7, 1: 40, 2: 0}
+    found = sampling.take_quota(df, "c", quota, "id")
+    assert _plan(found).count("WindowGroupLimit") == 2 and "Join" not in _plan(found)
+    ranked = sampling.ranked(df, "c", "id").collect()
+    assert {r.id for r in found.collect()} == {r.id for r in ranked if r["rank"] <= quota[r.c]}
+    assert {(r.id, r.c) for r in sampling.per_class(df, "c", 30, "id").collect()} == {(r.id, r.c) for r in ranked if r["rank"] <= 30}
+
+
+def test_small_classes_need_no_ranges(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id", "CASE WHEN id % 5 > 0 THEN id % 2 END AS c", "id * 7 % 13 AS x")
+    places = lambda d: {r.id: r.place for r in d.collect()}
+    whole = ranks.numbered_within(df, ["c"], ["x", "id"], "place")
+    assert _plan(whole).count("Window") == 1
+    monkeypatch.setattr(ranks, "ONE_TASK", 50)
+    dealt = ranks.numbered_within(df, ["c"], ["x", "id"], "place")
+    assert _plan(dealt).count("Window") > 1 and "SortMergeJoin" not in _plan(dealt)
+    assert places(whole) == places(dealt)
+
+
+def test_a_range_is_a_task_and_no_side_of_cutmix_is_broadcast(spark):
+    placed = _plan(ranks.numbered(spark.range(1000).selectExpr("id * 7 % 1000 AS x"), ["x"], "n"))
+    assert "REPARTITION" in placed and "hashpartitioning(__range" not in placed
+    assert "Broadcast" not in _plan(catalog.queries()["cutmix"](spark, SF))
