@@ -7,12 +7,15 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.keys import key, uniform
 from tessera.operators.ranks import numbered, numbered_within
 
 #: Classes at most where their quotas are literals.
 MOST_CLASSES = 10_000
+#: Quotas up to this are met by each task's first rows of a class (Spark's windowGroupLimitThreshold).
+FEW = 1000
 
 
 def k_from_percent(n: int, percent: float) -> int:
@@ -41,6 +44,14 @@ def ranked(df: DataFrame, by: str | list[str], id_column: str, seed: int = 0, st
     return placed.join(sizes, same).select(*df.columns, "rank", "n")
 
 
+def first_ranked(df: DataFrame, by: str, most: int, id_column: str, seed: int = 0, stream: str = "split") -> DataFrame:
+    """df with rank (see ranked), of each class the first `most` rows. Where these are few, a task sends on no more of a class, so the other rows aren't shuffled."""
+    if most > FEW:
+        return ranked(df, by, id_column, seed, stream).drop("n").where(F.col("rank") <= most)
+    place = F.row_number().over(Window.partitionBy(by).orderBy("__key", id_column))
+    return df.withColumn("__key", key(seed, stream, id_column)).withColumn("rank", place).where(F.col("rank") <= most).drop("__key")
+
+
 def stratified(df: DataFrame, by: str, share: float, id_column: str, seed: int = 0) -> DataFrame:
     """df with picked: of each class the nearest whole number to share of its rows, halves to even."""
     return ranked(df, by, id_column, seed).withColumn("picked", F.col("rank") <= F.rint(F.col("n") * share)).drop("rank", "n")
@@ -82,7 +93,7 @@ def class_counts(df: DataFrame, by: str) -> dict:
 
 
 def take_quota(df: DataFrame, by: str, quota: dict, id_column: str, seed: int = 0) -> DataFrame:
-    return ranked(df, by, id_column, seed).where(F.col("rank") <= quota_sql(quota, by)).drop("rank", "n")
+    return first_ranked(df, by, max(quota.values(), default=0), id_column, seed).where(F.col("rank") <= quota_sql(quota, by)).drop("rank")
 
 
 def exact_split(df: DataFrame, by: str, total: int, id_column: str, seed: int = 0) -> DataFrame:
@@ -92,7 +103,7 @@ def exact_split(df: DataFrame, by: str, total: int, id_column: str, seed: int =
 
 def per_class(df: DataFrame, by: str, c: int, id_column: str, seed: int = 0) -> DataFrame:
     """c rows of each class; the draw for a smaller c is part of it."""
-    return ranked(df, by, id_column, seed).where(F.col("rank") <= c).drop("rank", "n")
+    return first_ranked(df, by, c, id_column, seed).drop("rank")
 
 
 def folds(df: DataFrame, by: str, k: int, id_column: str, seed: int = 0) -> DataFrame:
