@@ -6,10 +6,11 @@ its future has parts; the context is cut to its last rows before anything meets.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,20 +69,59 @@ def forecast(context: Series, future: DataFrame, model: Model, levels: Sequence[
     ahead = _placed(ahead, item, time, "step").withColumn("__part", F.floor((F.col("step") - 1) / part))
     parts = ahead.select(item, "__part").distinct()
     past = past.join(parts, item)  # an item's context, once for each part of its future
-    past = past.select(*((F.col(c) if c != "__part" else F.col(c) + 0).alias(c) for c in past.columns))  # names of its own, as both sides may come from one table
     kinds = dict(future.dtypes)
     levels = [float(a) for a in levels]
-
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(right):
-            return pd.DataFrame({item: [], time: [], "target": [], "quantiles": []})
-        left, right = left.sort_values(time).rename(columns={"__y": target}), right.sort_values("step")
-        found = checked(model(left[[time, target, *shared]].reset_index(drop=True), right[["step", time, *shared]].reset_index(drop=True), levels), levels, len(right))
-        quantiles = np.stack([np.asarray(found[a], dtype=float) for a in levels], axis=1) if levels else np.zeros((len(right), 0))
-        return pd.DataFrame({item: right[item].to_numpy(), time: right[time].to_numpy(), "target": np.asarray(found["target"], dtype=float), "quantiles": quantiles.tolist()})
-
-    cogrouped = past.groupBy(item, "__part").cogroup(ahead.groupBy(item, "__part"))
-    out = cogrouped.applyInPandas(one, f"`{item}` {kinds[item]}, `{time}` {kinds[time]}, target double, quantiles array<double>")
+    # both sides in one stream of sorted rows, each side's columns under names of its own; a task takes one item after the other
+    mine = lambda df, kind, step, own: df.select(F.col(item).alias("__item"), F.col("__part").cast("long").alias("__part"), F.lit(kind).alias("__kind"), step.cast("long").alias("__step"), F.col(time).alias("__time"), *own)
+    left_names, right_names = [target, *shared], list(shared)
+    lefts = mine(past, 0, F.lit(0), [F.col(c).alias(f"__l{i}") for i, c in enumerate(["__y", *shared])])
+    rights = mine(ahead, 1, F.col("step"), [F.col(c).alias(f"__r{i}") for i, c in enumerate(shared)])
+    tasks = int(past.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lefts.unionByName(rights, allowMissingColumns=True).repartition(tasks, "__item", "__part")
+    rows = rows.sortWithinPartitions("__item", "__part", "__kind", "__step", F.asc_nulls_last("__time"))
+
+    def side(rows: pa.Table, names: dict[str, str]) -> pd.DataFrame:
+        found = rows.select(list(names)).rename_columns(list(names.values())).to_pandas()
+        for c in found.columns:
+            if isinstance(found[c].dtype, pd.DatetimeTZDtype):
+                found[c] = found[c].dt.tz_localize(None)
+        return found
+
+    def modelled(rows: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        right_rows = rows["__kind"].to_numpy() == 1
+        if not right_rows.any():
+            return
+        ahead = rows.filter(pa.array(right_rows))
+        left = side(rows.filter(pa.array(~right_rows)), {"__time": time, **{f"__l{i}": c for i, c in enumerate(left_names)}})
+        right = side(ahead, {"__step": "step", "__time": time, **{f"__r{i}": c for i, c in enumerate(right_names)}})
+        own, asked = run[~right_rows], run[right_rows]
+        starts = np.flatnonzero(np.append(True, asked[1:] != asked[:-1]))
+        targets, quantiles = [], []
+        for a, b in zip(starts, np.append(starts[1:], len(asked))):
+            x, y = np.searchsorted(own, asked[a]), np.searchsorted(own, asked[a], "right")
+            found = checked(model(left.iloc[x:y].reset_index(drop=True), right.iloc[a:b].reset_index(drop=True), levels), levels, b - a)
+            targets.append(np.asarray(found["target"], dtype=float))
+            quantiles.append(np.stack([np.asarray(found[q], dtype=float) for q in levels], axis=1) if levels else np.zeros((b - a, 0)))
+        lists = pa.ListArray.from_arrays(np.arange(len(asked) + 1, dtype=np.int32) * len(levels), np.concatenate(quantiles).ravel())
+        yield from pa.table({item: ahead["__item"], time: ahead["__time"], "target": np.concatenate(targets), "quantiles": lists}).to_batches()
+
+    def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last item and part so far, of `most` and `part` rows at most
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not len(rows):
+                continue
+            code = rows["__item"].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            number = rows["__part"].to_numpy()
+            run = np.cumsum(np.append(0, (code[1:] != code[:-1]) | (number[1:] != number[:-1])))
+            last = int(np.searchsorted(run, run[-1]))
+            if last:
+                yield from modelled(rows.slice(0, last), run[:last])
+            held = rows.slice(last)
+        if held is not None:
+            yield from modelled(held, np.zeros(len(held), dtype=int))
+
+    out = rows.mapInArrow(stream, f"`{item}` {kinds[item]}, `{time}` {kinds[time]}, target double, quantiles array<double>")
     plain = lambda x: F.when(~F.isnan(x), x)
     return out.select(item, time, plain(F.col("target")).alias("target"), F.transform("quantiles", plain).alias("quantiles"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import forecast as fc
+from tessera.operators.loops import cut
 from tessera.plans.series import _series
 
 LEVELS, SEASON, CUT = [0.1, 0.5, 0.9], 7, "2024-01-24"
@@ -30,6 +31,7 @@ def series_model(spark, sf_dir):
 def series_ensemble(spark, sf_dir):
     """Two members, one of which saw the targets centred and scaled a user."""
     past, ahead = _sides(spark, sf_dir)
+    past, ahead = past.with_df(cut(past.df)), cut(ahead)  # several steps read them
     plain = fc.forecast(past, ahead, fc.seasonal_naive(SEASON), LEVELS)
     scales = past.imputed_target().df.groupBy("item_id").agg(F.avg("target").alias("mean"), F.greatest(F.stddev_pop("target"), F.lit(1e-6)).alias("scale"))
     scaled = past.with_df(past.imputed_target().df.join(scales, "item_id").withColumn("target", (F.col("target") - F.col("mean")) / F.col("scale")).drop("mean", "scale"))

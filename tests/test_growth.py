@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 
-from tessera.operators import neighbours, ranks, sampling
+from tessera.operators import forecast, neighbours, ranks, sampling
+from tessera.operators.series import Series
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +63,32 @@ def test_a_range_is_a_task_and_no_side_of_cutmix_is_broadcast(spark):
     placed = _plan(ranks.numbered(spark.range(1000).selectExpr("id * 7 % 1000 AS x"), ["x"], "n"))
     assert "REPARTITION" in placed and "hashpartitioning(__range" not in placed
     assert "Broadcast" not in _plan(catalog.queries()["cutmix"](spark, SF))
+
+
+def test_items_stream_through_the_model(spark):
+    """Items that cross batches, long futures in parts, items of one side alone and columns of both sides."""
+    t0 = datetime(2024, 1, 1)
+    past = [(f"i{i}", t0 + timedelta(hours=h), float(i * 100 + h), h) for i in range(9) if i != 4 for h in range(i + 2)]
+    ahead = [(f"i{i}", t0 + timedelta(days=9, hours=h), h + 50) for i in range(8) for h in range(2 * i + 1)]
+    context = Series(spark.createDataFrame(past, "item_id string, timestamp timestamp_ntz, target double, hour int"))
+    future = spark.createDataFrame(ahead, "item_id string, timestamp timestamp_ntz, hour int")
+
+    def model(left, right, levels):
+        assert list(left.columns) == ["timestamp", "target", "hour"] and list(right.columns) == ["step", "timestamp", "hour"]
+        assert right["hour"].dtype == "int32" and left["timestamp"].is_monotonic_increasing
+        base = left["target"].sum() if len(left) else float("nan")
+        return {"target": base + right["hour"].to_numpy() + right["step"].to_numpy() / 1000} | {a: base + np.full(len(right), a) for a in levels}
+
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = forecast.forecast(context, future, model, [0.1, 0.9], most=5, part=6)
+        assert "FlatMapCoGroupsInPandas" not in _plan(found)
+        got = {(r.item_id, r.timestamp): (r.target, r.quantiles) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert len(got) == len(ahead)
+    for i, t, h in ahead:
+        last = [y for j, _, y, _ in past if j == i][-5:]
+        want = (sum(last) + h + (h - 49) / 1000, [sum(last) + 0.1, sum(last) + 0.9]) if last else (None, [None, None])
+        assert got[i, t] == (want[0] if want[0] is None else pytest.approx(want[0]), want[1])
