@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from tessera.operators import forecast, neighbours, ranks, sampling
+from tessera.operators import forecast, neighbours, periods, ranks, sampling
 from tessera.operators.series import Series
 from tessera.plans import catalog
 
@@ -92,3 +92,49 @@ def test_items_stream_through_the_model(spark):
         last = [y for j, _, y, _ in past if j == i][-5:]
         want = (sum(last) + h + (h - 49) / 1000, [sum(last) + 0.1, sum(last) + 0.9]) if last else (None, [None, None])
         assert got[i, t] == (want[0] if want[0] is None else pytest.approx(want[0]), want[1])
+
+
+@pytest.mark.parametrize("together", [64, 256])
+def test_spectrum_in_parts(monkeypatch, together):
+    monkeypatch.setattr(periods, "TOGETHER", together)
+    rng = np.random.default_rng(0)
+    for n in (5, 17, 100, 1000, 4097):
+        t = np.arange(n)
+        y = rng.normal(size=n) + np.sin(2 * np.pi * t / 12) + 0.01 * t + 5
+        z = (y - np.polyval(np.polyfit(t, y, 1), t)) * np.hanning(n)
+        _, first, _, wide, _ = periods._parts(n)
+        blocks = {}
+        for g in range(-(-first // wide)):
+            some = t % first // wide == g
+            for block, piece in periods._transformed(z[some], t[some], n, g):
+                blocks.setdefault(block, {})[g] = piece
+        found = [periods._peaks(pieces, n, block, 3) for block, pieces in blocks.items()]
+        highest = max(h for h, _ in found)
+        got = {}
+        for _, p, m in sorted((x for _, some in found for x in some if x[2] >= 0.05 * highest), key=lambda x: (-x[2], x[0])):
+            if p not in got and len(got) < 3:
+                got[p] = pytest.approx(m, rel=1e-9)
+        assert list(got.items()) == periods.find_periods(y, 3)
+
+
+def test_a_long_series_is_many_tasks(spark, monkeypatch):
+    """One long series and a short one, of timestamps, with values that are none."""
+    rows = spark.range(0, 300_000, 1, 8).selectExpr("CASE WHEN id % 1000 > 0 THEN 'long' END AS g", "timestamp_micros(id * 1000000) AS t", "CASE WHEN id % 501 = 7 THEN double('NaN') WHEN id % 501 > 0 THEN sin(2 * pi() * id / 40) + pmod(xxhash64(id), 100) / 300 + id / 1e6 END AS y")
+    monkeypatch.setattr(periods, "LONG", 1 << 30)
+    whole = periods.periods(rows, "g", "t", "y", 3).collect()
+    monkeypatch.undo()
+    parts = periods.periods(rows, "g", "t", "y", 3)
+    assert "block" in _plan(parts)
+    shown = lambda found: sorted((r.g or "", r["rank"], r.period, r.magnitude) for r in found)
+    assert [x[:3] for x in shown(parts.collect())] == [x[:3] for x in shown(whole)] and len(whole) > 2
+    assert np.allclose([x[3] for x in shown(parts.collect())], [x[3] for x in shown(whole)], rtol=1e-9)
+
+
+def test_waves_of_a_long_series(spark, monkeypatch):
+    rows = spark.range(0, 3000, 1, 4).selectExpr("id % 2 AS g", "id AS t", "CASE WHEN id % 50 > 0 THEN sin(2 * pi() * id / 40) END AS y")
+    want = {r.t: (r.g, r.y, r.sin_0, r.cos_0, r.sin_1, r.cos_1) for r in periods.periodic_features(rows, "g", "t", "y", 2).collect()}
+    monkeypatch.setattr(periods, "LONG", 100)
+    monkeypatch.setattr(ranks, "ONE_TASK", 100)
+    found = {r.t: (r.g, r.y, r.sin_0, r.cos_0, r.sin_1, r.cos_1) for r in periods.periodic_features(rows, "g", "t", "y", 2).collect()}
+    same = lambda a, b: a == b or abs(a - b) < 1e-9 or (a != a and b is None)
+    assert found.keys() == want.keys() and all(same(x, y) for t in want for x, y in zip(want[t], found[t]))
