@@ -138,3 +138,25 @@ def test_waves_of_a_long_series(spark, monkeypatch):
     found = {r.t: (r.g, r.y, r.sin_0, r.cos_0, r.sin_1, r.cos_1) for r in periods.periodic_features(rows, "g", "t", "y", 2).collect()}
     same = lambda a, b: a == b or abs(a - b) < 1e-9 or (a != a and b is None)
     assert found.keys() == want.keys() and all(same(x, y) for t in want for x, y in zip(want[t], found[t]))
+
+
+def test_other_classes_in_one_pass(spark):
+    """Null classes, classes not asked for and a query whose class isn't among them."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(v) for v in rng.integers(0, 5, 2)], None if i % 9 == 4 else int(rng.integers(0, 5))) for i in rng.permutation(120)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    asked = df.where("id % 4 = 0")
+    out = neighbours.nearest_other_class(df, asked, 3, id_column="id", vector="v", label="label", classes=[0, 1, 3])
+    assert _plan(out).count("MapInPandas") == 1
+    want = {}
+    for i, v, own in rows:
+        if i % 4 == 0 and own is not None:
+            means = {}
+            for c in (0, 1, 3):
+                if c != own:
+                    near = sorted(float(np.hypot(*np.subtract(v, w))) for j, w, y in rows if y == c and j != i)[:3]
+                    means[c] = np.mean(near)
+            best = min(means, key=lambda c: (round(means[c], 9), c))
+            want[i] = (own, best, pytest.approx(means[best], abs=1e-9))
+    found = {r.query: (r.own, r.label, r.distance) for r in out.collect()}
+    assert found == want
