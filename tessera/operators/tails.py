@@ -31,6 +31,13 @@ HALF = 0.6744897501960817
 MIDDLE = ((-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00), (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0))
 TAIL = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00), (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0))
 TAIL_FROM = 0.02425
+#: Coefficients of Cody's rational approximations of erf(z) / z as a function of z * z, of exp(z * z) erfc(z) beyond, and where that begins.
+ERF_INNER = ((1.85777706184603153e-1, 3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03), (1.0, 2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03))
+ERF_OUTER = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e00, 6.61191906371416295e01, 2.98635138197400131e02, 8.81952221241769090e02, 1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03),
+    (1.0, 1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03, 4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03),
+)
+ERF_INNER_TO = 0.46875
 
 
 def _between(x: Column, low: float, high: float) -> Column:
@@ -138,17 +145,20 @@ def drawn(tails: Column, levels: Sequence[float], seed: int, stream: str, *row:
     return inverse(tails, levels, _between(uniform(seed, stream, *row), TINY, 1 - TINY))
 
 
-def erf(x: Column, terms: int = 120) -> Column:
-    """The error function by its series of positive terms, within the JVM; 1 beyond 6."""
-    z = F.least(F.abs(x), F.lit(6.0))
-    start = F.struct(z.alias("term"), z.alias("sum"))
+def erf(x: Column) -> Column:
+    """The error function by rational functions, within 1e-15 in the JVM; 1 beyond 6."""
 
-    def further(s: Column, n: Column) -> Column:
-        term = s["term"] * 2 * z * z / (2 * n + 1)
-        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+    def ratio(z: Column, factors: tuple[Sequence[float], Sequence[float]]) -> Column:
+        over, under = F.lit(factors[0][0]), F.lit(factors[1][0])
+        for p, q in zip(factors[0][1:], factors[1][1:]):
+            over, under = over * z + F.lit(p), under * z + F.lit(q)
+        return over / under
 
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, further, lambda s: s["sum"])
-    return F.when(x.isNotNull(), F.signum(x) * F.least(F.lit(1.0), F.lit(2 / math.sqrt(math.pi)) * F.exp(-z * z) * series))
+    def of(x: Column, z: Column) -> Column:
+        inner = z * let(z * z, lambda s: ratio(s, ERF_INNER))
+        return F.signum(x) * F.when(z <= ERF_INNER_TO, inner).otherwise(1 - F.exp(-z * z) * ratio(z, ERF_OUTER))
+
+    return let(x, lambda x: F.when(x.isNotNull(), let(F.least(F.abs(x), F.lit(6.0)), lambda z: of(x, z))))
 
 
 def probit(p: Column) -> Column:
@@ -210,35 +220,47 @@ class OpenBars:
     def below(self, mass: Column, y: Column) -> Column:
         """The distribution function at any y."""
         (s, t), b = self.scales, self.borders
-        inner = [_between((y - F.lit(lo)) / F.lit(hi - lo), 0.0, 1.0) if hi > lo else (y >= lo).cast("double") for lo, hi in zip(b[1:-2], b[2:-1])]
-        left = F.when(y >= b[1], 1.0).otherwise(1 - erf((F.lit(b[1]) - y) / F.lit(s * math.sqrt(2))))
-        right = F.when(y <= b[-2], 0.0).otherwise(erf((y - F.lit(b[-2])) / F.lit(t * math.sqrt(2))))
-        return total(F.zip_with(mass, F.array(left, *inner, right), lambda p, v: p * v))
+
+        def of(y: Column) -> Column:
+            inner = [_between((y - F.lit(lo)) / F.lit(hi - lo), 0.0, 1.0) if hi > lo else (y >= lo).cast("double") for lo, hi in zip(b[1:-2], b[2:-1])]
+            left = F.when(y >= b[1], 1.0).otherwise(1 - erf((F.lit(b[1]) - y) / F.lit(s * math.sqrt(2))))
+            right = F.when(y <= b[-2], 0.0).otherwise(erf((y - F.lit(b[-2])) / F.lit(t * math.sqrt(2))))
+            return total(F.zip_with(mass, F.array(left, *inner, right), lambda p, v: p * v))
+
+        return let(y, of)
 
     def inverse(self, mass: Column, a: Column) -> Column:
         """The quantile function at probability a, strictly between 0 and 1."""
         (s, t), b = self.scales, self.borders
-        first, last = F.get(mass, F.lit(0)), F.element_at(mass, -1)
-        half = lambda p: probit((1 + _between(p, 0.0, 1 - 1e-7)) / 2)
-        left = F.lit(b[1]) - F.lit(s) * half(1 - a / F.greatest(first, F.lit(1e-300)))
-        right = F.lit(b[-2]) + F.lit(t) * half(1 - (1 - a) / F.greatest(last, F.lit(1e-300)))
-        before = F.transform(F.sequence(F.lit(1), F.lit(len(b) - 3)), lambda i: F.aggregate(F.slice(mass, F.lit(1), i), F.lit(0.0), lambda x, v: x + v))
-        pieces = F.arrays_zip(before.alias("b"), F.slice(mass, 2, len(b) - 3).alias("m"), literal(list(b[1:-2])).alias("lo"), literal(list(b[2:-1])).alias("hi"))
-        x = F.get(F.filter(pieces, lambda p: (p["m"] > 0) & (p["b"] + p["m"] >= a)), F.lit(0))
-        inside = x["lo"] + (x["hi"] - x["lo"]) * (a - x["b"]) / x["m"]
-        return F.when(a < first, left).when((1 - a < last) | x.isNull(), right).otherwise(inside)
+        half = lambda p: let((1 + _between(p, 0.0, 1 - 1e-7)) / 2, probit)
+
+        def of(mass: Column, a: Column) -> Column:
+            first, last = F.get(mass, F.lit(0)), F.element_at(mass, -1)
+            left = F.lit(b[1]) - F.lit(s) * half(1 - a / F.greatest(first, F.lit(1e-300)))
+            right = F.lit(b[-2]) + F.lit(t) * half(1 - (1 - a) / F.greatest(last, F.lit(1e-300)))
+            before = F.transform(F.sequence(F.lit(1), F.lit(len(b) - 3)), lambda i: F.aggregate(F.slice(mass, F.lit(1), i), F.lit(0.0), lambda x, v: x + v))
+            pieces = F.arrays_zip(before.alias("b"), F.slice(mass, 2, len(b) - 3).alias("m"), literal(list(b[1:-2])).alias("lo"), literal(list(b[2:-1])).alias("hi"))
+            found = F.get(F.filter(pieces, lambda p: (p["m"] > 0) & (p["b"] + p["m"] >= a)), F.lit(0))
+            inside = let(found, lambda x: F.when(x.isNull(), right).otherwise(x["lo"] + (x["hi"] - x["lo"]) * (a - x["b"]) / x["m"]))
+            return F.when(a < first, left).when(1 - a < last, right).otherwise(inside)
+
+        return let(mass, lambda m: let(a, lambda a: of(m, a)))
 
     def nll(self, mass: Column, y: Column) -> Column:
         """-ln density at any y."""
         (s, t), b = self.scales, self.borders
         normal = lambda d, scale: F.lit(0.5 * math.log(2 / math.pi) - math.log(scale)) - F.pow(F.greatest(d, F.lit(1e-8)) / F.lit(scale), 2) / 2
         widths = [hi - lo for lo, hi in zip(b, b[1:])]
-        k = F.greatest(F.lit(0), F.least(F.lit(len(b) - 2), F.size(F.filter(literal(list(b)), lambda x: x < y)) - 1))
-        log = F.ln(F.get(mass, k)) - F.when(k == 0, -normal(F.lit(b[1]) - y, s)).when(k == len(b) - 2, -normal(y - F.lit(b[-2]), t)).otherwise(F.ln(F.get(literal(widths), k)))
-        return -log
+
+        def of(y: Column, k: Column) -> Column:
+            log = F.ln(F.get(mass, k)) - F.when(k == 0, -normal(F.lit(b[1]) - y, s)).when(k == len(b) - 2, -normal(y - F.lit(b[-2]), t)).otherwise(F.ln(F.get(literal(widths), k)))
+            return -log
+
+        place = lambda y: F.greatest(F.lit(0), F.least(F.lit(len(b) - 2), F.size(F.filter(literal(list(b)), lambda x: x < y)) - 1))
+        return let(y, lambda y: let(place(y), lambda k: of(y, k)))
 
     def drawn(self, mass: Column, seed: int, stream: str, *row: Column | str) -> Column:
-        return self.inverse(mass, _between(uniform(seed, stream, *row), 1e-7, 1 - 1e-7))
+        return let(uniform(seed, stream, *row), lambda u: self.inverse(mass, _between(u, 1e-7, 1 - 1e-7)))
 
 
 @dataclass(frozen=True)

@@ -79,6 +79,21 @@ def test_erf(spark):
     assert all(abs(a - math.erf(x)) < 1e-12 for a, x in zip(found, xs))
 
 
+def test_erf_at_joints_and_without_a_number(spark):
+    xs = [None, float("nan"), *np.linspace(-6.5, 6.5, 2001).tolist(), 0.46875, math.nextafter(0.46875, 1), -math.inf]
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(tl.erf(F.col("x"))).collect()]
+    assert found[0] is None and math.isnan(found[1])
+    assert all(abs(a - math.erf(x)) < 1e-15 for a, x in zip(found[2:], xs[2:]))
+
+
+def test_open_bars_make_their_arguments_once(spark):
+    b, m = tl.OpenBars((0.0, 1.0, 2.0, 4.0)), F.array(F.lit(0.2), F.lit(0.5), F.lit(0.3))
+    drawn = b.drawn(m, 3, "bars", "id")
+    for x in (drawn, b.below(m, drawn), b.nll(m, drawn), tl.erf(drawn), b.below(m, b.inverse(m, b.below(m, drawn)))):
+        plan = spark.range(3).select(x.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") == 1
+
+
 def test_probit(spark):
     ps = [1e-12, 1e-6, 0.02, 0.02425, 0.3, 0.5, 0.9, 0.99, 1 - 1e-9]
     found = [r[0] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(tl.probit(F.col("p"))).collect()]
