@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tessera.functions.keys import key
+from tessera.functions.digests import first_words
 from tessera.operators import metrics as m
 
+#: Rows whose digests are made together.
+BATCH = 1 << 15
+
 
 def noise_sweep(runs: DataFrame, dataset: str, rate: str, value: str, clean: float = 0.0) -> DataFrame:
     """dataset, rate, n, mean, std (of the sample; null for one run) and change: the mean less the dataset's mean at the clean rate."""
@@ -107,17 +114,55 @@ def unsuccessful_inputs(df: DataFrame, input_column: str, success: str) -> DataF
     return df.groupBy(input_column).agg(F.coalesce(F.bool_or(success), F.lit(False)).alias("__any")).where(~F.col("__any")).drop("__any")
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have so many rows."""
+    some, n = [], 0
+    for batch in batches:
+        some.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pa.concat_batches(some)
+            some, n = [], 0
+    if n:
+        yield pa.concat_batches(some)
+
+
 def pooled_means(df: DataFrame, draw: str, value: str, rounds: int, id_column: str, seed: int = 0) -> DataFrame:
-    """round, mean: rows resampled within each draw by weights of Poisson counts keyed by round and row, means of the draws averaged. Weights are sampled row by row, so no draw is collected."""
-    u = F.conv(F.substring(key(seed, "pooled", "round", draw, id_column), 1, 8), 16, 10).cast("double") / float(2**32)
-    steps, p, total = [], 0.36787944117144233, 0.0
+    """round, mean: rows resampled within each draw by weights of Poisson counts keyed by round and row, means of the draws averaged.
+
+    Weights are sampled row by row, so no draw is collected. An Arrow function makes the digests of a batch
+    for one round after the other and adds them up by draw, so there is no row for each round and row.
+    """
+    steps, p, reached = [], 0.36787944117144233, 0.0
     for k in range(12):
-        total += p
-        steps.append(total)
+        reached += p
+        steps.append(np.uint32(math.ceil(reached * 2**32)))
         p /= k + 1
-    weight = F.size(F.filter(F.array(*map(F.lit, steps)), lambda b: b <= u))
-    rows = df.select(draw, value, id_column, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("w", weight)
-    per = rows.groupBy("round", draw).agg(m.ratio(F.sum(F.col("w") * F.col(value)).cast("double"), F.sum("w"), None).alias("m"))
+    heads = [f"{seed}|pooled|{r}".encode() for r in range(rounds)]
+    kind = df.schema[draw].dataType
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in together(batches, BATCH):
+            coded = batch.column("draw").dictionary_encode(null_encoding="encode")
+            code, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.intp), len(coded.dictionary)
+            values = batch.column("value")
+            known = np.bincount(code, values.is_valid().to_numpy(zero_copy_only=False), n) > 0
+            v = values.fill_null(0.0).to_numpy(zero_copy_only=False)
+            for r, word in enumerate(first_words(heads, batch.column("tail").to_pylist())):
+                w = np.zeros(len(word), np.int8)
+                for step in steps:
+                    w += (word >= step).view(np.int8)
+                w = w.astype(float)
+                weight = np.bincount(code, w, n).astype(np.int64)
+                with np.errstate(invalid="ignore"):
+                    w *= v
+                s = np.bincount(code, w, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r, np.int32)), coded.dictionary, pa.array(s, mask=~known), pa.array(weight)], ["round", "draw", "s", "w"])
+
+    tail = F.concat_ws("|", F.lit(""), F.col(draw).cast("string"), F.col(id_column).cast("string")).cast("binary")
+    rows = df.select(F.col(draw).alias("draw"), F.col(value).cast("double").alias("value"), tail.alias("tail"))
+    schema = StructType([StructField("round", IntegerType()), StructField("draw", kind), StructField("s", DoubleType()), StructField("w", LongType())])
+    per = rows.mapInArrow(sums, schema).groupBy("round", "draw").agg(m.ratio(F.sum("s"), F.sum("w"), None).alias("m"))
     return per.groupBy("round").agg(F.avg("m").alias("mean"))
 
 
